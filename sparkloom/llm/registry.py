@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, quality_rules, token_counts, url_filters
+from . import decontamination, packing, quality_rules, suffix_dedup, token_counts, url_filters
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_decontamination": decontamination.op4_decontamination,
     "op6_url_filters": url_filters.op6_url_filters,
     "op9_quality_rules": quality_rules.op9_quality_rules,
