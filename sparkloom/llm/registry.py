@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, quality_rules, suffix_dedup, token_counts, url_filters
+from . import decontamination, near_dedup, packing, quality_rules, suffix_dedup, token_counts, url_filters
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_decontamination": decontamination.op4_decontamination,
     "op6_url_filters": url_filters.op6_url_filters,
