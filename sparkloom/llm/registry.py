@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, near_dedup, packing, quality_rules, suffix_dedup, token_counts, url_filters
+from . import decontamination, line_dedup, near_dedup, packing, quality_rules, suffix_dedup, token_counts, url_filters
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_decontamination": decontamination.op4_decontamination,
     "op6_url_filters": url_filters.op6_url_filters,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_token_counts": token_counts.op10_token_counts,
 }
