@@ -124,6 +124,25 @@ def measures(texts: list[bytes]) -> dict[str, np.ndarray]:
     }
 
 
+def chunks(raw: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts whose words are sorted together."""
+    at = 0
+    while at < len(raw):
+        stop, room = at, CHUNK_WORDS * 6
+        while stop < len(raw) and (stop == at or room > 0):
+            room -= len(raw[stop])
+            stop += 1
+        yield at, stop
+        at = stop
+
+
+def verdicts(texts: list[bytes], min_repeat: int, max_covered: float, max_repeat: int, min_words: int, max_repeat_words_pct: int) -> dict[str, np.ndarray]:
+    m = measures(texts)
+    n, cover = m["n_words"], covered(m.pop("runs"), min_repeat, m.pop("bounds"))
+    failed = (n < min_words) | (100 * m["n_repeat_words"] > max_repeat_words_pct * n)
+    return m | {"base_failed": failed, "kept": ~failed & ~((cover > max_covered * n) | (m["longest_repeat"] > max_repeat)), "n_covered_words": cover}
+
+
 def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_repeat: int = MAX_REPEAT, min_words: int = 50, max_repeat_words_pct: int = 50) -> DataFrame:
     """Measure and judge every document by its repetition.
 
@@ -132,29 +151,17 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     (fewer than ``min_words``). Texts of any length are sorted whole; ties between equal suffixes are refined until none
     is left. Repeated rows stay, a null key stays null, an empty table gives an empty result; other columns aren't read.
     """
+    numbers = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_covered_words", "longest_repeat"]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = pc.fill_null(batch.column(1), "")
             points = pc.utf8_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
             raw = column.cast(pa.binary()).to_pylist()
-            at = 0
-            while at < len(raw):
-                stop, room = at, CHUNK_WORDS * 6
-                while stop < len(raw) and (stop == at or room > 0):
-                    room -= len(raw[stop])
-                    stop += 1
-                texts = raw[at:stop]
-                m = measures(texts)
-                blanks = np.array([len(x) - len(x.translate(None, BLANKS)) for x in texts], np.int64)
-                n, cover = m["n_words"], covered(m["runs"], min_repeat, m["bounds"])
-                failed = (n < min_words) | (100 * m["n_repeat_words"] > max_repeat_words_pct * n)
-                bad = (cover > max_covered * n) | (m["longest_repeat"] > max_repeat)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, stop - at), *(pa.array(x) for x in (n, points[at:stop] - blanks, m["n_symbols"], m["n_dup_lines"], m["n_repeat_words"], failed, ~failed & ~bad, cover, m["longest_repeat"]))],
-                    names=[key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_covered_words", "longest_repeat"],
-                )
-                at = stop
+            for at, stop in chunks(raw):
+                v = verdicts(raw[at:stop], min_repeat, max_covered, max_repeat, min_words, max_repeat_words_pct)
+                v["word_chars"] = points[at:stop] - np.array([len(x) - len(x.translate(None, BLANKS)) for x in raw[at:stop]], np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, stop - at), *(pa.array(v[x]) for x in numbers)], names=[key, *numbers])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key), F.col(text)).mapInArrow(
@@ -162,6 +169,19 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     )
 
 
+def quality_filter(docs: DataFrame, text: str = "text", min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_repeat: int = MAX_REPEAT, min_words: int = 50, max_repeat_words_pct: int = 50) -> DataFrame:
+    """The rows, with all their columns, that ``quality_rules`` keeps; null and empty texts go."""
+    at = docs.columns.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = pc.fill_null(batch.column(at), "").cast(pa.binary()).to_pylist()
+            kept = [verdicts(raw[x:y], min_repeat, max_covered, max_repeat, min_words, max_repeat_words_pct)["kept"] for x, y in chunks(raw)]
+            yield batch.filter(pa.array(np.concatenate(kept))) if kept else batch
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("longest_repeat")  # SQL can't express its value
 
@@ -169,12 +189,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM d),
-e AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM w),
-win AS (SELECT doc_id, p, k, count(*) OVER (PARTITION BY doc_id, k, array_to_string(ws[p:p + k - 1], ' ')) AS n
-        FROM e, (VALUES (3), ({MIN_REPEAT})) AS v(k) WHERE p + k - 1 <= len(ws)),
-again AS (SELECT e.doc_id, e.p, e.ws FROM e JOIN win USING (doc_id, p) WHERE k = {MIN_REPEAT} AND n > 1),
-long AS (SELECT doc_id, p, {MAX_REPEAT + 1} AS k, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[p:p + {MAX_REPEAT}], ' ')) AS n
-        FROM again WHERE p + {MAX_REPEAT} <= len(ws)),
+g AS (SELECT doc_id, k, unnest(range(1, len(ws) - k + 2)) AS p, unnest(list_transform(range(1, len(ws) - k + 2), lambda p: array_to_string(ws[p:p + k - 1], ' '))) AS gram
+      FROM w, (VALUES (3), ({MIN_REPEAT})) AS v(k) WHERE len(ws) >= k),
+win AS (SELECT doc_id, k, p, count(*) OVER (PARTITION BY doc_id, k, gram) AS n FROM g),
+again AS (SELECT doc_id, ws FROM w WHERE doc_id IN (SELECT doc_id FROM win WHERE k = {MIN_REPEAT} AND n > 1) AND len(ws) > {MAX_REPEAT}),
+gl AS (SELECT doc_id, unnest(range(1, len(ws) - {MAX_REPEAT} + 1)) AS p, unnest(list_transform(range(1, len(ws) - {MAX_REPEAT} + 1), lambda p: md5(array_to_string(ws[p:p + {MAX_REPEAT}], ' ')))) AS gram FROM again),
+long AS (SELECT doc_id, {MAX_REPEAT + 1} AS k, p, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM gl),
 hit AS (SELECT DISTINCT doc_id, k, unnest(range(p, p + k)) AS p FROM (FROM win UNION ALL FROM long) WHERE n > 1),
 r AS (SELECT doc_id, count(*) FILTER (k = 3) AS r3, count(*) FILTER (k = {MIN_REPEAT}) AS rc, count(*) FILTER (k = {MAX_REPEAT + 1}) AS rl FROM hit GROUP BY doc_id),
 ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
