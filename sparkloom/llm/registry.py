@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_dedup, near_dedup, packing, quality_rules, suffix_dedup, token_counts, url_filters
+from . import decontamination, line_dedup, near_dedup, packing, quality_rules, revisits, suffix_dedup, token_counts, url_filters
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -11,11 +11,13 @@ QUERIES = {
     "op4_decontamination": decontamination.op4_decontamination,
     "op6_url_filters": url_filters.op6_url_filters,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_revisits": revisits.op8_revisits,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 SQL = {
     "op4_decontamination": decontamination.SQL,
     "op6_url_filters": url_filters.SQL,
+    "op8_revisits": revisits.SQL,
     "op9_quality_rules": quality_rules.SQL,
 }
