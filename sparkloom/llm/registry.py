@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_dedup, near_dedup, packing, quality_rules, revisits, suffix_dedup, token_counts, url_filters
+from . import decontamination, line_dedup, lm_scoring, near_dedup, packing, quality_rules, revisits, suffix_dedup, token_counts, url_filters
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_decontamination": decontamination.op4_decontamination,
+    "op5_lm_scoring": lm_scoring.op5_lm_scoring,
     "op6_url_filters": url_filters.op6_url_filters,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_revisits": revisits.op8_revisits,
