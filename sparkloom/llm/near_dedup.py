@@ -240,8 +240,11 @@ def cross_pairs(posts: DataFrame, matches: int, percent: int, fine: int) -> Data
     """``a, b``: members of a list in different components that may be linked.
 
     posts: ``list, size, rep, n, sig, component, u, fine``; ``u`` and ``fine`` are null in short lists. Long lists are
-    cut in tiles, so that a task compares a bounded number of members.
+    cut in tiles, so that a task compares a bounded number of members. A pair that shares several lists comes from the
+    one of the lowest coordinate alone.
     """
+    masks = posts.groupBy(F.col("rep").alias("r")).agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftright(list, 32) AS int))")).alias("mask"))
+    posts = posts.join(masks, F.col("rep") == F.col("r")).drop("r")
     tiles = F.ceil(F.col("size") / TILE).cast("int")
     own = posts.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
     spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other")})
@@ -250,6 +253,8 @@ def cross_pairs(posts: DataFrame, matches: int, percent: int, fine: int) -> Data
         low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
         rep, comp, n, tile = (group.column(c).to_numpy() for c in ("rep", "component", "n", "tile"))
         sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), "<u4").reshape(len(group), -1)
+        mask = np.unpackbits(group.column("mask").to_numpy().astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, : sig.shape[1]].astype(bool)
+        coordinate = group.column("list")[0].as_py() >> 32
         long = group.column("u").null_count == 0
         if long:
             u = group.column("u").to_numpy()
@@ -263,7 +268,8 @@ def cross_pairs(posts: DataFrame, matches: int, percent: int, fine: int) -> Data
                 need = -(-percent * (n[i] + n) // (100 + percent))  # shared shingles that a link takes
                 other &= np.minimum(u[i], u) >= need
             at = np.flatnonzero(other)
-            at = at[(sig[at] == sig[i]).sum(1) >= matches]
+            same = sig[at] == sig[i]
+            at = at[(same.sum(1) >= matches) & ((same & mask[at] & mask[i]).argmax(1) == coordinate)]
             if long and len(at):
                 # of their shared shingles, so large a part must be common; allow 5.5 standard deviations
                 part = need[at] / np.maximum(u[i] + u[at] - need[at], 1)
@@ -273,11 +279,11 @@ def cross_pairs(posts: DataFrame, matches: int, percent: int, fine: int) -> Data
             out_b.append(rep[at])
         return pa.table([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
 
-    return spread.select("list", "low", "high", "tile", "rep", "n", "sig", "component", "u", "fine").groupBy("list", "low", "high").applyInArrow(compare, "a long, b long").distinct()
+    return spread.select("list", "low", "high", "tile", "rep", "n", "sig", "component", "u", "fine", "mask").groupBy("list", "low", "high").applyInArrow(compare, "a long, b long")
 
 
 def near_components(docs: DataFrame, sets: DataFrame, width: int, percent: int, coordinates: int, matches: int, fine: int) -> DataFrame:
-    """``node, component`` of the linked sets. docs: ``doc, text``; sets: ``rep, n, sig``, one row a distinct set."""
+    """``node, component`` of the linked sets; at most 64 ``coordinates``. docs: ``doc, text``; sets: ``rep, n, sig``, one row a distinct set."""
     posts = cut(postings(sets, sets.count(), coordinates, matches))
     links = cut(confirm(docs, star_pairs(posts, matches), width, percent))
     near = cut(components(links)) if not links.isEmpty() else None
