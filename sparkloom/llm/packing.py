@@ -8,8 +8,8 @@ fits is cut and its rest seeds the next window.
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -20,47 +20,61 @@ from pyspark.sql import functions as F
 
 from .common import parts_for, table, volume
 
-#: Unicode white space: fixed values.
-SPACES = "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-_PAIRS = [c + " " for c in SPACES]
-_INNER = re.compile(r"\s (?:\s|\Z)")
-#: Encodings of text chunks that this worker process has met, by tokenizer; bounded.
+#: The pre-token pattern of byte-level tokenizers: a fixed value.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Encoders of this worker process by file.
 _ENCODERS: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """Token ids of whole texts as little-endian bytes.
+    """Token ids of whole texts.
 
-    Byte-level pre-tokens never cross a single space that follows a word, so a text is cut before such spaces and each
-    chunk is encoded once. A text with a longer run of white space is encoded as a whole.
+    A byte-level vocabulary whose ids follow the order of its merges means the same as ranks, which encode several
+    times faster; texts with one of its special tokens, and any other tokenizer file, are encoded by ``tokenizers``.
     """
 
-    def __init__(self, file: str, max_chunks: int = 500_000):
+    def __init__(self, file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-        self.max_chunks = max_chunks
-
-    def raw(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def __call__(self, text: str) -> bytes:
-        if "\0" in text or (any(p in text for p in _PAIRS) and _INNER.search(text)):
-            return self.raw(text)
-        chunks = text.replace(" ", "\0 ").split("\0")
-        try:
-            return b"".join(map(self.known.__getitem__, chunks))
-        except KeyError:
-            pass
-        if len(self.known) > self.max_chunks:
-            self.known.clear()
-        missing = list({c for c in chunks if c not in self.known})
-        for chunk, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-            self.known[chunk] = np.array(e.ids, self.dtype).tobytes()
-        return b"".join(map(self.known.__getitem__, chunks))
+        self.ranks = _ranks(json.loads(self.tokenizer.to_str()))
+
+    def plain(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
+
+    def __call__(self, text: str) -> np.ndarray:
+        if self.ranks is None or any(s in text for s in self.special):
+            return self.plain(text)
+        return self.ranks.encode_to_numpy(text, disallowed_special=()).astype(self.dtype)
+
+
+def _ranks(spec: dict):
+    """The vocabulary as ranks, or None if it does not mean the same."""
+    import tiktoken
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    model, cut = spec["model"], spec["pre_tokenizer"] or {}
+    if (model["type"], cut.get("type"), cut.get("use_regex", True), cut.get("add_prefix_space"), spec["normalizer"]) != ("BPE", "ByteLevel", True, False, None):
+        return None
+    if any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+        return None
+    letters = sorted(ByteLevel.alphabet())
+    # the alphabet keeps printable bytes and moves the others, in their order, beyond them
+    bytes_of = {c: ord(c) for c in letters if ord(c) < 256}
+    bytes_of |= dict(zip((c for c in letters if ord(c) >= 256), sorted(set(range(256)) - set(bytes_of.values())), strict=True))
+    vocabulary, merges = model["vocab"], model["merges"]
+    added = {t["content"] for t in spec["added_tokens"]}
+    try:
+        ranks = {bytes(bytes_of[c] for c in piece): i for piece, i in vocabulary.items() if piece not in added}
+    except KeyError:
+        return None
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
+    if len(ranks) != 256 + len(pairs) or any(vocabulary.get("".join(p)) != 256 + i for i, p in enumerate(pairs)):
+        return None
+    return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def encoder(file: str) -> Encoder:
@@ -166,12 +180,12 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        end = np.array([end_id], encode.dtype).tobytes()
+        end = np.array([end_id], encode.dtype)
         seen: dict[tuple, int] = {}
         for batch in batches:
             rows: list[tuple] = []
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(encode(body or "") + end, encode.dtype)
+                ids = np.concatenate((encode(body or ""), end))
                 n, whole = len(ids), len(ids) // window * window
                 same = (name, n, zlib.crc32(ids.tobytes()))
                 seen[same] = times = seen.get(same, 0) + 1
