@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
-from sparkloom.operators import access, evals, planner, retrieval
+from sparkloom.operators import access, evals, planner, retrieval, upkeep
 from sparkloom.sources.tables import html_blocks
 from sparkloom.streaming import windows
 
@@ -69,3 +69,20 @@ def test_stream_like_table(spark, tmp_path):
     q = windows.tumbling(stream).writeStream.format("memory").queryName("tumbled").outputMode("complete").option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(map(tuple, spark.table("tumbled").collect())) == sorted(map(tuple, windows.tumbling(events).collect()))
+
+
+def test_heading_paths(spark):
+    rows = [(1, i, *b) for i, b in enumerate([("paragraph", 0, "p0"), ("heading", 1, "A"), ("heading", 2, "B"), ("paragraph", 0, "p1"), ("heading", 2, "C"), ("heading", 3, "D"), ("heading", 1, "E"), ("paragraph", 0, "p2"), ("heading", 3, "F")])]
+    got = upkeep.heading_paths(spark.createDataFrame(rows, "page_id int, position int, kind string, level int, text string"), "page_id")
+    assert [r.path for r in got.orderBy("position").collect()] == ["", "A", "A > B", "A > B", "A > C", "A > C > D", "E", "E", "E > F"]
+
+
+def test_chunks_cover_in_order(spark):
+    sizes = [10, 30, 60, 500, 600, 20, 400, 100, 90, 700, 5]
+    d = spark.createDataFrame([(7, i, n) for i, n in enumerate(sizes)], "doc_id int, position int, n_tokens long")
+    got = upkeep.chunk(d).orderBy("ordinal").collect()
+    assert [r.ordinal for r in got] == list(range(len(got)))
+    assert [p for r in got for p in range(r.first, r.last + 1)] == list(range(len(sizes)))
+    assert all(r.n_tokens == sum(sizes[r.first : r.last + 1]) for r in got) and all(r.n_tokens <= 512 or r.first == r.last for r in got)
+    assert sorted({r.parent for r in got}) == list(range(got[-1].parent + 1))
+    assert all(sum(r.n_tokens for r in got if r.parent == p) <= 1800 for p in range(got[-1].parent + 1))

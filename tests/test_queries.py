@@ -8,10 +8,10 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from sparkloom.plans import platform, search
+from sparkloom.plans import platform, search, upkeep
 
 DATA = "/root/testdata/sf0.001"
-QUERIES, SQL = search.QUERIES | platform.QUERIES, search.SQL | platform.SQL
+QUERIES, SQL = search.QUERIES | platform.QUERIES | upkeep.QUERIES, search.SQL | platform.SQL | upkeep.SQL
 
 
 def plain(v):
