@@ -1,14 +1,15 @@
-"""Line dedup: fuzzy duplicates of lines by SimHash, confirmed by edit similarity.
+"""Line dedup: fuzzy duplicates of lines by rare word pairs and SimHash, confirmed by edit similarity.
 
-Lines are normalised; equal ones are one line. Each distinct line gets a SimHash of ``BLOCKS`` blocks; two lines whose
-SimHashes differ in fewer bits than there are blocks agree in one whole block at least, so they meet in the list of
-that block's value. Lists are first compared with their first line, then lines that are still in different groups with
-each other. Pairs within the distance whose edit similarity suffices are links; of every connected group of lines the
-first occurrence stays.
+Lines are normalised; equal ones are one line. An edit of one word changes two of a line's pairs of neighbouring words
+at most, so two lines within k edits share one of the 2 k + 1 rarest pairs of either, under any common order of
+rarity, and meet in that pair's list. Lists are first compared with their first line, then lines that are still in
+different groups with each other; SimHashes far apart spare a comparison. Pairs whose edit similarity suffices are
+links; of every connected group of lines the first occurrence stays.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,13 +18,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import U64, groups, mix
-from .common import cut, table
+from .blocks import U64, bucket_of, from_six, groups, mix, six_bytes
+from .common import cut, parts_for, table, volume
 from .components import components
-from .near_dedup import BROADCAST_ROWS, TILE, postings, pieces, raw_texts
+from .near_dedup import BROADCAST_ROWS, TILE, pieces, raw_texts
 
-#: Values of a block must be rarer than lines are many: at 24 bits, lists of chance meetings grow with the square of the input.
 BLOCKS, BITS = 8, 32
+#: Bits that SimHashes of lines at an edit similarity of 0.85 may differ in: some 45 are expected, with a deviation of 6.
+WIDE = 88
+#: Bytes of text that words are counted in, and how many of the most common are told apart; they only order word pairs.
+SAMPLE, COMMON = 16 << 20, 200_000
 _KINDS = bytes(
     ord(chr(b).lower()) if chr(b).isascii() and chr(b).isupper() else ord("0") if 48 <= b <= 57 else b if b >= 128 or chr(b).isalnum() or b == 10 else 32
     for b in range(256)
@@ -39,17 +43,21 @@ def normal_lines(text: bytes) -> list[list[bytes]]:
 _COUNTERS = np.array([sum(1 << (8 * i) for i in range(8) if b >> (7 - i) & 1) for b in range(256)], U64)
 
 
-def simhashes(words: list[list[bytes]]) -> np.ndarray:
+def numbered(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The number of each word, each number's hash, and the words of each line."""
+    ids: dict[bytes, int] = {}
+    flat = np.array([ids.setdefault(w, len(ids)) for line in words for w in line], np.int64)
+    return flat, np.array([xxhash.xxh3_64_intdigest(w) for w in ids], U64), np.array([len(line) for line in words], np.int64)
+
+
+def simhashes(words: list[list[bytes]], coded: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """A row of ``BLOCKS`` values of ``BITS`` bits for each line; every occurrence of a word votes.
 
     Votes are counted in bytes, so a line is added up in stretches of 255 words at most.
     """
-    ids: dict[bytes, int] = {}
-    flat = np.array([ids.setdefault(w, len(ids)) for line in words for w in line], np.int64)
-    h = np.array([xxhash.xxh3_64_intdigest(w) for w in ids], U64)
+    flat, h, sizes = coded or numbered(words)
     bits = np.stack([mix(h + U64(k)) for k in range(1, BLOCKS * BITS // 64 + 1)], 1).astype(">u8").view(np.uint8)
     counters = _COUNTERS[bits.reshape(len(h), -1)]
-    sizes = np.array([len(line) for line in words], np.int64)
     parts = -(-sizes // 255)
     first = np.cumsum(parts) - parts
     begin = np.repeat(np.cumsum(sizes) - sizes, parts) + 255 * (np.arange(parts.sum()) - np.repeat(first, parts))
@@ -69,8 +77,57 @@ def distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
 
 
-def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
-    """``doc, mark, line, id, sig``: every line of enough words; the SimHash goes with its first row in a task's batch."""
+def allowed(n: np.ndarray, similarity: float) -> np.ndarray:
+    """Edits between two lines of which the longer has ``n`` words."""
+    return ((1 - similarity) * n).astype(np.int64)
+
+
+def rare_pairs(coded: tuple[np.ndarray, np.ndarray, np.ndarray], common: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of each line's rarest pairs of neighbouring words, one more than its edits can change, and their bounds.
+
+    A pair that occurs again in its line is another key. ``common`` has hashes, sorted, and counts of common words.
+    """
+    flat, h, sizes = coded
+    edits = allowed((sizes / similarity).astype(np.int64) + 1, similarity)  # a longer line allows more
+    weight = np.zeros(len(h), np.int64)
+    if len(common[0]) and len(h):
+        at = np.minimum(np.searchsorted(common[0], h), len(common[0]) - 1)
+        weight = np.where(common[0][at] == h, common[1][at], 0)
+    line = np.repeat(np.arange(len(sizes)), sizes)
+    left = np.flatnonzero((line[1:] == line[:-1]) & (edits[line[:-1]] > 0)) if len(line) else np.zeros(0, np.int64)
+    a, b, line = flat[left], flat[left + 1], line[left]
+    key, rarity = mix(h[a] + mix(h[b])), np.minimum(weight[a], weight[b])
+    o = np.lexsort((key, rarity, line))
+    key, line = key[o], line[o]
+    new = np.flatnonzero(groups(line, key))
+    key = mix(key + (np.arange(len(key)) - np.repeat(new, np.diff(np.append(new, len(key))))).astype(U64))
+    count = np.bincount(line, minlength=len(sizes))
+    place = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count)
+    bounds = np.concatenate(([0], np.cumsum(np.minimum(count, 2 * edits + 1))))
+    return key[place <= 2 * edits[line]], bounds
+
+
+def common_words(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts of the words that are common in a sample. Which ones these are changes no result."""
+    size = volume(docs, "text")[1]
+    docs = docs.select("text")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(raw := raw_texts(batch.column(0))):
+                flat, h, _ = numbered([w for x in raw[part] for w in normal_lines(x)])
+                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(np.bincount(flat, minlength=len(h)))], names=["word", "n"])
+
+    found = (docs.sample(SAMPLE / size, 1) if size > SAMPLE else docs).mapInArrow(find, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    t = found.where("n > 2").orderBy(F.desc("n"), "word").limit(COMMON).toArrow()
+    word, n = t.column("word").to_numpy().astype(U64), t.column("n").to_numpy()
+    o = np.argsort(word)
+    return word[o], n[o]
+
+
+def occurrences(docs: DataFrame, min_words: int, similarity: float) -> DataFrame:
+    """``doc, mark, line, id, n, sig, pairs``: every line of enough words; words, SimHash and rare word pairs go with its first row in a task's batch."""
+    common = common_words(docs)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,42 +145,98 @@ def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
                                 new[h] = (len(ids) - 1, words)
                 if ids:
                     sig: list[bytes | None] = [None] * len(ids)
-                    for (k, _), s in zip(new.values(), simhashes([w for _, w in new.values()]), strict=True):
-                        sig[k] = s.tobytes()
+                    pairs: list[bytes | None] = [None] * len(ids)
+                    size: list[int | None] = [None] * len(ids)
+                    words = [w for _, w in new.values()]
+                    coded = numbered(words)
+                    keys, bounds = rare_pairs(coded, common, similarity)
+                    for i, ((k, w), s) in enumerate(zip(new.values(), simhashes(words, coded), strict=True)):
+                        size[k], sig[k], pairs[k] = len(w), s.tobytes(), six_bytes(keys[bounds[i] : bounds[i + 1]])
                     rows = pa.array(at)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number, pa.int64()), pa.array(ids, pa.int64()), pa.array(sig, pa.binary())], names=["doc", "mark", "line", "id", "sig"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number, pa.int64()), pa.array(ids, pa.int64()), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.array(pairs, pa.binary())], names=["doc", "mark", "line", "id", "n", "sig", "pairs"])
 
     kind = docs.schema["doc"].dataType.simpleString()
-    return docs.select("doc", "mark", "text").mapInArrow(find, f"doc {kind}, mark long, line long, id long, sig binary")
+    return docs.select("doc", "mark", "text").mapInArrow(find, f"doc {kind}, mark long, line long, id long, n long, sig binary, pairs binary")
+
 
+def postings(lines: DataFrame, n_lines: int) -> DataFrame:
+    """``list, rep, n, sig``: each line under those of its word pairs that another line has too.
 
-def first_pairs(posts: DataFrame, most: int) -> DataFrame:
+    lines: ``rep, n, sig, pairs``, where a line may come several times. How many have a pair is asked of the pair's bucket; a block of lines asks once for each distinct pair.
+    """
+    blocks = buckets = parts_for(n_lines * 16, 1 << 20)
+    rows = lines.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int"))
+
+    def keys_of(group: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        group = group.sort_by("rep")
+        group = group.filter(pa.array(groups(group.column("rep").to_numpy())))
+        raw = group.column("pairs").to_pylist()
+        distinct, where, times = np.unique(from_six(b"".join(raw)), return_inverse=True, return_counts=True)
+        return group, np.repeat(np.arange(len(raw)), [len(x) // 6 for x in raw]), distinct, where, times
+
+    def by_bucket(distinct: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        bucket = bucket_of(mix(distinct), buckets)
+        o = np.argsort(bucket, kind="stable")
+        edges = np.searchsorted(bucket[o], np.arange(buckets + 1))
+        for b in range(buckets):
+            if edges[b] < edges[b + 1]:
+                yield b, o[edges[b] : edges[b + 1]]
+
+    def ask(group: pa.Table) -> pa.Table:
+        group, _, distinct, _, times = keys_of(group)
+        out = [(b, group.column("block")[0].as_py(), six_bytes(distinct[at]), (times[at] > 1).tobytes()) for b, at in by_bucket(distinct)]
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "block", "keys", "more"])
+
+    def answer(group: pa.Table) -> pa.Table:
+        parts = [from_six(x) for x in group.column("keys").to_pylist()]
+        more = np.concatenate([np.frombuffer(x, bool) for x in group.column("more").to_pylist()])
+        _, where = np.unique(np.concatenate(parts), return_inverse=True)
+        shared = (np.bincount(where, 1 + more) > 1)[where]
+        said = [x.tobytes() for x in np.split(shared, np.cumsum([len(p) for p in parts])[:-1])]
+        return pa.table([group.column("block"), group.column("bucket"), pa.array(said, pa.binary())], ["block", "bucket", "shared"])
+
+    def post(group: pa.Table, replies: pa.Table) -> pa.Table:
+        group, row, distinct, where, _ = keys_of(group)
+        said = dict(zip(replies.column("bucket").to_pylist(), replies.column("shared").to_pylist(), strict=True))
+        shared = np.zeros(len(distinct), bool)
+        for b, at in by_bucket(distinct):
+            shared[at] = np.frombuffer(said[b], bool)
+        at = np.flatnonzero(shared[where])
+        row = pa.array(row[at])
+        return pa.table([pa.array(distinct[where[at]].astype(np.int64)), *(group.column(c).take(row) for c in ("rep", "n", "sig"))], ["list", "rep", "n", "sig"])
+
+    asked = rows.groupBy("block").applyInArrow(ask, "bucket int, block int, keys binary, more binary")
+    replies = asked.groupBy("bucket").applyInArrow(answer, "block int, bucket int, shared binary")
+    return rows.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(post, "list long, rep long, n long, sig binary")
+
+
+def first_pairs(posts: DataFrame, most: int, similarity: float) -> DataFrame:
     """``a, b``: the first line of each list and every other one within the distance. Lists stream through their task."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head: tuple[int, int, np.ndarray] | None = None
+        head: tuple[int, int, np.ndarray, int] | None = None
         for batch in batches:
             if not len(batch):
                 continue
             lists, reps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").reshape(len(batch), -1)
+            sig, n = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").reshape(len(batch), -1), batch.column(3).to_numpy()
             start = np.flatnonzero(groups(lists))
             where = start[np.cumsum(groups(lists)) - 1]
-            a, sa = reps[where], sig[where].copy()
+            a, sa, na = reps[where], sig[where].copy(), n[where]
             if head is not None and head[0] == lists[0]:
                 same = where == 0
-                a, sa[same] = np.where(same, head[1], a), head[2]
-            head = (int(lists[-1]), int(a[-1]), sa[-1].copy())
-            near = (a != reps) & (distance(sa, sig) <= most)
+                a, sa[same], na = np.where(same, head[1], a), head[2], np.where(same, head[3], na)
+            head = (int(lists[-1]), int(a[-1]), sa[-1].copy(), int(na[-1]))
+            near = (a != reps) & (np.abs(na - n) <= allowed(np.maximum(na, n), similarity)) & (distance(sa, sig) <= most)
             yield pa.RecordBatch.from_arrays([pa.array(a[near]), pa.array(reps[near])], names=["a", "b"])
 
-    return posts.select("list", "rep", "sig").repartition("list").sortWithinPartitions("list", "rep").mapInArrow(compare, "a long, b long").distinct()
+    return posts.select("list", "rep", "sig", "n").repartition("list").sortWithinPartitions("list", "rep").mapInArrow(compare, "a long, b long").distinct()
 
 
-def other_pairs(posts: DataFrame, most: int) -> DataFrame:
+def other_pairs(posts: DataFrame, most: int, similarity: float) -> DataFrame:
     """``a, b``: lines of a list within the distance and in different groups; long lists are cut in tiles.
 
-    posts: ``list, size, rep, sig, component``. Neighbours one apart are compared, then two apart, and so on.
+    posts: ``list, size, rep, n, sig, component``. Neighbours one apart are compared, then two apart, and so on.
     """
     tiles = F.ceil(F.col("size") / TILE).cast("int")
     own = posts.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
@@ -131,7 +244,7 @@ def other_pairs(posts: DataFrame, most: int) -> DataFrame:
 
     def pairs(t: pa.Table) -> pa.RecordBatch:
         key = [t.column(c).to_numpy() for c in ("list", "low", "high")]
-        rep, comp, tile = (t.column(c).to_numpy() for c in ("rep", "component", "tile"))
+        rep, comp, tile, n = (t.column(c).to_numpy() for c in ("rep", "component", "tile", "n"))
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u4").reshape(len(t), -1)
         new = groups(*key)
         left = np.diff(np.append(np.flatnonzero(new), len(t)))
@@ -140,6 +253,7 @@ def other_pairs(posts: DataFrame, most: int) -> DataFrame:
         while len(live := live[live + lag < end[live]]):
             other = live + lag
             ok = (comp[live] != comp[other]) & ((tile[live] != tile[other]) | (key[1][live] == key[2][live]))
+            ok &= np.abs(n[live] - n[other]) <= allowed(np.maximum(n[live], n[other]), similarity)
             x, y = live[ok], other[ok]
             near = distance(sig[x], sig[y]) <= most
             out.append((rep[x[near]], rep[y[near]]))
@@ -162,7 +276,7 @@ def other_pairs(posts: DataFrame, most: int) -> DataFrame:
             yield pairs(held.combine_chunks())
 
     keys = ["list", "low", "high"]
-    return spread.select(*keys, "tile", "rep", "sig", "component").repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(compare, "a long, b long").distinct()
+    return spread.select(*keys, "tile", "rep", "n", "sig", "component").repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(compare, "a long, b long").distinct()
 
 
 def within(x: list[str], y: list[str], most: int) -> bool:
@@ -187,6 +301,12 @@ def within(x: list[str], y: list[str], most: int) -> bool:
     return int(row[-1]) <= most
 
 
+def alike(x: list[str], y: list[str], most: int) -> bool:
+    """As ``within``, after a look at words that only one of the lines has."""
+    a, b = Counter(x), Counter(y)
+    return (a - b).total() <= most and (b - a).total() <= most and within(x, y, most)
+
+
 def similar(docs: DataFrame, pairs: DataFrame, min_words: int, similarity: float) -> DataFrame:
     """Links among ``pairs``: edit distance in words at most ``1 - similarity`` of the longer normalised line."""
     pairs = cut(pairs)
@@ -208,20 +328,22 @@ def similar(docs: DataFrame, pairs: DataFrame, min_words: int, similarity: float
         for batch in batches:
             x, y = (batch.column(i).to_pylist() for i in (2, 3))
             words = [(a.split(" "), b.split(" ")) for a, b in zip(x, y, strict=True)]
-            ok = [within(a, b, int((1 - similarity) * max(len(a), len(b)))) for a, b in words]
+            ok = [alike(a, b, int((1 - similarity) * max(len(a), len(b)))) for a, b in words]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return texts.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def fuzzy_groups(docs: DataFrame, sets: DataFrame, n_sets: int, min_words: int, most: int, similarity: float) -> DataFrame:
-    """``node, component`` of the lines that have a link. sets: ``rep, n, sig``."""
-    posts = cut(postings(sets, n_sets, BLOCKS, 1).select("list", "rep", "sig"))
-    links = cut(similar(docs, first_pairs(posts, most), min_words, similarity))
+def fuzzy_groups(docs: DataFrame, lines: DataFrame, n_lines: int, min_words: int, most: int, similarity: float) -> DataFrame:
+    """``node, component`` of the lines that have a link. lines: ``rep, n, sig, pairs``."""
+    posts = cut(postings(lines, n_lines))
+    links = cut(similar(docs, first_pairs(posts, most, similarity), min_words, similarity))
     near = cut(components(links))
-    lists = posts.groupBy("list").agg(F.count(F.lit(1)).alias("size")).where("size > 2").select(F.col("list").alias("l"), "size")
-    placed = posts.join(lists, F.col("list") == F.col("l")).join(near, F.col("rep") == F.col("node"), "left").select("list", "size", "rep", "sig", F.coalesce("component", "rep").alias("component"))
-    more = similar(docs, other_pairs(placed, most), min_words, similarity)
+    placed = cut(posts.join(near, F.col("rep") == F.col("node"), "left").select("list", "rep", "n", "sig", F.coalesce("component", "rep").alias("component")))
+    # a list whose lines are in one group is done
+    lists = placed.groupBy("list").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("size > 2 AND c1 < c2").select(F.col("list").alias("l"), "size")
+    placed = placed.join(lists, F.col("list") == F.col("l")).drop("l")
+    more = similar(docs, other_pairs(placed, most, similarity), min_words, similarity)
     return components(links.unionByName(more))
 
 
@@ -229,19 +351,20 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wor
     """Remove every line that repeats an earlier one exactly or nearly; all input columns return, with ``text`` replaced.
 
     Adds ``n_lines`` and ``n_removed``. Lines are split at ``\\n``. Lines of fewer than ``min_words`` normalised words
-    always stay. Two lines are linked when their SimHashes differ in at most ``most`` bits (fewer than ``BLOCKS``, so no
-    such pair is missed) and their edit similarity is ``similarity`` or more; equal normalised lines are linked. Of each
+    always stay. Two lines are linked when their edit similarity in words is ``similarity`` or more; every such pair
+    meets, and is compared unless the SimHashes differ in more than ``most`` of 256 bits: with ``WIDE``, which the
+    queries use, edit similarity alone decides; 7 keeps to small edits of long lines. Equal normalised lines are
+    linked. Of each
     connected group the first occurrence by (key, line number) stays; null keys come first. Null texts stay null, empty
     ones empty, both with no line removed. Rows equal in key and text are treated alike. Texts of any length count
     whole; an empty table gives an empty result; input columns named ``n_lines`` or ``n_removed`` are replaced.
     """
-    assert most < BLOCKS
     rows = docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
-    seen = cut(occurrences(rows, min_words))
+    seen = cut(occurrences(rows, min_words, similarity))
     # the first occurrence, as (key is not null, key, text, line)
     place = F.struct(F.col("doc").isNotNull().alias("known"), "doc", "mark", "line")
-    lines = cut(seen.groupBy("id").agg(F.min(place).alias("first"), F.max("sig").alias("sig"), F.count(F.lit(1)).alias("times")))
-    near = fuzzy_groups(rows, lines.select(F.col("id").alias("rep"), F.lit(1).cast("long").alias("n"), "sig"), lines.count(), min_words, most, similarity)
+    lines = cut(seen.groupBy("id").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")))
+    near = fuzzy_groups(rows, seen.where("octet_length(pairs) > 0").select(F.col("id").alias("rep"), "n", "sig", "pairs"), lines.count(), min_words, most, similarity)
     placed = cut(lines.join(near, F.col("id") == F.col("node"), "left").select("id", "first", "times", F.coalesce("component", "id").alias("group")))
     firsts = placed.groupBy(F.col("group").alias("g")).agg(F.min("first").alias("stays"), F.sum("times").alias("all")).where("all > 1")
     groups_ = cut(placed.join(firsts, F.col("group") == F.col("g")).select(F.col("id").alias("i"), "stays"))
@@ -263,4 +386,4 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wor
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+    return line_dedup(table(spark, sf_dir, "documents"), most=WIDE).select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_kept_chars"), F.sha2("text", 256).alias("kept_sha256"))

@@ -100,3 +100,24 @@ def test_long_lists(spark, monkeypatch):
 
 def test_empty(no_docs):
     assert ld.line_dedup(no_docs).collect() == []
+
+
+def test_every_similar_pair(spark):
+    """Edit similarity alone decides, at the lengths that lines have; the brute force has no SimHash."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for n in (7, 8, 12, 20, 21, 35, 50):
+        for _ in range(12):
+            base = [f"v{int(400 * x**2)}" for x in rng.random(n)]
+            rows.append(base)
+            for _ in range(3):
+                w = list(base)
+                for _ in range(rng.integers(1, int(0.15 * n) + 2)):
+                    at, kind = rng.integers(0, len(w)), rng.integers(0, 3)
+                    w[at : at + (kind != 0)] = [f"v{int(400 * rng.random() ** 2)}"] * int(kind != 1)
+                rows.append(w)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    MARKS.update({r.text: r.m for r in docs.selectExpr("text", "xxhash64(text) AS m").collect()})
+    want, links = brute([(r.doc_id, r.text) for r in docs.collect()], most=256)
+    assert links > 100
+    assert sorted((r.doc_id, r.text) for r in ld.line_dedup(docs, most=ld.WIDE).collect()) == sorted(want)
