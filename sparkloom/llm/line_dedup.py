@@ -29,13 +29,13 @@ WIDE = 88
 #: Bytes of text that words are counted in, and how many of the most common are told apart; they only order word pairs.
 SAMPLE, COMMON = 16 << 20, 200_000
 _KINDS = bytes(
-    ord(chr(b).lower()) if chr(b).isascii() and chr(b).isupper() else ord("0") if 48 <= b <= 57 else b if b >= 128 or chr(b).isalnum() or b == 10 else 32
+    ord(chr(b).lower()) if chr(b).isascii() and chr(b).isupper() else b if b >= 128 or chr(b).isalnum() or b == 10 else 32
     for b in range(256)
 )
 
 
 def normal_lines(text: bytes) -> list[list[bytes]]:
-    """The words of each line: A-Z lower-cased, digits as 0, other ASCII marks as blanks."""
+    """The words of each line: A-Z lower-cased, digits kept, other ASCII marks as blanks."""
     return [line.split() for line in text.translate(_KINDS).split(b"\n")]
 
 

@@ -121,3 +121,9 @@ def test_every_similar_pair(spark):
     want, links = brute([(r.doc_id, r.text) for r in docs.collect()], most=256)
     assert links > 100
     assert sorted((r.doc_id, r.text) for r in ld.line_dedup(docs, most=ld.WIDE).collect()) == sorted(want)
+
+
+def test_digits_count(spark):
+    """Rows of numbers of equal width are different lines."""
+    docs = spark.createDataFrame([(1, "12 45 78 90"), (2, "31 22 64 55"), (3, "12 45 78 90")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_removed) for r in ld.line_dedup(docs, most=ld.WIDE).collect()) == [(1, 0), (2, 0), (3, 1)]
