@@ -41,6 +41,16 @@ def cut(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote; nothing may read them any more."""
+    for df in tables:
+        folders = {f.rpartition("/")[0] for f in df.inputFiles()}
+        spark = df.sparkSession
+        for folder in folders:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def volume(df: DataFrame, col: str) -> tuple[int, int]:
     """Rows and bytes of a text column, from one scan without a shuffle of rows."""
     row = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(col)), F.lit(0))).first()

@@ -1,15 +1,17 @@
-"""Line dedup: fuzzy duplicates of lines by rare word pairs and SimHash, confirmed by edit similarity.
+"""Line dedup: fuzzy duplicates of lines by lists of rare word pairs, confirmed by edit similarity.
 
 Lines are normalised; equal ones are one line. An edit of one word changes two of a line's pairs of neighbouring words
 at most, so two lines within k edits share one of the 2 k + 1 rarest pairs of either, under any common order of
 rarity, and meet in that pair's list. Lists are first compared with their first line, then lines that are still in
-different groups with each other; SimHashes far apart spare a comparison. Pairs whose edit similarity suffices are
-links; of every connected group of lines the first occurrence stays.
+different groups with each other, where parity sketches rule out most pairs: a word more or less flips one bit of a
+sketch, so lines within k edits are within 2 k bits, without exception. Pairs whose edit similarity suffices are links;
+of every connected group of lines the first occurrence stays.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import operator
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,13 +21,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import U64, bucket_of, from_six, groups, mix, six_bytes
-from .common import cut, parts_for, table, volume
+from .common import cut, drop, parts_for, table, volume
 from .components import components
 from .near_dedup import BROADCAST_ROWS, TILE, pieces, raw_texts
 
-BLOCKS, BITS = 8, 32
-#: Bits that SimHashes of lines at an edit similarity of 0.85 may differ in: some 45 are expected, with a deviation of 6.
-WIDE = 88
+#: Bits of a parity sketch.
+BITS = 256
+#: Array entries that may be sent to every executor: 8 bytes each.
+BROADCAST_ENTRIES = 2_000_000
 #: Bytes of text that words are counted in, and how many of the most common are told apart; they only order word pairs.
 SAMPLE, COMMON = 16 << 20, 200_000
 _KINDS = bytes(
@@ -34,13 +37,16 @@ _KINDS = bytes(
 )
 
 
-def normal_lines(text: bytes) -> list[list[bytes]]:
-    """The words of each line: A-Z lower-cased, digits kept, other ASCII marks as blanks."""
-    return [line.split() for line in text.translate(_KINDS).split(b"\n")]
+#: Letters of scripts without blanks (Thai, kana, ideographs, Hangul): each counts as a word. Fixed values of UTF-8.
+_BLANKLESS = re.compile(rb"\xe0[\xb8\xb9][\x80-\xbf]|[\xe3-\xed][\x80-\xbf]{2}")
 
 
-#: For each byte, its bits (highest first) as the low bits of eight byte-wide counters.
-_COUNTERS = np.array([sum(1 << (8 * i) for i in range(8) if b >> (7 - i) & 1) for b in range(256)], U64)
+def normal_lines(text: bytes) -> list[list[bytes]]:
+    """The words of each line: A-Z lower-cased, digits kept, other ASCII marks as blanks."""
+    text = text.translate(_KINDS)
+    if not text.isascii():
+        text = _BLANKLESS.sub(rb" \g<0> ", text)
+    return [line.split() for line in text.split(b"\n")]
 
 
 def numbered(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -50,27 +56,17 @@ def numbered(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return flat, np.array([xxhash.xxh3_64_intdigest(w) for w in ids], U64), np.array([len(line) for line in words], np.int64)
 
 
-def simhashes(words: list[list[bytes]], coded: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-    """A row of ``BLOCKS`` values of ``BITS`` bits for each line; every occurrence of a word votes.
-
-    Votes are counted in bytes, so a line is added up in stretches of 255 words at most.
-    """
-    flat, h, sizes = coded or numbered(words)
-    bits = np.stack([mix(h + U64(k)) for k in range(1, BLOCKS * BITS // 64 + 1)], 1).astype(">u8").view(np.uint8)
-    counters = _COUNTERS[bits.reshape(len(h), -1)]
-    parts = -(-sizes // 255)
-    first = np.cumsum(parts) - parts
-    begin = np.repeat(np.cumsum(sizes) - sizes, parts) + 255 * (np.arange(parts.sum()) - np.repeat(first, parts))
-    out, at = np.empty((len(begin), BLOCKS * BITS), np.uint8), 0
-    while at < len(begin):  # so many words at once that their counters stay in cache
-        stop = max(at + 1, int(np.searchsorted(begin, begin[at] + 8192, side="right")) - 1)
-        end = begin[stop] if stop < len(begin) else len(flat)
-        sums = np.add.reduceat(counters[flat[begin[at] : end]], begin[at:stop] - begin[at], axis=0)
-        out[at:stop] = sums.astype("<u8").view(np.uint8).reshape(stop - at, -1)
-        at = stop
-    ones = np.add.reduceat(out, first, axis=0, dtype=np.int64) if len(begin) > len(words) else out.astype(np.int64)
-    weights = 1 << np.arange(BITS - 1, -1, -1)
-    return ((2 * ones > sizes[:, None]).reshape(len(words), BLOCKS, BITS) @ weights).astype("<u4")
+def sketches(coded: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """A row of 64-bit values for each line: bit b is the parity of the words whose hash is b."""
+    flat, h, sizes = coded
+    bit = (mix(h) % U64(BITS)).astype(np.int64)
+    out, step, ends = np.empty((len(sizes), BITS // 64), U64), 4096, np.concatenate(([0], np.cumsum(sizes)))
+    for at in range(0, len(sizes), step):
+        part = sizes[at : at + step]
+        cell = np.repeat(np.arange(len(part)) * BITS, part) + bit[flat[ends[at] : ends[at + len(part)]]]
+        odd = (np.bincount(cell, minlength=len(part) * BITS) & 1).astype(np.uint8)
+        out[at : at + step] = np.packbits(odd).view(U64).reshape(len(part), -1)
+    return out
 
 
 def distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -82,19 +78,32 @@ def allowed(n: np.ndarray, similarity: float) -> np.ndarray:
     return ((1 - similarity) * n).astype(np.int64)
 
 
+def prefix(n: np.ndarray, similarity: float) -> np.ndarray:
+    """How many of a line's rarest pairs two similar lines must share one of; 0 if no other line can be similar.
+
+    A partner ``d`` words longer has ``d`` insertions among its edits, and an insertion changes one pair only.
+    """
+    if similarity <= 0.5:
+        raise ValueError("similarity must be above 0.5")
+    most = np.zeros(len(n), np.int64)
+    for d in range(int(1 / (1 - similarity)) + 2 if similarity < 1 else 0):
+        most = np.maximum(most, 2 * allowed(n + d, similarity) - d)
+    return np.where(most > 0, most + 1, 0)
+
+
 def rare_pairs(coded: tuple[np.ndarray, np.ndarray, np.ndarray], common: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Keys of each line's rarest pairs of neighbouring words, one more than its edits can change, and their bounds.
 
     A pair that occurs again in its line is another key. ``common`` has hashes, sorted, and counts of common words.
     """
     flat, h, sizes = coded
-    edits = allowed((sizes / similarity).astype(np.int64) + 1, similarity)  # a longer line allows more
+    need = prefix(sizes, similarity)
     weight = np.zeros(len(h), np.int64)
     if len(common[0]) and len(h):
         at = np.minimum(np.searchsorted(common[0], h), len(common[0]) - 1)
         weight = np.where(common[0][at] == h, common[1][at], 0)
     line = np.repeat(np.arange(len(sizes)), sizes)
-    left = np.flatnonzero((line[1:] == line[:-1]) & (edits[line[:-1]] > 0)) if len(line) else np.zeros(0, np.int64)
+    left = np.flatnonzero((line[1:] == line[:-1]) & (need[line[:-1]] > 0)) if len(line) else np.zeros(0, np.int64)
     a, b, line = flat[left], flat[left + 1], line[left]
     key, rarity = mix(h[a] + mix(h[b])), np.minimum(weight[a], weight[b])
     o = np.lexsort((key, rarity, line))
@@ -103,8 +112,8 @@ def rare_pairs(coded: tuple[np.ndarray, np.ndarray, np.ndarray], common: tuple[n
     key = mix(key + (np.arange(len(key)) - np.repeat(new, np.diff(np.append(new, len(key))))).astype(U64))
     count = np.bincount(line, minlength=len(sizes))
     place = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count)
-    bounds = np.concatenate(([0], np.cumsum(np.minimum(count, 2 * edits + 1))))
-    return key[place <= 2 * edits[line]], bounds
+    bounds = np.concatenate(([0], np.cumsum(np.minimum(count, need))))
+    return key[place < need[line]], bounds
 
 
 def common_words(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +135,7 @@ def common_words(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def occurrences(docs: DataFrame, min_words: int, similarity: float) -> DataFrame:
-    """``doc, mark, line, id, n, sig, pairs``: every line of enough words; words, SimHash and rare word pairs go with its first row in a task's batch."""
+    """``doc, mark, line, id, n, body, sketch, pairs``: every line of enough words; what describes it goes with its first row in a task's batch."""
     common = common_words(docs)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,25 +153,30 @@ def occurrences(docs: DataFrame, min_words: int, similarity: float) -> DataFrame
                             if h not in new:
                                 new[h] = (len(ids) - 1, words)
                 if ids:
-                    sig: list[bytes | None] = [None] * len(ids)
-                    pairs: list[bytes | None] = [None] * len(ids)
                     size: list[int | None] = [None] * len(ids)
-                    words = [w for _, w in new.values()]
-                    coded = numbered(words)
+                    body: list[bytes | None] = [None] * len(ids)
+                    sketch: list[bytes | None] = [None] * len(ids)
+                    pairs: list[bytes | None] = [None] * len(ids)
+                    coded = numbered([w for _, w in new.values()])
                     keys, bounds = rare_pairs(coded, common, similarity)
-                    for i, ((k, w), s) in enumerate(zip(new.values(), simhashes(words, coded), strict=True)):
-                        size[k], sig[k], pairs[k] = len(w), s.tobytes(), six_bytes(keys[bounds[i] : bounds[i + 1]])
+                    raw_keys, bounds = six_bytes(keys), (6 * bounds).tolist()
+                    for j, ((k, w), s) in enumerate(zip(new.values(), sketches(coded), strict=True)):
+                        size[k] = len(w)
+                        if bounds[j] < bounds[j + 1]:  # no other line can be similar to the rest
+                            body[k], sketch[k], pairs[k] = b" ".join(w), s.tobytes(), raw_keys[bounds[j] : bounds[j + 1]]
                     rows = pa.array(at)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number, pa.int64()), pa.array(ids, pa.int64()), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.array(pairs, pa.binary())], names=["doc", "mark", "line", "id", "n", "sig", "pairs"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number, pa.int64()), pa.array(ids, pa.int64()), pa.array(size, pa.int32()), pa.array(body, pa.binary()).cast(pa.string()), pa.array(sketch, pa.binary()), pa.array(pairs, pa.binary())], names=["doc", "mark", "line", "id", "n", "body", "sketch", "pairs"])
 
     kind = docs.schema["doc"].dataType.simpleString()
-    return docs.select("doc", "mark", "text").mapInArrow(find, f"doc {kind}, mark long, line long, id long, n long, sig binary, pairs binary")
+    return docs.select("doc", "mark", "text").mapInArrow(find, f"doc {kind}, mark long, line long, id long, n int, body string, sketch binary, pairs binary")
 
 
 def postings(lines: DataFrame, n_lines: int) -> DataFrame:
-    """``list, rep, n, sig``: each line under those of its word pairs that another line has too.
+    """``list, rep, n``: each line under those of its word pairs that another line has too.
 
-    lines: ``rep, n, sig, pairs``, where a line may come several times. How many have a pair is asked of the pair's bucket; a block of lines asks once for each distinct pair.
+    lines: ``rep, n, pairs``, where a line may come several times. How many have a pair is asked of the pair's bucket;
+    a block of lines asks once for each distinct pair, by 32 bits within the bucket: pairs taken for one another only
+    make a list longer than it need be.
     """
     blocks = buckets = parts_for(n_lines * 16, 1 << 20)
     rows = lines.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int"))
@@ -184,12 +198,12 @@ def postings(lines: DataFrame, n_lines: int) -> DataFrame:
 
     def ask(group: pa.Table) -> pa.Table:
         group, _, distinct, _, times = keys_of(group)
-        out = [(b, group.column("block")[0].as_py(), six_bytes(distinct[at]), (times[at] > 1).tobytes()) for b, at in by_bucket(distinct)]
+        out = [(b, group.column("block")[0].as_py(), distinct[at].astype("<u4").tobytes(), np.packbits(times[at] > 1).tobytes()) for b, at in by_bucket(distinct)]
         return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "block", "keys", "more"])
 
     def answer(group: pa.Table) -> pa.Table:
-        parts = [from_six(x) for x in group.column("keys").to_pylist()]
-        more = np.concatenate([np.frombuffer(x, bool) for x in group.column("more").to_pylist()])
+        parts = [np.frombuffer(x, "<u4") for x in group.column("keys").to_pylist()]
+        more = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)) for x, p in zip(group.column("more").to_pylist(), parts, strict=True)])
         _, where = np.unique(np.concatenate(parts), return_inverse=True)
         shared = (np.bincount(where, 1 + more) > 1)[where]
         said = [x.tobytes() for x in np.split(shared, np.cumsum([len(p) for p in parts])[:-1])]
@@ -203,84 +217,36 @@ def postings(lines: DataFrame, n_lines: int) -> DataFrame:
             shared[at] = np.frombuffer(said[b], bool)
         at = np.flatnonzero(shared[where])
         row = pa.array(row[at])
-        return pa.table([pa.array(distinct[where[at]].astype(np.int64)), *(group.column(c).take(row) for c in ("rep", "n", "sig"))], ["list", "rep", "n", "sig"])
+        return pa.table([pa.array(distinct[where[at]].astype(np.int64)), *(group.column(c).take(row) for c in ("rep", "n"))], ["list", "rep", "n"])
 
     asked = rows.groupBy("block").applyInArrow(ask, "bucket int, block int, keys binary, more binary")
     replies = asked.groupBy("bucket").applyInArrow(answer, "block int, bucket int, shared binary")
-    return rows.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(post, "list long, rep long, n long, sig binary")
+    return rows.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(post, "list long, rep long, n int")
 
 
-def first_pairs(posts: DataFrame, most: int, similarity: float) -> DataFrame:
-    """``a, b``: the first line of each list and every other one within the distance. Lists stream through their task."""
+def first_pairs(posts: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: the first line of each list and every other one of a similar length. Lists stream through their task."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head: tuple[int, int, np.ndarray, int] | None = None
+        head: tuple[int, int, int] | None = None
         for batch in batches:
             if not len(batch):
                 continue
-            lists, reps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            sig, n = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").reshape(len(batch), -1), batch.column(3).to_numpy()
-            start = np.flatnonzero(groups(lists))
-            where = start[np.cumsum(groups(lists)) - 1]
-            a, sa, na = reps[where], sig[where].copy(), n[where]
+            lists, reps, n = (batch.column(i).to_numpy().astype(np.int64) for i in range(3))
+            new = groups(lists)
+            where = np.flatnonzero(new)[np.cumsum(new) - 1]
+            a, na = reps[where], n[where]
             if head is not None and head[0] == lists[0]:
-                same = where == 0
-                a, sa[same], na = np.where(same, head[1], a), head[2], np.where(same, head[3], na)
-            head = (int(lists[-1]), int(a[-1]), sa[-1].copy(), int(na[-1]))
-            near = (a != reps) & (np.abs(na - n) <= allowed(np.maximum(na, n), similarity)) & (distance(sa, sig) <= most)
+                a, na = np.where(where == 0, head[1], a), np.where(where == 0, head[2], na)
+            head = (int(lists[-1]), int(a[-1]), int(na[-1]))
+            near = (a != reps) & (np.abs(na - n) <= allowed(np.maximum(na, n), similarity))
             yield pa.RecordBatch.from_arrays([pa.array(a[near]), pa.array(reps[near])], names=["a", "b"])
 
-    return posts.select("list", "rep", "sig", "n").repartition("list").sortWithinPartitions("list", "rep").mapInArrow(compare, "a long, b long").distinct()
+    return posts.select("list", "rep", "n").repartition("list").sortWithinPartitions("list", "rep").mapInArrow(compare, "a long, b long").distinct()
 
 
-def other_pairs(posts: DataFrame, most: int, similarity: float) -> DataFrame:
-    """``a, b``: lines of a list within the distance and in different groups; long lists are cut in tiles.
-
-    posts: ``list, size, rep, n, sig, component``. Neighbours one apart are compared, then two apart, and so on.
-    """
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
-    own = posts.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
-    spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other")})
-
-    def pairs(t: pa.Table) -> pa.RecordBatch:
-        key = [t.column(c).to_numpy() for c in ("list", "low", "high")]
-        rep, comp, tile, n = (t.column(c).to_numpy() for c in ("rep", "component", "tile", "n"))
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u4").reshape(len(t), -1)
-        new = groups(*key)
-        left = np.diff(np.append(np.flatnonzero(new), len(t)))
-        end = np.repeat(np.cumsum(left), left)
-        live, lag, out = np.arange(len(t)), 1, []
-        while len(live := live[live + lag < end[live]]):
-            other = live + lag
-            ok = (comp[live] != comp[other]) & ((tile[live] != tile[other]) | (key[1][live] == key[2][live]))
-            ok &= np.abs(n[live] - n[other]) <= allowed(np.maximum(n[live], n[other]), similarity)
-            x, y = live[ok], other[ok]
-            near = distance(sig[x], sig[y]) <= most
-            out.append((rep[x[near]], rep[y[near]]))
-            lag += 1
-        a, b = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = t if held is None else pa.concat_tables([held, t])
-            if not len(t):
-                continue
-            begin = np.flatnonzero(groups(*(t.column(c).to_numpy() for c in ("list", "low", "high"))))[-1]
-            if begin:
-                yield pairs(t.slice(0, begin).combine_chunks())
-            held = t.slice(begin)  # the last group may go on in the next batch; a group has two tiles at most
-        if held is not None:
-            yield pairs(held.combine_chunks())
-
-    keys = ["list", "low", "high"]
-    return spread.select(*keys, "tile", "rep", "n", "sig", "component").repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(compare, "a long, b long").distinct()
-
-
-def within(x: list[str], y: list[str], most: int) -> bool:
-    """Whether ``most`` inserted, deleted or replaced words turn one line into the other."""
+def within(x: list, y: list, most: int) -> bool:
+    """Whether ``most`` inserted, deleted or replaced words turn one line into the other: bits of one column at a time."""
     at = 0
     while at < min(len(x), len(y)) and x[at] == y[at]:
         at += 1
@@ -289,72 +255,170 @@ def within(x: list[str], y: list[str], most: int) -> bool:
         x, y = x[:-1], y[:-1]
     if not x or not y or abs(len(x) - len(y)) > most:
         return max(len(x), len(y)) <= most
-    ids = {w: i for i, w in enumerate({*x, *y})}
-    across = np.array([ids[w] for w in y])
-    steps = np.arange(len(y) + 1)
-    row = steps.copy()
-    for i, w in enumerate(x, 1):
-        best = np.concatenate(([i], np.minimum(row[1:] + 1, row[:-1] + (across != ids[w]))))
-        row = np.minimum.accumulate(best - steps) + steps
-        if row.min() > most:
+    here: dict = {}
+    for i, w in enumerate(x):
+        here[w] = here.get(w, 0) | 1 << i
+    whole, last, up, down, edits = (1 << len(x)) - 1, 1 << len(x) - 1, (1 << len(x)) - 1, 0, len(x)
+    for left, w in zip(range(len(y) - 1, -1, -1), y, strict=True):
+        same = here.get(w, 0)
+        across = (((same & up) + up) ^ up) | same
+        rise, fall = down | ~(across | up) & whole, up & across
+        edits += bool(rise & last) - bool(fall & last)
+        if edits - left > most:
             return False
-    return int(row[-1]) <= most
-
+        rise, fall = rise << 1 & whole | 1, fall << 1 & whole
+        same |= down
+        up, down = fall | ~(same | rise) & whole, rise & same
+    return edits <= most
 
-def alike(x: list[str], y: list[str], most: int) -> bool:
-    """As ``within``, after a look at words that only one of the lines has."""
-    a, b = Counter(x), Counter(y)
-    return (a - b).total() <= most and (b - a).total() <= most and within(x, y, most)
 
+def alike(x: list, y: list, most: int) -> bool:
+    """As ``within``, after a look at lines that differ in replaced words only, and at words that one line alone has."""
+    if abs(len(x) - len(y)) > most:
+        return False
+    if len(x) == len(y) and sum(map(operator.ne, x, y)) <= most:
+        return True
+    return len(set(x) ^ set(y)) <= 2 * most and within(x, y, most)
 
-def similar(docs: DataFrame, pairs: DataFrame, min_words: int, similarity: float) -> DataFrame:
-    """Links among ``pairs``: edit distance in words at most ``1 - similarity`` of the longer normalised line."""
-    pairs = cut(pairs)
-    wanted = cut(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct())
-
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = raw_texts(batch.column(0))
-            for part in pieces(raw):
-                found = {xxhash.xxh3_64_intdigest(x) >> 1: x for text in raw[part] for words in normal_lines(text) if len(words) >= min_words for x in [b" ".join(words)]}
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([x.decode() for x in found.values()], pa.string())], names=["id", "body"])
 
+def bodies_of(seen: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id, body`` of the wanted lines (``id``), from the first row that has it."""
+    wanted = cut(ids.distinct())
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    bodies = cut(docs.select("text").mapInArrow(lines, "id long, body string").join(wanted, "id").groupBy("id").agg(F.first("body").alias("body")))
+    return seen.select("id", "body").where("body IS NOT NULL").join(wanted, "id", "left_semi").groupBy("id").agg(F.first("body").alias("body"))
+
+
+def similar(seen: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Links among ``pairs``: edit distance in words at most ``1 - similarity`` of the longer normalised line."""
+    bodies = cut(bodies_of(seen, pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id")))))
     texts = pairs.join(bodies.select(F.col("id").alias("a"), F.col("body").alias("x")), "a").join(bodies.select(F.col("id").alias("b"), F.col("body").alias("y")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (batch.column(i).to_pylist() for i in (2, 3))
-            words = [(a.split(" "), b.split(" ")) for a, b in zip(x, y, strict=True)]
-            ok = [alike(a, b, int((1 - similarity) * max(len(a), len(b)))) for a, b in words]
+            ok = []
+            for x, y in zip(*(batch.column(i).to_pylist() for i in (2, 3)), strict=True):
+                x, y = x.split(" "), y.split(" ")
+                ok.append(alike(x, y, int((1 - similarity) * max(len(x), len(y)))))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return texts.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def fuzzy_groups(docs: DataFrame, lines: DataFrame, n_lines: int, min_words: int, most: int, similarity: float) -> DataFrame:
-    """``node, component`` of the lines that have a link. lines: ``rep, n, sig, pairs``."""
-    posts = cut(postings(lines, n_lines))
-    links = cut(similar(docs, first_pairs(posts, most, similarity), min_words, similarity))
+def in_tiles(posts: DataFrame) -> DataFrame:
+    """Lists cut in tiles of bounded size: a row goes to every pair of tiles that its own is one of."""
+    tiles = F.ceil(F.col("size") / TILE).cast("int")
+    own = posts.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    return own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other")})
+
+
+def tile_pairs(t: pa.Table, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of two rows of one pair of tiles that can be links: neighbours one apart, then two apart, and so on."""
+    key = [t.column(c).to_numpy() for c in ("list", "low", "high")]
+    comp, tile, n = (t.column(c).to_numpy().astype(np.int64) for c in ("component", "tile", "n"))
+    sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), U64).reshape(len(t), -1)
+    left = np.diff(np.append(np.flatnonzero(groups(*key)), len(t)))
+    end = np.repeat(np.cumsum(left), left)
+    live, lag = np.arange(len(t)), 1
+    while len(live := live[live + lag < end[live]]):
+        x, y = live, live + lag
+        ok = (comp[x] != comp[y]) & ((tile[x] != tile[y]) | (key[1][x] == key[2][x]))
+        x, y = x[ok], y[ok]
+        edits, apart = allowed(np.maximum(n[x], n[y]), similarity), np.abs(n[x] - n[y])
+        ok = apart <= edits
+        x, y, most = x[ok], y[ok], (2 * edits - apart)[ok]
+        ok = distance(sketch[x], sketch[y]) <= most
+        yield x[ok], y[ok]
+        lag += 1
+
+
+def whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables that hold whole pairs of tiles; a pair has two tiles at most, and may go on in the next batch."""
+    held: pa.Table | None = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = t if held is None else pa.concat_tables([held, t])
+        if not len(t):
+            continue
+        begin = np.flatnonzero(groups(*(t.column(c).to_numpy() for c in ("list", "low", "high"))))[-1]
+        if begin:
+            yield t.slice(0, begin).combine_chunks()
+        held = t.slice(begin)
+    if held is not None:
+        yield held.combine_chunks()
+
+
+def other_links(posts: DataFrame, seen: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: links between lines of a list that are in different groups; a list of m lines gives less than m a tile.
+
+    posts: ``list, size, rep, n, component``. Sketches leave few rows; these get their words, and are compared.
+    """
+    keys = ["list", "low", "high"]
+    described = seen.where("sketch IS NOT NULL").select(F.col("id").alias("rep"), "sketch")
+    described = posts.select("rep").distinct().join(described, "rep").groupBy("rep").agg(F.first("sketch").alias("sketch"))
+    rows = in_tiles(posts.join(described, "rep")).select(*keys, "tile", "rep", "n", "component", "sketch")
+
+    def active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_tiles(batches):
+            met = np.zeros(len(t), bool)
+            for x, y in tile_pairs(t, similarity):
+                met[x] = met[y] = True
+            yield from t.filter(pa.array(met)).to_batches()
+
+    kinds = "list long, low int, high int, tile int, rep long, n int, component long, sketch binary"
+    left = cut(rows.repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(active, kinds))
+    texts = left.join(bodies_of(seen, left.select(F.col("rep").alias("id"))).withColumnRenamed("id", "rep"), "rep")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_tiles(batches):
+            rep, words, root, out = t.column("rep").to_pylist(), {}, {}, []
+            bodies = t.column("body")
+            # a group of lines is one node of its list; each row's list and tiles are in its node's name
+            number = np.cumsum(groups(*(t.column(c).to_numpy() for c in keys)))
+            node = list(zip(number.tolist(), t.column("component").to_pylist(), strict=True))
+
+            def find(x):
+                while (up := root.get(x, x)) != x:
+                    root[x] = x = root.get(up, up)
+                return x
+
+            for xs, ys in tile_pairs(t, similarity):
+                for x, y in zip(xs.tolist(), ys.tolist(), strict=True):
+                    if (a := find(node[x])) == (b := find(node[y])):
+                        continue
+                    for i in (x, y):
+                        if i not in words:
+                            words[i] = bodies[i].as_py().split(" ")
+                    if alike(words[x], words[y], int((1 - similarity) * max(len(words[x]), len(words[y])))):
+                        root[a] = b
+                        out.append((rep[x], rep[y]))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+    return texts.select(*keys, "tile", "rep", "n", "component", "sketch", "body").repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(link, "a long, b long").distinct()
+
+
+def fuzzy_groups(seen: DataFrame, n_lines: int, similarity: float) -> DataFrame:
+    """``node, component`` of the lines that have a link."""
+    posts = cut(postings(seen.where("pairs IS NOT NULL").select(F.col("id").alias("rep"), "n", "pairs"), n_lines))
+    pairs = cut(first_pairs(posts, similarity))
+    links = cut(similar(seen, pairs, similarity))
     near = cut(components(links))
-    placed = cut(posts.join(near, F.col("rep") == F.col("node"), "left").select("list", "rep", "n", "sig", F.coalesce("component", "rep").alias("component")))
-    # a list whose lines are in one group is done
-    lists = placed.groupBy("list").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("size > 2 AND c1 < c2").select(F.col("list").alias("l"), "size")
-    placed = placed.join(lists, F.col("list") == F.col("l")).drop("l")
-    more = similar(docs, other_pairs(placed, most, similarity), min_words, similarity)
-    return components(links.unionByName(more))
+    few = near.count() <= BROADCAST_ROWS
+    placed = posts.join(F.broadcast(near) if few else near, F.col("rep") == F.col("node"), "left").select("list", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    # a list whose lines are in one group is done, and one of two lines was compared
+    lists = cut(placed.groupBy("list").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("size > 2 AND c1 < c2").select("list", "size"))
+    more = cut(other_links(placed.join(lists, "list"), seen, similarity))
+    found = components(links.unionByName(more))
+    drop(posts, pairs, links, near, lists, more)
+    return found
 
 
-def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 4, most: int = 7, similarity: float = 0.85) -> DataFrame:
+def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 1, similarity: float = 0.85) -> DataFrame:
     """Remove every line that repeats an earlier one exactly or nearly; all input columns return, with ``text`` replaced.
 
-    Adds ``n_lines`` and ``n_removed``. Lines are split at ``\\n``. Lines of fewer than ``min_words`` normalised words
-    always stay. Two lines are linked when their edit similarity in words is ``similarity`` or more; every such pair
-    meets, and is compared unless the SimHashes differ in more than ``most`` of 256 bits: with ``WIDE``, which the
-    queries use, edit similarity alone decides; 7 keeps to small edits of long lines. Equal normalised lines are
-    linked. Of each
+    Adds ``n_lines`` and ``n_removed``. Lines are split at ``\\n``. Lines without a word, and of fewer than ``min_words``
+    normalised words, always stay; letters of scripts without blanks count as words. Equal normalised lines are linked,
+    and all others whose edit similarity in words is ``similarity`` or more (so of six words at least, at 0.85). Of each
     connected group the first occurrence by (key, line number) stays; null keys come first. Null texts stay null, empty
     ones empty, both with no line removed. Rows equal in key and text are treated alike. Texts of any length count
     whole; an empty table gives an empty result; input columns named ``n_lines`` or ``n_removed`` are replaced.
@@ -364,7 +428,7 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wor
     # the first occurrence, as (key is not null, key, text, line)
     place = F.struct(F.col("doc").isNotNull().alias("known"), "doc", "mark", "line")
     lines = cut(seen.groupBy("id").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")))
-    near = fuzzy_groups(rows, seen.where("octet_length(pairs) > 0").select(F.col("id").alias("rep"), "n", "sig", "pairs"), lines.count(), min_words, most, similarity)
+    near = fuzzy_groups(seen, lines.count(), similarity)
     placed = cut(lines.join(near, F.col("id") == F.col("node"), "left").select("id", "first", "times", F.coalesce("component", "id").alias("group")))
     firsts = placed.groupBy(F.col("group").alias("g")).agg(F.min("first").alias("stays"), F.sum("times").alias("all")).where("all > 1")
     groups_ = cut(placed.join(firsts, F.col("group") == F.col("g")).select(F.col("id").alias("i"), "stays"))
@@ -372,7 +436,9 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wor
         ~(F.col("doc").eqNullSafe(F.col("stays.doc")) & (F.col("mark") == F.col("stays.mark")) & (F.col("line") == F.col("stays.line")))
     )
     gone = cut(gone.groupBy("doc", "mark").agg(F.array_sort(F.collect_set("line")).alias("gone")).select(F.col("doc").alias("__op_doc"), F.col("mark").alias("__op_mark"), F.col("gone").alias("__op_gone")))
-    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, F.col(key).eqNullSafe(F.col("__op_doc")) & (F.xxhash64(text) == F.col("__op_mark")), "left")
+    size = gone.agg(F.coalesce(F.sum(F.size("__op_gone") + 4), F.lit(0))).first()[0]
+    drop(seen, lines, placed, groups_)
+    out = docs.join(F.broadcast(gone) if size <= BROADCAST_ENTRIES else gone, F.col(key).eqNullSafe(F.col("__op_doc")) & (F.xxhash64(text) == F.col("__op_mark")), "left")
     split = F.split(F.col(text), "\n")
     kept = F.transform(
         F.filter(F.arrays_zip(split.alias("l"), F.sequence(F.lit(0).cast("long"), F.size(split).cast("long") - 1).alias("i")), lambda x: ~F.array_contains("__op_gone", x["i"])),
@@ -386,4 +452,4 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wor
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(table(spark, sf_dir, "documents"), most=WIDE).select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+    return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_kept_chars"), F.sha2("text", 256).alias("kept_sha256"))

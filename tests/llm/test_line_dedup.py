@@ -1,4 +1,7 @@
+from collections import Counter
+
 import numpy as np
+from pyspark.sql import functions as F
 import xxhash
 
 from sparkloom.llm import line_dedup as ld
@@ -13,15 +16,14 @@ def edit(a, b):
     return row[-1]
 
 
-def brute(rows, min_words=4, most=7, similarity=0.85):
-    """Over all pairs of distinct lines."""
+def brute(rows, min_words=1, similarity=0.85):
+    """Over all pairs of distinct lines, by edit similarity alone."""
     where = {}
     for doc, text in rows:
         for n, words in enumerate(ld.normal_lines((text or "").encode())):
             if len(words) >= min_words:
                 where.setdefault(b" ".join(words).decode(), []).append(((doc is not None, doc), ld_mark(text), n))
     bodies = sorted(where)
-    sig = ld.simhashes([b.encode().split() for b in bodies]) if bodies else []
     parent = list(range(len(bodies)))
 
     def find(x):
@@ -31,9 +33,10 @@ def brute(rows, min_words=4, most=7, similarity=0.85):
 
     links = 0
     for i in range(len(bodies)):
-        for j in np.flatnonzero(ld.distance(sig[i + 1 :], sig[i][None]) <= most) + i + 1:
+        for j in range(i + 1, len(bodies)):
             x, y = bodies[i].split(" "), bodies[j].split(" ")
-            if edit(x, y) <= int((1 - similarity) * max(len(x), len(y))):
+            k = int((1 - similarity) * max(len(x), len(y)))
+            if abs(len(x) - len(y)) <= k and (Counter(x) - Counter(y)).total() <= k and edit(x, y) <= int((1 - similarity) * max(len(x), len(y))):
                 links += 1
                 parent[find(i)] = find(j)
     groups = {}
@@ -58,8 +61,6 @@ def ld_mark(text):
 
 
 def check(docs):
-    from pyspark.sql import functions as F
-
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     MARKS.update({r.text: r.m for r in docs.select("text", F.xxhash64("text").alias("m")).collect()})
     want, links = brute(rows)
@@ -118,12 +119,45 @@ def test_every_similar_pair(spark):
                 rows.append(w)
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
     MARKS.update({r.text: r.m for r in docs.selectExpr("text", "xxhash64(text) AS m").collect()})
-    want, links = brute([(r.doc_id, r.text) for r in docs.collect()], most=256)
+    want, links = brute([(r.doc_id, r.text) for r in docs.collect()])
     assert links > 100
-    assert sorted((r.doc_id, r.text) for r in ld.line_dedup(docs, most=ld.WIDE).collect()) == sorted(want)
+    assert sorted((r.doc_id, r.text) for r in ld.line_dedup(docs).collect()) == sorted(want)
 
 
 def test_digits_count(spark):
     """Rows of numbers of equal width are different lines."""
     docs = spark.createDataFrame([(1, "12 45 78 90"), (2, "31 22 64 55"), (3, "12 45 78 90")], "doc_id long, text string")
-    assert sorted((r.doc_id, r.n_removed) for r in ld.line_dedup(docs, most=ld.WIDE).collect()) == [(1, 0), (2, 0), (3, 1)]
+    assert sorted((r.doc_id, r.n_removed) for r in ld.line_dedup(docs).collect()) == [(1, 0), (2, 0), (3, 1)]
+
+
+def test_recall_by_length(spark):
+    """Lines with as many replaced, inserted or deleted words as 0.85 allows are all found, at every length."""
+    rows, close, lengths = [], {}, (7, 10, 24, 25, 60, 99, 100, 300)
+    for words in lengths:
+        rng = np.random.default_rng(words)
+        for i in range(60):
+            base = [f"v{words}w{x}" for x in rng.integers(0, 3000, words)]
+            w, most = list(base), int(0.15 * words)
+            for at in sorted(rng.choice(words, most, replace=False), reverse=True):
+                kind = rng.integers(0, 3) if i % 2 else 0
+                w[at : at + 1] = [[f"x{i}"], [], [w[at], f"y{i}"]][kind]
+            rows += [(1000 * words + 2 * i, " ".join(base)), (1000 * words + 2 * i + 1, " ".join(w))]
+            x, y = (rows[k][1].split() for k in (-2, -1))
+            close[words] = close.get(words, 0) + (edit(x, y) <= int(0.15 * max(len(x), len(y))))
+    got = ld.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed > 0").groupBy((F.col("doc_id") / 1000).cast("int").alias("words")).count()
+    assert {r.words: r["count"] for r in got.collect()} == close and min(close.values()) > 20
+
+
+def test_short_and_blankless_lines(spark):
+    han = "今日は天気がとても良いので公園まで散歩に行きました"
+    rows = [(1, "Read more\n" + han), (2, "read more!\n" + han[:-2] + "した"), (3, "Read less\n---\n---")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_removed) for r in ld.line_dedup(docs).collect()) == [(1, 0), (2, 2), (3, 0)]
+
+
+def test_edit_distance_by_bits():
+    rng = np.random.default_rng(1)
+    for _ in range(2000):
+        x, y = ([f"{i}" for i in rng.integers(0, 5, rng.integers(0, 12))] for _ in range(2))
+        d = edit(x, y)
+        assert [ld.within(x, y, k) for k in range(13)] == [ld.alike(x, y, k) for k in range(13)] == [d <= k for k in range(13)]
