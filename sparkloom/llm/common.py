@@ -41,6 +41,13 @@ def cut(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_in_buckets(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """Write a table to the shared warehouse, bucketed by a key, so that joins and groups by it don't move its rows."""
+    name = f"sparkloom_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("compression", "zstd").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables that ``cut`` wrote; nothing may read them any more."""
     for df in tables:
