@@ -1,9 +1,9 @@
-"""Packing: lexical retrieval over a sharded BM25 index fills fixed training windows.
+"""Packing: lexical retrieval over a sharded BM25 inverted index fills fixed training windows.
 
 Tokenizing maps over the documents; whole windows of long documents are complete at once, and what is left of each
-document is dealt to a shard of bounded size. Every shard builds a BM25 inverted index over its token terms. A seed's
-weightiest terms retrieve its unused neighbours, which greedily fill the seed's window; the neighbour that no longer
-fits is cut and its rest seeds the next window.
+document goes to the shard of its weightiest term, so that neighbours meet. Every shard has a BM25 inverted index over
+its token terms, with statistics over all documents. A seed's weightiest terms retrieve its unused neighbours, which
+greedily fill the seed's window; the neighbour that no longer fits is cut and its rest seeds the next window.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts_for, table, volume
+from .common import cut, table
 
 #: The pre-token pattern of byte-level tokenizers: a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -87,115 +87,198 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+def numbers(raw: bytes, n: int) -> np.ndarray:
+    """``n`` ids of two or four bytes each."""
+    return np.frombuffer(raw, f"<u{len(raw) // n}")
+
+
+def terms_of(units: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct terms of each unit, one unit after the other, how often each occurs, and each unit's number of them."""
+    terms, counts, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+    for u in units:
+        s = np.sort(u, kind="stable")
+        first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+        terms.append(s[first].astype(np.int64))
+        counts.append(np.diff(np.append(first, len(s))))
+        sizes.append(len(first))
+    return np.concatenate(terms), np.concatenate(counts), np.array(sizes, np.int64)
+
+
+class Statistics:
+    """What BM25 counts over all documents: as many numbers as the vocabulary has entries."""
+
+    def __init__(self, df: np.ndarray, units: int, ids: int, k1: float, b: float):
+        self.idf, self.mean, self.k1, self.b = np.log1p((units - df + 0.5) / (df + 0.5)), max(1.0, ids / max(1, units)), k1, b
+
+    def weights(self, t: np.ndarray, tf: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        return self.idf[t] * tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * lengths / self.mean))
+
+
 class Shard:
     """A BM25 inverted index over units (arrays of token ids)."""
 
-    def __init__(self, units: list[np.ndarray], k1: float, b: float, query_terms: int):
+    def __init__(self, units: list[np.ndarray], stats: Statistics, query_terms: int):
         self.n, self.query_terms = len(units), query_terms
-        lengths = np.array([len(u) for u in units], np.float64)
-        terms, counts, sizes = [], [], []
-        for u in units:
-            s = np.sort(u, kind="stable")
-            first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-            terms.append(s[first])
-            counts.append(np.diff(np.append(first, len(s))))
-            sizes.append(len(first))
-        t, tf = np.concatenate(terms).astype(np.int64), np.concatenate(counts).astype(np.float64)
+        t, tf, sizes = terms_of(units)
         unit = np.repeat(np.arange(self.n), sizes)
-        df = np.bincount(t)
-        idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
-        weight = idf[t] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[unit] / lengths.mean()))
+        weight = stats.weights(t, tf, np.array([len(u) for u in units], np.float64)[unit])
         self.by_unit, self.unit_terms, self.unit_weight = np.concatenate(([0], np.cumsum(sizes))), t, weight
         order = np.argsort(t, kind="stable")
-        self.by_term, self.post_unit, self.post_weight = np.concatenate(([0], np.cumsum(df))), unit[order], weight[order]
+        self.names, begin = np.unique(t[order], return_index=True)
+        self.by_term, self.post_unit, self.post_weight = np.append(begin, len(t)), unit[order], weight[order]
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused units that share a query term with the seed, best first; ties by position."""
+    def rankings(self, seed: int, unused: np.ndarray) -> Iterator[np.ndarray]:
+        """Unused units that share a term with the seed, best first, ties by position: those that its weightiest terms
+        retrieve, then those that the next ones do, until all its terms were asked for."""
         lo, hi = self.by_unit[seed], self.by_unit[seed + 1]
-        terms, weight = self.unit_terms[lo:hi], self.unit_weight[lo:hi]
-        if len(terms) > self.query_terms:
-            terms = terms[np.argpartition(-weight, self.query_terms)[: self.query_terms]]
-        spans = [slice(self.by_term[x], self.by_term[x + 1]) for x in terms]
-        at = np.concatenate([self.post_unit[s] for s in spans])
-        score = np.bincount(at, np.concatenate([self.post_weight[s] for s in spans]), self.n)
-        found = np.flatnonzero((score > 0) & unused)
-        return found[np.argsort(-score[found], kind="stable")]
-
-
-def fill(units: list[np.ndarray], room_for: int, k1: float, b: float, query_terms: int, look: int) -> list[list[tuple[int, int, int]]]:
-    """Windows of (unit, first id, ids). Every id of every unit lies in exactly one."""
-    shard = Shard(units, k1, b, query_terms)
+        place = np.searchsorted(self.names, self.unit_terms[lo:hi][np.argsort(-self.unit_weight[lo:hi], kind="stable")])
+        for at in range(0, len(place), self.query_terms):
+            spans = [slice(self.by_term[x], self.by_term[x + 1]) for x in place[at : at + self.query_terms]]
+            score = np.bincount(np.concatenate([self.post_unit[s] for s in spans]), np.concatenate([self.post_weight[s] for s in spans]), self.n)
+            found = np.flatnonzero((score > 0) & unused)
+            if len(found):
+                yield found[np.argsort(-score[found], kind="stable")]
+
+
+def fill(units: list[np.ndarray], room_for: int, stats: Statistics, query_terms: int) -> list[list[tuple[int, int, int]]]:
+    """Windows of (unit, first id, ids). Every id of every unit lies in exactly one.
+
+    A seed's neighbours follow it in the order of their rank; the one that no longer fits is cut, and its rest seeds the
+    next window. When the seed retrieves nothing more, the units after it in the window are asked, one by one.
+    """
+    shard = Shard(units, stats, query_terms)
+    sizes = [len(u) for u in units]
     unused = np.ones(len(units), bool)
     windows, seed, first, turn = [], None, 0, 0
     while True:
+        while turn < len(units) and not unused[turn]:
+            turn += 1
         if seed is None:
-            while turn < len(units) and not unused[turn]:
-                turn += 1
             if turn == len(units):
                 return windows
             seed, first = turn, 0
             unused[seed] = False
-        window = [(seed, first, len(units[seed]) - first)]
-        room, rest = room_for - window[0][2], None
-        if room:
-            near = iter(shard.neighbours(seed, unused)[:look].tolist())
-            while room:
-                unit = next(near, None)
-                if unit is None:  # no neighbour is left: the longest-waiting unit, or the first one passed over
-                    while turn < len(units) and not unused[turn]:
-                        turn += 1
-                    if rest is None and turn < len(units):
-                        unit = turn
-                    else:
-                        break
-                size = len(units[unit])
-                if size <= room:
-                    window.append((unit, 0, size))
+        window = [(seed, first, sizes[seed] - first)]
+        room, asked, seed = room_for - window[0][2], 0, None
+        while room and seed is None and asked < len(window):
+            for ranking in shard.rankings(window[asked][0], unused):
+                for unit in ranking.tolist():
+                    n = min(room, sizes[unit])
+                    window.append((unit, 0, n))
                     unused[unit] = False
-                    room -= size
-                elif rest is None:
-                    rest = unit
-            if room and rest is not None:
-                window.append((rest, 0, room))
-                unused[rest] = False
-                seed, first = rest, room
-            else:
-                seed = None
-        else:
-            seed = None
+                    room -= n
+                    if n < sizes[unit]:
+                        seed, first = unit, n
+                    if not room:
+                        break
+                if not room:
+                    break
+            asked += 1
+            if room and asked == len(window):  # nothing left shares a term with this window
+                while turn < len(units) and not unused[turn]:
+                    turn += 1
+                if turn < len(units):
+                    n = min(room, sizes[turn])
+                    window.append((turn, 0, n))
+                    unused[turn] = False
+                    room -= n
+                    if n < sizes[turn]:
+                        seed, first = turn, n
         windows.append(window)
 
 
-def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", window: int = 2048, end_id: int = 1, shard_bytes: int = 12 << 20, k1: float = 0.9, b: float = 0.4, query_terms: int = 16, look: int = 64) -> DataFrame:
+def deal(loads: dict[int, int], most: int) -> tuple[dict[int, tuple[int, int]], int]:
+    """First shard and number of shards of each term, and how many shards there are; a shard gets about ``most`` at once.
+
+    A term with more takes several shards of its own; the others share, in the order of the vocabulary.
+    """
+    out, shards, used = {}, 0, most
+    for term, load in sorted(loads.items()):
+        if load > most:
+            ways = -(-load // most)
+            out[term], shards, used = (shards, ways), shards + ways, most
+            continue
+        if used + load > most:
+            shards, used = shards + 1, 0
+        out[term], used = (shards - 1, 1), used + load
+    return out, max(1, shards)
+
+
+def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", window: int = 2048, end_id: int = 1, shard_ids: int = 3_000_000, k1: float = 0.9, b: float = 0.4, query_terms: int = 16) -> DataFrame:
     """Pack all documents into sequences of at most ``window`` ids.
 
     Returns one row per piece: ``key, start, length, ids_crc32, doc_tokens, sequence_id, offset``. A document is its ids
-    and then ``end_id``; null and empty texts are ``end_id`` alone. Only the last sequence of a shard can be short. The
-    number of shards follows the measured bytes, so that a shard always fits a task; equal rows are dealt to different
-    shards. Repeated rows are packed each, a null key stays null, an empty table gives an empty result, other columns
-    are not read. ``query_terms`` is the length of the retrieval query and ``look`` how far down its ranking a unit that
-    fits whole is sought; every unit is indexed and placed. The tokenizer file must be readable on every executor.
+    and then ``end_id``; null and empty texts are ``end_id`` alone. Only the last sequence of a shard can be short.
+    Documents go to the shard of their weightiest term, by statistics over all documents; a shard gets about
+    ``shard_ids`` ids, and a term with more is split over several by a hash of key and ids, so that equal rows and null
+    keys are spread, too. Repeated rows are packed each, a null key stays null, an empty table gives an empty result,
+    other columns are not read. ``query_terms`` is how many of a seed's terms are asked for at a time; every unit is
+    indexed, retrieved and placed. The tokenizer file must be readable on every executor.
     """
-    shards = parts_for(volume(docs, text)[1], shard_bytes)
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = docs.schema[key].dataType
+    name, arrow = kind.simpleString(), to_arrow_type(kind)
+    schema = pa.schema([("mark", pa.int64()), ("name", arrow), ("start", pa.int64()), ("length", pa.int64()), ("crc", pa.int64()), ("total", pa.int64()), ("ids", pa.binary())])
+    result = pa.schema([(key, arrow), *((c, pa.int64()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))])
+    units_kind = f"mark long, name {name}, start long, length long, crc long, total long, ids binary"
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         end = np.array([end_id], encode.dtype)
-        seen: dict[tuple, int] = {}
+        seen: dict[int, int] = {}
         for batch in batches:
             rows: list[tuple] = []
-            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.concatenate((encode(body or ""), end))
                 n, whole = len(ids), len(ids) // window * window
-                same = (name, n, zlib.crc32(ids.tobytes()))
+                same = zlib.crc32(ids.tobytes(), zlib.crc32(repr(doc).encode())) << 32 | n & 0xFFFFFFFF
                 seen[same] = times = seen.get(same, 0) + 1
-                mark = zlib.crc32(repr((name, times)).encode())
+                mark = zlib.crc32(repr((same, times)).encode())
                 for at in range(0, whole, window):
-                    rows.append(((mark + at // window) % shards, name, at, window, crc(ids[at : at + window]), n, None))
+                    rows.append((mark + at // window, doc, at, window, crc(ids[at : at + window]), n, None))
                 if whole < n:
-                    rows.append((mark % shards, name, whole, n - whole, None, n, ids[whole:].tobytes()))
+                    rows.append((mark, doc, whole, n - whole, None, n, ids[whole:].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else pa.RecordBatch.from_pylist([], schema)
 
+    def ids_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+        return [numbers(x, n) for x, n in zip(batch.column("ids").to_pylist(), batch.column("length").to_pylist(), strict=True)]
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            n = np.bincount(terms_of(ids_of(batch))[0])
+            total = np.pad(total, (0, max(0, len(n) - len(total))))
+            total[: len(n)] += n
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["term", "n"])
+
+    units = cut(docs.select(F.col(key), F.col(text)).mapInArrow(tokenize, units_kind))
+    rest = units.where("ids IS NOT NULL")
+    # as many rows as the vocabulary has entries
+    found = rest.select("length", "ids").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(max(found.column("term").to_pylist(), default=0) + 1)
+    df[found.column("term").to_numpy()] = found.column("n").to_numpy()
+    n_units, n_ids = rest.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    stats = Statistics(df, n_units, n_ids, k1, b)
+
+    def weightiest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t, tf, sizes = terms_of(ids_of(batch))
+            length = batch.column("length").to_numpy().astype(np.float64)
+            unit = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((t, -stats.weights(t, tf, length[unit]), unit))
+            top = t[order][np.cumsum(sizes) - sizes]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(top)], names=[*batch.schema.names, "term"])
+
+    # a unit's overhead counts, too: very short documents don't make a shard of millions of units
+    placed = cut(rest.mapInArrow(weightiest, units_kind + ", term long"))
+    loads = placed.groupBy("term").agg(F.sum(F.col("length") + 64).alias("load")).toArrow()
+    shard_of, shards = deal(dict(zip(*(loads.column(c).to_pylist() for c in ("term", "load")), strict=True)), shard_ids)
+    plan = docs.sparkSession.createDataFrame([(t, *x) for t, x in shard_of.items()], "term long, first int, ways int")
+    whole = units.where("ids IS NULL").withColumn("shard", F.pmod("mark", F.lit(shards)).cast("int"))
+    dealt = whole.unionByName(placed.join(F.broadcast(plan), "term").withColumn("shard", F.col("first") + F.pmod("mark", "ways").cast("int")).drop("term", "first", "ways"))
+
     def fill_shard(group: pa.Table) -> pa.Table:
         left = group.column("ids").to_pylist()
         names, starts, sizes, sums, totals = (group.column(c).to_pylist() for c in ("name", "start", "length", "crc", "total"))
@@ -205,9 +288,8 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
             sequence += 1
         rest = [i for i, x in enumerate(left) if x is not None]
         rest.sort(key=lambda i: (names[i] is None, names[i] or 0, starts[i], left[i]))
-        width = np.dtype("<u2") if not rest or len(left[rest[0]]) == 2 * sizes[rest[0]] else np.dtype("<u4")
-        units = [np.frombuffer(left[i], width) for i in rest]
-        for one in fill(units, window, k1, b, query_terms, look) if units else []:
+        units = [numbers(left[i], sizes[i]) for i in rest]
+        for one in fill(units, window, stats, query_terms) if units else []:
             offset = 0
             for unit, first, n in one:
                 i = rest[unit]
@@ -216,14 +298,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
             sequence += 1
         return pa.table([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), result, strict=True)], schema=result)
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    kind = docs.schema[key].dataType
-    schema = pa.schema([("shard", pa.int32()), ("name", to_arrow_type(kind)), ("start", pa.int64()), ("length", pa.int64()), ("crc", pa.int64()), ("total", pa.int64()), ("ids", pa.binary())])
-    result = pa.schema([(key, to_arrow_type(kind)), *((c, pa.int64()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))])
-    name = kind.simpleString()
-    cut_up = docs.select(F.col(key), F.col(text)).mapInArrow(tokenize, f"shard int, name {name}, start long, length long, crc long, total long, ids binary")
-    return cut_up.groupBy("shard").applyInArrow(fill_shard, f"`{key}` {name}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return dealt.groupBy("shard").applyInArrow(fill_shard, f"`{key}` {name}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
