@@ -224,25 +224,43 @@ def postings(lines: DataFrame, n_lines: int) -> DataFrame:
     return rows.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(post, "list long, rep long, n int")
 
 
-def first_pairs(posts: DataFrame, similarity: float) -> DataFrame:
-    """``a, b``: the first line of each list and every other one of a similar length. Lists stream through their task."""
+def compared_with_first(posts: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: the first line of each list and every other one of a similar length; ``list, rep, n``: lists of three and more.
+
+    Lists stream through their task, which holds two rows of a list at most. A pair has null ``list``.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head: tuple[int, int, int] | None = None
+        held = np.zeros((0, 3), np.int64)  # the first rows, up to two, of the list that may go on
+        seen = 0  # how many rows of it there were
         for batch in batches:
             if not len(batch):
                 continue
-            lists, reps, n = (batch.column(i).to_numpy().astype(np.int64) for i in range(3))
-            new = groups(lists)
-            where = np.flatnonzero(new)[np.cumsum(new) - 1]
+            rows = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)], 1)
+            before = len(held)
+            old = seen if before and held[0, 0] == rows[0, 0] else 0
+            if not old:
+                before, held = 0, held[:0]
+            rows = np.concatenate([held, rows])
+            lists, reps, n = rows.T
+            begin = np.flatnonzero(groups(lists))
+            size = np.diff(np.append(begin, len(rows)))
+            where = np.repeat(begin, size)
             a, na = reps[where], n[where]
-            if head is not None and head[0] == lists[0]:
-                a, na = np.where(where == 0, head[1], a), np.where(where == 0, head[2], na)
-            head = (int(lists[-1]), int(a[-1]), int(na[-1]))
             near = (a != reps) & (np.abs(na - n) <= allowed(np.maximum(na, n), similarity))
-            yield pa.RecordBatch.from_arrays([pa.array(a[near]), pa.array(reps[near])], names=["a", "b"])
+            near[:before] = False
+            total = size.copy()
+            total[0] += max(0, old - before)
+            long = np.repeat(total > 2, size)
+            if old > 2:
+                long[:before] = False  # given out already
+            x, y = a[near], reps[near]
+            out = [np.concatenate((v, np.zeros(long.sum(), np.int64))) for v in (x, y)] + [np.concatenate((np.zeros(len(x), np.int64), v[long])) for v in (lists, reps, n)]
+            post = np.arange(len(out[0])) >= len(x)
+            yield pa.RecordBatch.from_arrays([pa.array(v, mask=post) for v in out[:2]] + [pa.array(v, mask=~post) for v in out[2:]], names=["a", "b", "list", "rep", "n"])
+            held, seen = rows[begin[-1] : begin[-1] + 2], int(total[-1])
 
-    return posts.select("list", "rep", "n").repartition("list").sortWithinPartitions("list", "rep").mapInArrow(compare, "a long, b long").distinct()
+    return posts.select("list", "rep", "n").repartition("list").sortWithinPartitions("list", "rep").mapInArrow(compare, "a long, b long, list long, rep long, n long")
 
 
 def within(x: list, y: list, most: int) -> bool:
@@ -291,6 +309,7 @@ def bodies_of(seen: DataFrame, ids: DataFrame) -> DataFrame:
 
 def similar(seen: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """Links among ``pairs``: edit distance in words at most ``1 - similarity`` of the longer normalised line."""
+    pairs = cut(pairs)
     bodies = cut(bodies_of(seen, pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id")))))
     texts = pairs.join(bodies.select(F.col("id").alias("a"), F.col("body").alias("x")), "a").join(bodies.select(F.col("id").alias("b"), F.col("body").alias("y")), "b")
 
@@ -365,7 +384,7 @@ def other_links(posts: DataFrame, seen: DataFrame, similarity: float) -> DataFra
                 met[x] = met[y] = True
             yield from t.filter(pa.array(met)).to_batches()
 
-    kinds = "list long, low int, high int, tile int, rep long, n int, component long, sketch binary"
+    kinds = "list long, low int, high int, tile int, rep long, n long, component long, sketch binary"
     left = cut(rows.repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(active, kinds))
     texts = left.join(bodies_of(seen, left.select(F.col("rep").alias("id"))).withColumnRenamed("id", "rep"), "rep")
 
@@ -399,17 +418,16 @@ def other_links(posts: DataFrame, seen: DataFrame, similarity: float) -> DataFra
 
 def fuzzy_groups(seen: DataFrame, n_lines: int, similarity: float) -> DataFrame:
     """``node, component`` of the lines that have a link."""
-    posts = cut(postings(seen.where("pairs IS NOT NULL").select(F.col("id").alias("rep"), "n", "pairs"), n_lines))
-    pairs = cut(first_pairs(posts, similarity))
-    links = cut(similar(seen, pairs, similarity))
+    posts = cut(compared_with_first(postings(seen.where("pairs IS NOT NULL").select(F.col("id").alias("rep"), "n", "pairs"), n_lines), similarity))
+    links = cut(similar(seen, posts.where("list IS NULL").select("a", "b").distinct(), similarity))
     near = cut(components(links))
     few = near.count() <= BROADCAST_ROWS
-    placed = posts.join(F.broadcast(near) if few else near, F.col("rep") == F.col("node"), "left").select("list", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    placed = posts.where("list IS NOT NULL").join(F.broadcast(near) if few else near, F.col("rep") == F.col("node"), "left").select("list", "rep", "n", F.coalesce("component", "rep").alias("component"))
     # a list whose lines are in one group is done, and one of two lines was compared
-    lists = cut(placed.groupBy("list").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("size > 2 AND c1 < c2").select("list", "size"))
+    lists = cut(placed.groupBy("list").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("list", "size"))
     more = cut(other_links(placed.join(lists, "list"), seen, similarity))
     found = components(links.unionByName(more))
-    drop(posts, pairs, links, near, lists, more)
+    drop(posts, links, near, lists, more)
     return found
 
 
