@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +16,10 @@ from ..functions.text import tokens
 BROADCAST_ROWS = 200_000
 
 
+#: Text of a question table that is sent to every executor, and vectors of a block of them.
+QUESTION_BYTES, QUERY_BLOCK = 16 << 20, 4096
+
+
 def sized(df: DataFrame) -> DataFrame:
     """The table with a broadcast hint if a count proves it small."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
@@ -36,42 +44,185 @@ def top(df: DataFrame, k: int, score: str = "score", key: str = "doc_id", by: st
     return df.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(F.desc(score), key))).where(F.col("rank") <= k)
 
 
+class Questions:
+    """A stated set of questions as arrays, for scoring inside a document's row."""
+
+    def __init__(self, queries: DataFrame):
+        rows = queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("ts")).toArrow()
+        self.ids, lists = rows.column("query_id").combine_chunks(), rows.column("ts").to_pylist()
+        self.n_terms = np.array([len(x) for x in lists], np.int64)
+        self.terms = sorted({t for x in lists for t in x})
+        number = {t: i for i, t in enumerate(self.terms)}
+        asked: list[list[int]] = [[] for _ in self.terms]
+        for q, x in enumerate(lists):
+            for t in x:
+                asked[number[t]].append(q)
+        self.number, self.asked = number, [np.array(x) for x in asked]
+
+
+def fits(queries: DataFrame) -> bool:
+    """Whether a question table is small enough to be sent to every executor as it is."""
+    n, size = queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    return n <= BROADCAST_ROWS // 10 and size <= QUESTION_BYTES
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 0.9, b: float = 0.4, min_match: bool = False) -> DataFrame:
-    """``query_id, doc_id, score, rank``. ``min_match``: up to two terms all must occur, of more 70 % (rounded down)."""
+    """``query_id, doc_id, score, matched, n_terms, rank``: the best ``k``. ``matched``: the question's terms that occur.
+
+    ``min_match``: up to two terms all must occur, of more 70 % (rounded down). One scan counts document frequencies of
+    the questions' terms; another scores every document in its own row against all questions and keeps the best ``k``
+    of a batch, so no posting is shuffled. A question table beyond ``QUESTION_BYTES`` is joined instead.
+    """
+    if not fits(queries):
+        return bm25_joined(docs, queries, k, k1, b, min_match)
+    q = Questions(queries)
+    ts = tokens(F.col("text"))
+    rows = docs.select("doc_id", F.size(ts).alias("dl"), F.filter(ts, lambda t: t.isin(q.terms)).alias("hits"))
+    # the empty term stands for the document itself
+    counted = rows.select("dl", F.explode(F.array_union(F.array_distinct("hits"), F.array(F.lit("")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("dl")).toArrow().to_pydict()
+    df = dict(zip(counted["term"], counted["n"], strict=True))
+    n_docs, all_tokens = (dict(zip(counted["term"], counted[c], strict=True)).get("", 0) for c in ("n", "dl"))
+    idf = np.array([np.log1p((n_docs - df.get(t, 0) + 0.5) / (df.get(t, 0) + 0.5)) for t in q.terms])
+    mean = all_tokens / max(1, n_docs)
+    need = np.where(q.n_terms <= 2, q.n_terms, np.floor(q.n_terms * 0.7)) if min_match else np.ones(len(q.n_terms))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, dl = batch.column(0), batch.column(1).to_numpy().astype(np.float64)
+            hits = batch.column(2)
+            at = np.repeat(np.arange(len(batch)), np.diff(hits.offsets.to_numpy()))
+            code = hits.flatten().dictionary_encode()
+            known = np.array([q.number[t] for t in code.dictionary.to_pylist()], np.int64)
+            pair, tf = np.unique(known[code.indices.to_numpy()] * len(batch) + at, return_counts=True)
+            term, doc = np.divmod(pair, max(1, len(batch)))
+            part = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[doc] / mean))
+            total, met = np.zeros((len(q.ids), len(batch))), np.zeros((len(q.ids), len(batch)), np.int32)
+            begin = np.flatnonzero(np.diff(term, prepend=-1))
+            for lo, hi in zip(begin, np.append(begin[1:], len(term)), strict=True):
+                cell = np.ix_(q.asked[term[lo]], doc[lo:hi])
+                total[cell] += part[lo:hi]
+                met[cell] += 1
+            order = np.argsort(np.argsort(names.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
+            out: list[tuple[int, np.ndarray]] = []
+            rounded = np.round(total, 6)
+            for i in range(len(q.ids)):
+                found = np.flatnonzero((met[i] > 0) & (met[i] >= need[i]))
+                if len(found) > k:
+                    found = found[np.lexsort((order[found], -rounded[i, found]))[:k]]
+                out.append((i, found))
+            which = np.concatenate([np.full(len(x), i) for i, x in out] or [np.zeros(0, np.int64)]).astype(np.int64)
+            there = np.concatenate([x for _, x in out] or [np.zeros(0, np.int64)]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([q.ids.take(pa.array(which)), names.take(pa.array(there)), pa.array(total[which, there]), pa.array(met[which, there].astype(np.int64)), pa.array(q.n_terms[which])], names=["query_id", "doc_id", "score", "matched", "n_terms"])
+
+    kind = lambda t, c: t.schema[c].dataType.simpleString()
+    scored = rows.where(F.size("hits") > 0).mapInArrow(score, f"query_id {kind(queries, 'query_id')}, doc_id {kind(docs, 'doc_id')}, score double, matched long, n_terms long")
+    return top(scored.withColumn("score", F.round("score", 6)), k)
+
+
+def bm25_joined(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 0.9, b: float = 0.4, min_match: bool = False) -> DataFrame:
+    """The same by joins, for question tables of any size."""
     qt = query_terms(queries)
     hits = postings(docs, qt)
     stats = docs.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighted = sized(qt.join(df, "term").crossJoin(F.broadcast(stats)).withColumn("idf", F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))))
+    weighted = qt.join(df, "term").crossJoin(F.broadcast(stats)).withColumn("idf", F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     tf = F.col("tf")
     part = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
-    scored = hits.join(weighted, "term").groupBy("query_id", "doc_id", "n_terms").agg(F.round(F.sum(part), 6).alias("score"), F.count(F.lit(1)).alias("matched"))
+    scored = hits.join(weighted, "term").groupBy("query_id", "doc_id", F.col("n_terms").cast("long").alias("n_terms")).agg(F.round(F.sum(part), 6).alias("score"), F.count(F.lit(1)).alias("matched"))
     if min_match:
         need = F.when(F.col("n_terms") <= 2, F.col("n_terms")).otherwise(F.floor(F.col("n_terms") * 0.7))
         scored = scored.where(F.col("matched") >= need)
-    return top(scored.select("query_id", "doc_id", "score"), k)
+    return top(scored, k).select("query_id", "doc_id", "score", "matched", "n_terms", "rank")
 
 
 def phrase(docs: DataFrame, queries: DataFrame, length: int) -> DataFrame:
-    """``query_id, doc_id, n``: occurrences of each query's first ``length`` tokens as a phrase, by aligned positions."""
-    q = queries.select("query_id", F.slice(tokens(F.col("text")), 1, length).alias("ts")).where(F.size("ts") > 0)
-    q = q.select("query_id", F.size("ts").alias("need"), F.posexplode("ts").alias("at", "term"))
-    d = docs.select("doc_id", F.posexplode(tokens(F.col("text"))).alias("pos", "term"))
-    return (
-        d.join(sized(q), "term").groupBy("query_id", "doc_id", "need", (F.col("pos") - F.col("at")).alias("start")).agg(F.count(F.lit(1)).alias("n"))
-        .where("n = need").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    )
+    """``query_id, doc_id, n``: places in a document where a run of ``length`` tokens of the question stands.
+
+    Questions with fewer tokens are not sought as phrases. A document's runs are looked up inside its row, all at once by
+    a rolling hash and the few that match by their words; a question table beyond ``QUESTION_BYTES`` is cut in blocks.
+    """
+    kind = lambda t, c: t.schema[c].dataType.simpleString()
+    size = queries.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks, found = -(-max(1, size) // QUESTION_BYTES), None
+    rows = docs.select("doc_id", tokens(F.col("text")).alias("ts")).where(F.size("ts") >= length)
+    for i in range(blocks):
+        block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        part = rows.mapInArrow(_runs(block.select("query_id", tokens(F.col("text")).alias("ts")).toArrow(), length), f"query_id {kind(queries, 'query_id')}, doc_id {kind(docs, 'doc_id')}, n long")
+        found = part if found is None else found.unionAll(part)
+    return found
+
+
+def _runs(questions: pa.Table, length: int):
+    ids, number, wanted = questions.column("query_id").combine_chunks(), {}, {}
+    for q, ts in enumerate(questions.column("ts").to_pylist()):
+        codes = [number.setdefault(t, len(number)) for t in ts]
+        for at in range(len(codes) - length + 1):
+            wanted.setdefault(tuple(codes[at : at + length]), set()).add(q)
+    powers = np.array([pow(0x9E3779B97F4A7C15, j + 1, 1 << 64) for j in range(length)], np.uint64)
+    hashes = np.unique((np.array(list(wanted), np.uint64).reshape(-1, length) * powers).sum(1, dtype=np.uint64))
 
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, code = batch.column(1).offsets.to_numpy(), batch.column(1).flatten().dictionary_encode()
+            known = np.array([number.get(t, -1) for t in code.dictionary.to_pylist()], np.int64)
+            c = known[code.indices.to_numpy()] if len(code) else np.zeros(0, np.int64)
+            doc = np.repeat(np.arange(len(batch)), np.diff(offsets))
+            n = max(0, len(c) - length + 1)
+            h, ok = np.zeros(n, np.uint64), np.ones(n, bool)
+            for j in range(length):
+                h += c[j : j + n].astype(np.uint64) * powers[j]
+                ok &= c[j : j + n] >= 0
+            if n:
+                ok &= doc[:n] == doc[length - 1 :]
+            counts: dict[tuple[int, int], int] = {}
+            for at in np.flatnonzero(ok)[np.isin(h[ok], hashes)].tolist():
+                for q in wanted.get(tuple(c[at : at + length].tolist()), ()):
+                    counts[q, int(doc[at])] = counts.get((q, int(doc[at])), 0) + 1
+            q, d = (pa.array([x[i] for x in counts], pa.int64()) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([ids.take(q), batch.column(0).take(d), pa.array(list(counts.values()), pa.int64())], names=["query_id", "doc_id", "n"])
 
-def dot(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(F.col(a), F.col(b), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return look
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, keep: Column | None = None) -> DataFrame:
-    """Exact inner-product search. ``keep`` filters before the ranking. The query set meets every row once."""
-    rows = vectors if keep is None else vectors.where(keep)
-    pairs = rows.select("vec_id", "embedding").join(sized(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))), F.col("vec_id") != F.col("query_id"))
-    return top(pairs.select("query_id", "vec_id", F.round(dot("embedding", "q"), 5).alias("score")), k, key="vec_id")
+    """Exact inner-product search: ``query_id, vec_id, score, rank``; a vector doesn't find itself.
+
+    ``keep`` filters before the ranking. Batches of rows meet blocks of the stated query set in matrix products, and only
+    the best ``k`` of a batch leave its task. A null vector, and one of another length than the question's, is no hit.
+    """
+    rows = (vectors if keep is None else vectors.where(keep)).where("embedding IS NOT NULL").select("vec_id", "embedding")
+    asked = queries.where("embedding IS NOT NULL").select("vec_id", "embedding")
+    kind = vectors.schema["vec_id"].dataType.simpleString()
+    found = None
+    blocks = -(-max(1, asked.count()) // QUERY_BLOCK)
+    for i in range(blocks):
+        block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i)
+        part = rows.mapInArrow(_nearest(block.toArrow(), k), f"query_id {kind}, vec_id {kind}, score double")
+        found = part if found is None else found.unionAll(part)
+    return top(found.withColumn("score", F.round("score", 5)), k, key="vec_id")
+
+
+def _nearest(questions: pa.Table, k: int):
+    ids = questions.column("vec_id").combine_chunks()
+    lists = questions.column("embedding").to_pylist()
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, vectors = batch.column(0), batch.column(1)
+            size = np.diff(vectors.offsets.to_numpy())
+            for width in {len(x) for x in lists}:
+                these, here = [i for i, x in enumerate(lists) if len(x) == width], np.flatnonzero(size == width)
+                v = vectors.take(pa.array(here)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(here), width)
+                score = np.array([lists[i] for i in these], np.float64).reshape(len(these), width) @ v.T
+                name = names.take(pa.array(here)).to_numpy(zero_copy_only=False)
+                order = np.argsort(np.argsort(name, kind="stable"), kind="stable")
+                mine = ids.take(pa.array(these)).to_numpy(zero_copy_only=False)
+                best = [np.flatnonzero(name != x) for x in mine]
+                best = [x[np.lexsort((order[x], -np.round(score[i, x], 5)))[:k]] for i, x in enumerate(best)]
+                which, there = np.repeat(np.arange(len(these)), [len(x) for x in best]), np.concatenate(best).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.array(these)[which])), names.take(pa.array(here[there])), pa.array(score[which, there])], names=["query_id", "vec_id", "score"])
+
+    return search
 
 
 def children(parent_hits: DataFrame, chunks: DataFrame, per_parent: int = 3) -> DataFrame:

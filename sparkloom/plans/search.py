@@ -38,11 +38,10 @@ sc AS (SELECT query_id, doc_id, n_terms, count(*) AS matched,
 bm25 AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc)
 """
 PHRASE = f"""
-pq AS (SELECT query_id, need, unnest(range(0, need)) AS slot, unnest(ts) AS term FROM
-  (SELECT query_id, least(len(ts), 8) AS need, ts[1:8] AS ts FROM (SELECT item_id AS query_id, {TOKENS} AS ts FROM benchmark) WHERE len(ts) > 0)),
-pd AS (SELECT doc_id, unnest(range(0, len(ts))) AS pos, unnest(ts) AS term FROM (SELECT doc_id, {TOKENS} AS ts FROM documents)),
-phrase AS (SELECT query_id, doc_id, count(*) AS n FROM (SELECT query_id, doc_id, need, pos - slot AS start FROM pd JOIN pq USING (term)
-  GROUP BY query_id, doc_id, need, pos - slot HAVING count(*) = need) GROUP BY query_id, doc_id)
+pq AS (SELECT DISTINCT query_id, array_to_string(ts[i : i + 7], ' ') AS run FROM (SELECT query_id, ts, unnest(range(1, len(ts) - 6)) AS i FROM
+  (SELECT item_id AS query_id, {TOKENS} AS ts FROM benchmark))),
+pd AS (SELECT doc_id, array_to_string(ts[i : i + 7], ' ') AS run FROM (SELECT doc_id, ts, unnest(range(1, len(ts) - 6)) AS i FROM (SELECT doc_id, {TOKENS} AS ts FROM documents))),
+phrase AS (SELECT query_id, doc_id, count(*) AS n FROM pd JOIN pq USING (run) GROUP BY query_id, doc_id)
 """
 
 
@@ -72,13 +71,13 @@ def term_stats(spark, sf_dir):
 
 @query(f"WITH {BM25} SELECT query_id, doc_id, score, rank FROM bm25 WHERE rank <= 10")
 def bm25_topk(spark, sf_dir):
-    return retrieval.bm25(docs(spark, sf_dir), questions(spark, sf_dir))
+    return retrieval.bm25(docs(spark, sf_dir), questions(spark, sf_dir)).select("query_id", "doc_id", "score", "rank")
 
 
 @query(f"""WITH {BM25}, mm AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc
   WHERE matched >= CASE WHEN n_terms <= 2 THEN n_terms ELSE floor(n_terms * 0.7) END) SELECT * FROM mm WHERE rank <= 10""")
 def bm25_min_match(spark, sf_dir):
-    return retrieval.bm25(docs(spark, sf_dir), questions(spark, sf_dir), min_match=True)
+    return retrieval.bm25(docs(spark, sf_dir), questions(spark, sf_dir), min_match=True).select("query_id", "doc_id", "score", "rank")
 
 
 @query(f"WITH {PHRASE} SELECT query_id, doc_id, n FROM phrase")
@@ -181,11 +180,8 @@ def budget_prefix(spark, sf_dir):
 SELECT query_id, max(round(coverage, 6)) AS coverage, max(supporting) AS supporting, CASE WHEN max(supporting) < 1 THEN 'weak' WHEN max(coverage) < 0.6 THEN 'incomplete' ELSE 'sufficient' END AS verdict FROM c GROUP BY query_id""")
 def evidence_gate(spark, sf_dir):
     """Whether the best ten hits support an answer: enough score, then enough of the question's terms in one of them."""
-    d, q = docs(spark, sf_dir), questions(spark, sf_dir)
-    qt = retrieval.query_terms(q)
-    hits = retrieval.bm25(d, q)
-    there = retrieval.postings(d, qt).join(retrieval.sized(qt), "term").groupBy("query_id", "doc_id", "n_terms").agg((F.count(F.lit(1)) / F.first("n_terms")).alias("coverage"))
-    by = hits.join(there, ["query_id", "doc_id"]).groupBy("query_id").agg(F.max(F.round("coverage", 6)).alias("coverage"), F.max("coverage").alias("exact"), F.count_if(F.col("score") >= 20).alias("supporting"))
+    hits = retrieval.bm25(docs(spark, sf_dir), questions(spark, sf_dir)).withColumn("coverage", F.col("matched") / F.col("n_terms"))
+    by = hits.groupBy("query_id").agg(F.max(F.round("coverage", 6)).alias("coverage"), F.max("coverage").alias("exact"), F.count_if(F.col("score") >= 20).alias("supporting"))
     return by.select("query_id", "coverage", "supporting", F.when(F.col("supporting") < 1, "weak").when(F.col("exact") < 0.6, "incomplete").otherwise("sufficient").alias("verdict"))
 
 
@@ -200,8 +196,11 @@ def lexical_rerank(spark, sf_dir):
     """The best 24 by the share of the question's weight, with weights counted inside the pool."""
     d, q = docs(spark, sf_dir), questions(spark, sf_dir)
     qt = retrieval.query_terms(q)
-    pool = retrieval.bm25(d, q, 24)
-    there = retrieval.postings(d, qt).join(retrieval.sized(pool.select("query_id", "doc_id", "score")), "doc_id").join(qt.select("query_id", "term"), ["query_id", "term"])
+    pool = retrieval.bm25(d, q, 24).select("query_id", "doc_id", "score")
+    # only documents of the pool are read again, and their tokens meet their own questions
+    words = d.join(pool.select("doc_id").distinct(), "doc_id").select("doc_id", F.array_distinct(T.tokens(F.col("text"))).alias("ts"))
+    asked = qt.groupBy("query_id").agg(F.collect_list("term").alias("asked"))
+    there = pool.join(words, "doc_id").join(asked, "query_id").select("query_id", "doc_id", "score", F.explode(F.array_intersect("asked", "ts")).alias("term"))
     sizes = pool.groupBy("query_id").agg(F.count(F.lit(1)).alias("pool_n"))
     df = there.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df"))
     weights = qt.join(sizes, "query_id").join(df, ["query_id", "term"], "left").select("query_id", "term", F.log1p(F.col("pool_n") / (1 + F.coalesce("df", F.lit(0)))).alias("idf"))
