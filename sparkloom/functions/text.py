@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,7 +49,3 @@ def heading_tree(path: Column) -> Column:
 def short_hash(*parts: Column, length: int = 32) -> Column:
     """Hex digest of parts joined by the unit separator."""
     return F.substring(F.sha2(F.concat_ws("\u001f", *[p.cast("string") for p in parts]), 256), 1, length)
-
-
-def masked(text: Column, patterns: list[str]) -> Column:
-    return reduce(lambda t, p: F.regexp_replace(t, p, " "), patterns, text)

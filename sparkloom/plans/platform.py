@@ -7,45 +7,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import access, jobs, planner
+from ..operators import access, jobs
 from ..sources.tables import table
+from .registry import registry
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registry()
 
 
 def events(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "events")
 
 
-@query(r"""SELECT conv_id, turn, len(regexp_extract_all(text, '\S+'))::BIGINT AS n_words,
-  turn > min(turn) OVER (PARTITION BY conv_id) AND (len(regexp_extract_all(text, '\S+')) <= 4 OR regexp_matches(lower(text), '(^|[^a-z])(it|that|this|they|those)([^a-z]|$)')) AS follow_up FROM conversations WHERE role = 'user'""")
-def follow_ups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").where("role = 'user'")
-    n = planner.word_count(F.col("text"))
-    later = F.col("turn") > F.min("turn").over(W.partitionBy("conv_id"))
-    return c.select("conv_id", "turn", n.cast("long").alias("n_words"), (later & ((n <= 4) | F.lower("text").rlike(r"(^|[^a-z])(it|that|this|they|those)([^a-z]|$)"))).alias("follow_up"))
-
-
-@query()
-def planner_routes(spark, sf_dir):
-    """Identifiers, flags and route of every user turn (word boundaries differ between the engines beyond ASCII)."""
-    c = table(spark, sf_dir, "conversations").where("role = 'user'")
-    follow = planner.word_count(F.col("text")) <= 4
-    t = F.col("text")
-    return c.select("conv_id", "turn", planner.identifiers(t).alias("identifiers"), planner.flags(t).alias("flags"), planner.route(t, follow).alias("route"))
-
-
 PARTS = """c AS (SELECT c_custkey, 'tenant' || (c_nationkey % 3) AS tenant_id, c_acctbal > 0 AS is_active, 10 * (1 + c_custkey % 4) AS visibility_rank, c_mktsegment AS seg, c_custkey % 11 = 0 AS old,
  DATE '2024-01-01' + (c_custkey % 365)::INT AS day FROM customer)"""
 
@@ -70,22 +42,22 @@ def acl_filter(spark, sf_dir):
 
 
 JOBS = """j AS (SELECT event_id AS id, 'tenant' || (user_id % 5) AS tenant_id, CASE event_type WHEN 'error' THEN 10 WHEN 'purchase' THEN 100 ELSE 500 END AS priority, ts AS run_after,
- CASE WHEN event_type = 'signup' AND value > 95 THEN 'running' ELSE 'queued' END AS status FROM events)"""
+ CASE WHEN event_type = 'signup' AND event_id % 401 = 7 THEN 'running' ELSE 'queued' END AS status FROM events)"""
 
 
 def job_table(spark, sf_dir) -> DataFrame:
     kind = F.col("event_type")
     return events(spark, sf_dir).select(
         F.col("event_id").alias("id"), F.concat(F.lit("tenant"), F.pmod("user_id", F.lit(5))).alias("tenant_id"), F.when(kind == "error", 10).when(kind == "purchase", 100).otherwise(500).alias("priority"),
-        F.col("ts").alias("run_after"), F.when((kind == "signup") & (F.col("value") > 95), "running").otherwise("queued").alias("status"),
+        F.col("ts").alias("run_after"), F.when((kind == "signup") & (F.pmod("event_id", F.lit(401)) == 7), "running").otherwise("queued").alias("status"),
     )
 
 
 @query(f"""WITH {JOBS}, r AS (SELECT tenant_id, count(*) AS running FROM j WHERE status = 'running' GROUP BY tenant_id),
 q AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY priority, run_after, id) AS rn FROM j WHERE status = 'queued')
-SELECT id, q.tenant_id, priority, rn FROM q LEFT JOIN r USING (tenant_id) WHERE rn + coalesce(running, 0) <= 40 ORDER BY priority, run_after, id LIMIT 50""")
+SELECT id, q.tenant_id, priority, rn FROM q LEFT JOIN r USING (tenant_id) WHERE rn + coalesce(running, 0) <= 400 ORDER BY priority, run_after, id LIMIT 50""")
 def queue_claim(spark, sf_dir):
-    return jobs.claim(job_table(spark, sf_dir), 40, 50)
+    return jobs.claim(job_table(spark, sf_dir), 400, 50)
 
 
 @query(f"WITH {JOBS} SELECT tenant_id, status, count(*) AS n, min(run_after) AS oldest FROM j GROUP BY ALL")

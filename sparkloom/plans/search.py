@@ -8,20 +8,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evals, retrieval
-from ..sources.tables import html_blocks, table
+from ..sources.pages import html_blocks
+from ..sources.tables import table
+from .registry import registry
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registry()
 
 
 TOKENS = r"list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+'), lambda t: NOT contains(t, '_'))"

@@ -8,20 +8,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import upkeep
-from ..sources.tables import html_blocks, table
+from ..sources.pages import html_blocks
+from ..sources.tables import table
+from .registry import registry
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registry()
 
 
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events)
@@ -80,11 +71,11 @@ def cost_rollup(spark, sf_dir):
     return sums.withColumn("cost", F.round(F.coalesce("n_in", F.lit(0)) * F.lit(0.000003) + F.coalesce("n_out", F.lit(0)) * F.lit(0.000015), 8))
 
 
-@query("""WITH d AS (SELECT DISTINCT o_orderdate::DATE AS as_of FROM orders WHERE o_custkey % 50 = 0), v AS (SELECT c_custkey, DATE '1995-01-01' + (c_custkey % 1200)::INT AS s FROM customer)
+@query("""WITH d AS (SELECT DISTINCT o_orderdate::DATE AS as_of FROM orders), v AS (SELECT c_custkey, DATE '1995-01-01' + (c_custkey % 1200)::INT AS s FROM customer)
 SELECT strftime(as_of, '%Y-%m-%d') AS as_of, count(c_custkey) AS n FROM d LEFT JOIN v ON s <= as_of AND s + 90 >= as_of GROUP BY as_of""")
 def effective_on(spark, sf_dir):
     """How many versions are in effect on each day: intervals become days, so that the join is an equi-join."""
-    days = table(spark, sf_dir, "orders").where("o_custkey % 50 = 0").select(F.col("o_orderdate").cast("date").alias("as_of")).distinct()
+    days = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("as_of")).distinct()
     start = F.date_add(F.lit("1995-01-01").cast("date"), F.pmod("c_custkey", F.lit(1200)).cast("int"))
     steps = table(spark, sf_dir, "customer").select(start.alias("s"))
     counts = upkeep.in_effect(steps, "s", 90)
@@ -94,7 +85,7 @@ def effective_on(spark, sf_dir):
 @query()
 def html_sections(spark, sf_dir):
     """Heading paths of every block of a page, and the size of each section."""
-    blocks = upkeep.heading_paths(html_blocks(table(spark, sf_dir, "pages")), "page_id")
+    blocks = upkeep.heading_paths(html_blocks(table(spark, sf_dir, "pages")).where("kind <> 'title'"), "page_id")
     return blocks.groupBy("page_id", "path").agg(F.count(F.lit(1)).alias("n_blocks"), F.sum(T.approx_tokens(F.col("text"))).alias("n_tokens"))
 
 

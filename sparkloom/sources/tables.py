@@ -1,76 +1,9 @@
-"""The given tables, and HTML pages as typed blocks."""
+"""The given tables."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-class _Blocks(HTMLParser):
-    """Headings, list items and paragraphs in their order; scripts and styles are skipped."""
-
-    HIDDEN = {"script", "style", "noscript", "template"}
-    BREAKS = {"p", "div", "section", "article", "main", "ul", "ol", "table", "tr", "header", "footer", "nav", "blockquote", "pre", "br"}
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.out: list[tuple[str, int, str]] = []
-        self.words: list[str] = []
-        self.kind, self.level, self.hidden, self.in_title, self.title = "paragraph", 0, 0, False, ""
-
-    def flush(self) -> None:
-        if body := " ".join(" ".join(self.words).split()):
-            self.out.append((self.kind, self.level, body))
-        self.words, self.kind, self.level = [], "paragraph", 0
-
-    def handle_starttag(self, tag, attrs):
-        if tag in self.HIDDEN:
-            self.hidden += 1
-        elif tag == "title":
-            self.in_title = True
-        elif len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
-            self.flush()
-            self.kind, self.level = "heading", int(tag[1])
-        elif tag == "li":
-            self.flush()
-            self.kind = "list"
-        elif tag in self.BREAKS:
-            self.flush()
-
-    def handle_endtag(self, tag):
-        if tag in self.HIDDEN:
-            self.hidden = max(0, self.hidden - 1)
-        elif tag == "title":
-            self.in_title = False
-        elif tag == "li" or tag in self.BREAKS or (len(tag) == 2 and tag[0] == "h" and tag[1] in "123456"):
-            self.flush()
-
-    def handle_data(self, data):
-        if self.in_title:
-            self.title += data
-        elif not self.hidden:
-            self.words.append(data)
-
-
-def html_blocks(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """``key, position, kind, level, text``: one row a block; null pages have none."""
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                p = _Blocks()
-                p.feed(body or "")
-                p.close()
-                p.flush()
-                rows += [(name, i, *b) for i, b in enumerate(p.out)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, (batch.schema.field(0).type, pa.int32(), pa.string(), pa.int32(), pa.string()), strict=True)], names=[key, "position", "kind", "level", "text"])
-
-    return pages.select(key, html).mapInArrow(parse, f"`{key}` {pages.schema[key].dataType.simpleString()}, position int, kind string, level int, text string")
