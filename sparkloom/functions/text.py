@@ -49,3 +49,10 @@ def heading_tree(path: Column) -> Column:
 def short_hash(*parts: Column, length: int = 32) -> Column:
     """Hex digest of parts joined by the unit separator."""
     return F.substring(F.sha2(F.concat_ws("\u001f", *[p.cast("string") for p in parts]), 256), 1, length)
+
+
+def exact_terms(token: Column) -> Column:
+    """A code as it is, its runs of letters and of digits, and all of them in one, each once, lower-cased."""
+    low = F.lower(token)
+    parts = F.regexp_extract_all(low, F.lit(r"([a-z]+|[0-9]+)"), F.lit(1))
+    return F.array_distinct(F.concat(F.array(low), parts, F.array(F.array_join(parts, ""))))

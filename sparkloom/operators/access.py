@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -37,3 +37,27 @@ def predicate(s: Scope) -> Column:
     for column, values in s.narrow.items():
         out = out & F.col(column).isin(*values)
     return out
+
+
+def visible_to(chunks: DataFrame, users: DataFrame, key: str) -> DataFrame:
+    """``user_id, key``: what each user of a table may see. Groups meet by equi-joins; a denied group takes a row away.
+
+    users: ``user_id, tenant_id, rank, groups``. ``*`` is everybody's group. Only rows of a user's generation and
+    collections count where the table of users names them (``generation``, ``collections``).
+    """
+    asks = users.select("user_id", "tenant_id", "rank", *(c for c in ("generation", "collections") if c in users.columns), F.explode(F.concat("groups", F.array(F.lit("*")))).alias("group"))
+    rows = chunks.where("is_active").select("*", F.explode("access_groups").alias("group"))
+    ok = F.col("visibility_rank") <= F.col("rank")
+    if "generation" in users.columns:
+        ok = ok & (rows["generation"] == asks["generation"])
+    if "collections" in users.columns:
+        ok = ok & (F.col("collections").isNull() | F.array_contains("collections", F.col("collection_id")))
+    seen = rows.join(asks, ["tenant_id", "group"]).where(ok).select("user_id", key).distinct()
+    denied = chunks.select(key, "tenant_id", F.explode("denied_groups").alias("group")).join(users.select("user_id", "tenant_id", F.explode("groups").alias("group")), ["tenant_id", "group"])
+    return seen.join(denied.select("user_id", key).distinct(), ["user_id", key], "left_anti")
+
+
+def capabilities(roles: DataFrame, granted: DataFrame) -> DataFrame:
+    """``role, capability``: a role has what roles of its rank or lower are granted. Both tables hold one row a role."""
+    of = granted.join(roles.withColumnRenamed("rank", "from_rank"), "role").select("capability", "from_rank")
+    return roles.join(F.broadcast(of), F.col("from_rank") <= F.col("rank")).select("role", "capability").distinct()

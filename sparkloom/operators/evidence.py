@@ -15,7 +15,10 @@ VALUES = [
     r"\b\d{1,2}\s+[A-Z][a-z]+\s+\d{4}\b", r"\b\d{4}-\d{2}-\d{2}\b", r"\b[A-Z]{2,6}[-_]\d{2,}(?:[-_]\d+)*\b", r"\b\d+\.\d+(?:\.\d+)*\b", r"\b\d+(?:\.\d+)?\s*%",
     r"(?i)\b\d[\d,]*(?:\.\d+)?\s*(?:EUR|USD|GBP|€|\$|£)\b", r"(?i)\b\d+\s*(?:seconds?|minutes?|hours?|days?|weeks?|months?|years?)\b", r"\b\d{1,2}:\d{2}\b", r"\b\d[\d,]*(?:\.\d+)?\b",
 ]
-NUMBERS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve"]
+NUMBERS = {
+    "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "ten": "10", "eleven": "11", "twelve": "12",
+    "fourteen": "14", "fifteen": "15", "twenty": "20", "thirty": "30", "sixty": "60", "ninety": "90", "hundred": "100",
+}
 
 
 def values(text: Column) -> Column:
@@ -26,14 +29,14 @@ def values(text: Column) -> Column:
         whole = f"(?i)({pattern[4:]})" if pattern.startswith("(?i)") else f"({pattern})"
         found.append(F.transform(F.regexp_extract_all(rest, F.lit(whole), F.lit(1)), lambda v: F.trim(v)))
         rest = F.regexp_replace(rest, pattern, " ")
-    named = [F.when(text.rlike(rf"(?i)\b{w}\b"), F.array(F.lit(w), F.lit(str(n)))).otherwise(F.array().cast("array<string>")) for n, w in enumerate(NUMBERS)]
+    named = [F.when(text.rlike(rf"(?i)\b{w}\b"), F.array(F.lit(w), F.lit(n))).otherwise(F.array().cast("array<string>")) for w, n in NUMBERS.items()]
     return F.array_distinct(F.concat(*found, *named))
 
 
 def comparable(text: Column) -> Column:
     """One form for prose and table cells: single blanks, lower case, no thousands separators, digits for words."""
     flat = F.replace(squeeze(text), F.lit(","), F.lit(""))
-    return reduce(lambda t, nw: F.regexp_replace(t, rf"\b{nw[1]}\b", str(nw[0])), enumerate(NUMBERS), flat)
+    return reduce(lambda t, x: F.regexp_replace(t, rf"\b{x[0]}\b", x[1]), NUMBERS.items(), flat)
 
 
 def supported(value: Column, ground: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: First bytes of file kinds in hex, and the kind of a name's ending.
-MAGIC = {"255044462D": "application/pdf", "504B0304": "application/zip", "89504E470D0A1A0A": "image/png", "FFD8FF": "image/jpeg", "D0CF11E0A1B11AE1": "application/x-ole-storage"}
+MAGIC = {"255044462D": "application/pdf", "504B0304": "application/zip", "89504E47": "image/png", "FFD8FF": "image/jpeg", "D0CF11E0": "application/x-ole-storage"}
 ENDINGS = {"md": "text/markdown", "txt": "text/plain", "html": "text/html", "htm": "text/html", "csv": "text/csv", "json": "application/json", "pdf": "application/pdf"}
 #: Answers of a bulk write that are worth another try.
 RETRYABLE = [429, 502, 503, 504]

@@ -1,8 +1,7 @@
-"""Incremental maintenance, grants and roles, sections and chunks."""
+"""Incremental maintenance, grants and roles, sections."""
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,35 +49,3 @@ def heading_paths(blocks: DataFrame, key: str) -> DataFrame:
         out = out.withColumns({f"h{depth}": F.last(here, ignorenulls=True).over(order), f"u{depth}": F.last(F.when(F.col("l") < depth, F.col("position")), ignorenulls=True).over(order)})
     parts = [F.when(F.col(f"h{d}.position") > F.coalesce(F.col(f"u{d}"), F.lit(-1)), F.col(f"h{d}.text")) for d in range(1, 7)]
     return out.withColumn("path", F.concat_ws(" > ", *parts)).select(key, "position", "kind", "level", "text", "path")
-
-
-def chunk(blocks: DataFrame, least: int = 80, most: int = 512, parent: int = 1800) -> DataFrame:
-    """Chunks of whole blocks: ``doc_id, parent, ordinal, n_tokens, first, last``.
-
-    Blocks join the chunk before them while it is shorter than ``least`` and together they have at most ``most`` tokens;
-    a short last chunk joins back. Parents hold chunks in order up to ``parent`` tokens. A document is one group.
-    """
-
-    def pack(group: pa.Table) -> pa.Table:
-        group = group.sort_by("position")
-        units: list[list[int]] = []
-        for at, n in zip(group.column("position").to_pylist(), group.column("n_tokens").to_pylist(), strict=True):
-            if units and units[-1][0] < least and units[-1][0] + n <= most:
-                units[-1][0] += n
-                units[-1][2] = at
-            else:
-                units.append([n, at, at])
-        if len(units) > 1 and units[-1][0] < least and units[-2][0] + units[-1][0] <= most:
-            n, _, last = units.pop()
-            units[-1][0] += n
-            units[-1][2] = last
-        rows, p, used = [], 0, 0
-        for i, (n, first, last) in enumerate(units):
-            if used and used + n > parent:
-                p, used = p + 1, 0
-            used += n
-            rows.append((p, i, n, first, last))
-        doc = group.column("doc_id")[:1]
-        return pa.table([pa.concat_arrays([doc.combine_chunks()] * len(rows)), *(pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()), strict=True))], ["doc_id", "parent", "ordinal", "n_tokens", "first", "last"])
-
-    return blocks.select("doc_id", "position", "n_tokens").groupBy("doc_id").applyInArrow(pack, f"doc_id {blocks.schema['doc_id'].dataType.simpleString()}, parent int, ordinal int, n_tokens long, first int, last int")

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import evidence, jobs, lifecycle, planner, retrieval
+from ..functions import arrow
+from ..functions import text as T
+from ..operators import access, evidence, jobs, lifecycle, planner, retrieval
 from ..sources.tables import table
 from ..streaming import joins
 from .registry import registry
-from .search import BM25, TOKENS, docs, questions
+from . import platform
+from .search import BM25, PHRASE, TOKENS, docs, questions
 from .understanding import RULES, asked
 
 QUERIES, SQL, query = registry()
@@ -70,7 +74,7 @@ def _steps() -> str:
         so_far = found if i == 0 else f"list_concat(vs, {found})"
         out.append(f"v{i} AS (SELECT conv_id, turn, role, t, {so_far} AS vs, regexp_replace({t}, '{p}', ' ', 'g') AS rest FROM {rest})")
         rest = f"v{i}"
-    named = ", ".join(f"CASE WHEN regexp_matches(t, '(?i)\\b{w}\\b') THEN ['{w}', '{n}'] ELSE [] END" for n, w in enumerate(evidence.NUMBERS))
+    named = ", ".join(f"CASE WHEN regexp_matches(t, '(?i)\\b{w}\\b') THEN ['{w}', '{n}'] ELSE [] END" for w, n in evidence.NUMBERS.items())
     out.append(f"vn AS (SELECT conv_id, turn, role, t, list_concat(vs, flatten([{named}])) AS vs FROM {rest})")
     out.append("vals AS (SELECT conv_id, turn, role, t, list_filter(vs, lambda v, i: list_position(vs, v) = i) AS vs FROM vn)")
     return ", ".join(out)
@@ -84,7 +88,7 @@ def answer_values(spark, sf_dir):
 
 def _comparable(x: str) -> str:
     out = rf"replace(trim(regexp_replace(lower({x}), '\s+', ' ', 'g')), ',', '')"
-    for n, w in enumerate(evidence.NUMBERS):
+    for w, n in evidence.NUMBERS.items():
         out = rf"regexp_replace({out}, '\b{w}\b', '{n}', 'g')"
     return out
 
@@ -241,3 +245,81 @@ def plain_paragraphs(spark, sf_dir):
     strip = lambda c: F.trim(c, F.lit(" \n"))
     rows = docs(spark, sf_dir).select("doc_id", F.explode(F.split(strip(t), "\n\n")).alias("p")).where(strip(F.col("p")) != "")
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_blocks"), F.sum(F.length(strip(F.col("p")))).cast("long").alias("n_chars"))
+
+
+@query("""WITH c AS (SELECT c_custkey, c_nationkey % 3 AS tenant, c_acctbal > 0 AS is_active, 10 * (1 + c_custkey % 4) AS visibility_rank, c_mktsegment AS seg, c_custkey % 13 = 0 AS no_machinery FROM customer),
+u AS (SELECT n_nationkey AS user_id, n_nationkey % 3 AS tenant, 10 * (1 + n_nationkey % 4) AS rank, ['AUTOMOBILE', 'MACHINERY', 'FURNITURE', 'HOUSEHOLD'][1 + n_nationkey % 4] AS grp FROM nation)
+SELECT user_id, count(*) AS n FROM u JOIN c ON u.tenant = c.tenant AND is_active AND visibility_rank <= rank AND (seg = 'BUILDING' OR seg = grp) AND NOT (no_machinery AND grp = 'MACHINERY') GROUP BY user_id""")
+def acl_by_user(spark, sf_dir):
+    """How many rows each user of a table may see."""
+    four = F.array(*[F.lit(x) for x in ("AUTOMOBILE", "MACHINERY", "FURNITURE", "HOUSEHOLD")])
+    k = F.col("n_nationkey")
+    users = table(spark, sf_dir, "nation").select(k.alias("user_id"), F.concat(F.lit("tenant"), F.pmod(k, F.lit(3))).alias("tenant_id"), (10 * (1 + F.pmod(k, F.lit(4)))).alias("rank"), F.array(F.get(four, F.pmod(k, F.lit(4)))).alias("groups"))
+    return access.visible_to(platform.chunks(spark, sf_dir), users, "c_custkey").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT a.n_name AS role, count(*) AS n_capabilities FROM nation a JOIN nation b ON b.n_regionkey <= a.n_regionkey GROUP BY a.n_name")
+def capability_sets(spark, sf_dir):
+    """What each role may do: its own capabilities and those of all lower ranks."""
+    n = table(spark, sf_dir, "nation")
+    roles = n.select(F.col("n_name").alias("role"), F.col("n_regionkey").alias("rank"))
+    return access.capabilities(roles, n.select(F.col("n_name").alias("role"), F.concat(F.lit("can:"), "n_name").alias("capability"))).groupBy("role").agg(F.count(F.lit(1)).alias("n_capabilities"))
+
+
+@query("SELECT p_partkey, array_to_string(list_transform(range(1, len(ps) + 1), lambda i: array_to_string(ps[1:i], ' > ')), '|') AS paths FROM (SELECT p_partkey, string_split(lower(p_type), ' ') AS ps FROM part)")
+def heading_trees(spark, sf_dir):
+    """Every path above a heading path."""
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(T.heading_tree(F.replace(F.col("p_type"), F.lit(" "), F.lit(" > "))), "|").alias("paths"))
+
+
+@query("""WITH p AS (SELECT p_partkey, lower(p_brand || '-' || p_partkey || '/X') AS low, regexp_extract_all(lower(p_brand || '-' || p_partkey || '/X'), '[a-z]+|[0-9]+') AS ps FROM part),
+t AS (SELECT p_partkey, list_concat(list_concat([low], ps), [array_to_string(ps, '')]) AS ts FROM p) SELECT p_partkey, array_to_string(list_filter(ts, lambda x, i: list_position(ts, x) = i), '|') AS terms FROM t""")
+def exact_code_terms(spark, sf_dir):
+    """The terms that codes are found by."""
+    code = F.concat("p_brand", F.lit("-"), F.col("p_partkey").cast("string"), F.lit("/X"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(T.exact_terms(code), "|").alias("terms"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, source, list_distinct({TOKENS}) AS ts FROM documents), l AS (SELECT doc_id, ts, lag(ts) OVER (PARTITION BY source ORDER BY doc_id) AS o FROM d)
+SELECT doc_id, round(CASE WHEN len(ts) + len(o) = 0 THEN 1 ELSE len(list_intersect(ts, o)) / (len(ts) + len(o) - len(list_intersect(ts, o))) END, 6) AS jaccard FROM l WHERE o IS NOT NULL""")
+def neighbour_jaccard(spark, sf_dir):
+    """Overlap of each document's words with those of the one before it in its source."""
+    d = docs(spark, sf_dir).select("doc_id", "source", F.array_distinct(T.tokens(F.col("text"))).alias("ts"))
+    rows = d.withColumn("o", F.lag("ts").over(W.partitionBy("source").orderBy("doc_id"))).where("o IS NOT NULL")
+    return rows.select("doc_id", F.round(T.jaccard(F.col("ts"), F.col("o")), 6).alias("jaccard"))
+
+
+@query(f"""WITH {BM25}, {PHRASE}, b AS (SELECT item_id AS query_id, coalesce(max(score), 0) >= 20 AS answered FROM benchmark LEFT JOIN bm25 ON query_id = item_id GROUP BY item_id),
+g AS (SELECT b.query_id, answered, EXISTS (SELECT 1 FROM phrase p WHERE p.query_id = b.query_id) AS answerable FROM b)
+SELECT count(*) AS n, count(*) FILTER (NOT answered) AS abstained, round(coalesce(count(*) FILTER (NOT answered AND NOT answerable) / nullif(count(*) FILTER (NOT answered), 0), 1), 6) AS abstention_precision,
+ round(coalesce(count(*) FILTER (NOT answered AND NOT answerable) / nullif(count(*) FILTER (NOT answerable), 0), 1), 6) AS abstention_recall, count(*) FILTER (answered AND NOT answerable) AS made_up FROM g""")
+def abstention_quality(spark, sf_dir):
+    """Whether questions are refused that should be, and answered that should not."""
+    d, q = docs(spark, sf_dir), questions(spark, sf_dir)
+    top = retrieval.bm25(d, q, 1).select("query_id", "score")
+    gold = retrieval.phrase(d, q, 8).select("query_id").distinct().withColumn("answerable", F.lit(True))
+    rows = q.select("query_id").join(top, "query_id", "left").join(gold, "query_id", "left")
+    no, none = F.coalesce("score", F.lit(0.0)) < 20, F.col("answerable").isNull()
+    share = lambda a, b: F.round(F.coalesce(F.try_divide(F.count_if(a), F.count_if(b)), F.lit(1.0)), 6)
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(no).alias("abstained"), share(no & none, no).alias("abstention_precision"), share(no & none, none).alias("abstention_recall"), F.count_if(~no & none).alias("made_up"))
+
+
+@query(f"""WITH {BM25} SELECT query_id, 'No source is strong enough. Closest: ' || string_agg(doc_id::VARCHAR, ', ' ORDER BY rank) AS message FROM bm25 WHERE rank <= 3 GROUP BY query_id HAVING max(score) < 60""")
+def abstentions(spark, sf_dir):
+    """What is said to questions without support, with the closest documents."""
+    hits = retrieval.bm25(docs(spark, sf_dir), questions(spark, sf_dir), 3)
+    by = hits.groupBy("query_id").agg(F.max("score").alias("best"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"].cast("string")).alias("near"))
+    return by.where("best < 60").select("query_id", F.concat(F.lit("No source is strong enough. Closest: "), F.array_join("near", ", ")).alias("message"))
+
+
+@query()
+def normal_texts(spark, sf_dir):
+    """NFC texts with single blanks; their sentences and similarity hashes."""
+    rows = docs(spark, sf_dir).select("doc_id", arrow.normalize(F.col("text")).alias("t"))
+    return rows.select("doc_id", F.sha2("t", 256).alias("sha"), F.size(arrow.split_sentences(F.col("t"))).alias("n_sentences"), arrow.simhash64(T.tokens(F.col("t"))).alias("simhash"))
+
+
+@query()
+def hashed_embeddings(spark, sf_dir):
+    """A vector of every benchmark passage."""
+    return questions(spark, sf_dir).select("query_id", arrow.hashed_embedding(T.tokens(F.col("text")), 64).alias("embedding"))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import upkeep
+from ..operators import chunking, upkeep
 from ..sources.pages import html_blocks
 from ..sources.tables import table
 from .registry import registry
@@ -91,6 +91,5 @@ def html_sections(spark, sf_dir):
 
 @query()
 def chunks(spark, sf_dir):
-    """Parents and children of the paragraphs of every document."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("position", "text")).where(F.trim("text") != "")
-    return upkeep.chunk(d.withColumn("n_tokens", T.approx_tokens(F.col("text"))))
+    """Parents and children of every page, with their text."""
+    return chunking.chunk(html_blocks(table(spark, sf_dir, "pages")), "page_id")

@@ -1,10 +1,13 @@
 """Literals and contracts that SQL over the given tables does not show."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
+from sparkloom.functions import arrow
 from sparkloom.functions import text as T
-from sparkloom.operators import access, evals, evidence, planner, retrieval, upkeep
+from sparkloom.operators import access, chunking, evals, evidence, lifecycle, planner, retrieval, upkeep
 from sparkloom.sources.pages import blocks_of, html_blocks
 from sparkloom.streaming import joins, windows
 
@@ -143,12 +146,36 @@ def test_heading_paths(spark):
     assert [r.path for r in got.orderBy("position").collect()] == ["", "A", "A > B", "A > B", "A > C", "A > C > D", "E", "E", "E > F"]
 
 
-def test_chunks_cover_in_order(spark):
-    sizes = [10, 30, 60, 500, 600, 20, 400, 100, 90, 700, 5]
-    d = spark.createDataFrame([(7, i, n) for i, n in enumerate(sizes)], "doc_id int, position int, n_tokens long")
-    got = upkeep.chunk(d).orderBy("ordinal").collect()
-    assert [r.ordinal for r in got] == list(range(len(got)))
-    assert [p for r in got for p in range(r.first, r.last + 1)] == list(range(len(sizes)))
-    assert all(r.n_tokens == sum(sizes[r.first : r.last + 1]) for r in got) and all(r.n_tokens <= 512 or r.first == r.last for r in got)
-    assert sorted({r.parent for r in got}) == list(range(got[-1].parent + 1))
-    assert all(sum(r.n_tokens for r in got if r.parent == p) <= 1800 for p in range(got[-1].parent + 1))
+def test_chunks(spark):
+    small, big = "word " * 30, "One more sentence of ten words stands here for Dr. Smith. " * 60
+    table = "| A | B |\n| --- | --- |\n" + "\n".join(f"| cell number {i} | {i} |" for i in range(120))
+    blocks = [("title", 0, "T"), ("paragraph", 0, "before"), ("heading", 1, "H"), ("paragraph", 0, small), ("paragraph", 0, small), ("table", 0, "| a |"), ("paragraph", 0, small), ("heading", 2, "I"), ("paragraph", 0, big), ("heading", 1, "J"), ("heading", 2, "K"), ("table", 0, table), ("paragraph", 0, None)]
+    rows = [(1, i, *b) for i, b in enumerate(blocks)]
+    got = chunking.chunk(spark.createDataFrame(rows, "doc_id long, position int, kind string, level int, text string")).orderBy("ordinal").collect()
+    paths = list(dict.fromkeys(r.path for r in got))
+    assert paths == ["T", "T > H", "T > H > I", "T > J > K"] and [r.ordinal for r in got] == list(range(len(got)))
+    assert [(r.kind, r.n_tokens) for r in got if r.path == "T > H"] == [("paragraph", 69), ("table", 3), ("paragraph", 34)]
+    prose, tables = [r for r in got if r.path.endswith("I")], [r for r in got if r.path.endswith("K")]
+    assert len(prose) > 2 and max(r.n_tokens for r in prose) <= 512 and all(r.text.endswith("Smith.") for r in prose) and "".join(r.text for r in prose).count("Smith") == 60
+    assert len(tables) > 2 and all(r.text.startswith("| A | B |\n| --- | --- |\n| cell") and r.n_tokens <= 512 for r in tables) and sum(r.text.count("cell") for r in tables) == 120
+    assert len({r.parent for r in got}) == 4
+    with pytest.raises(ValueError):
+        chunking.chunk(spark.createDataFrame(rows, "doc_id long, position int, kind string, level int, text string"), least=900)
+
+
+def test_arrow_functions(spark):
+    assert arrow.sentences_of("He met Dr. Who. J. Smith left! (Then) it ended? nay. Yes") == ["He met Dr. Who.", "J. Smith left!", "(Then) it ended? nay.", "Yes"]
+    assert arrow.normal(" e\u0301 \t x\r\n\r\n\r\n\r\ny ") == "\u00e9 x\n\ny"
+    assert arrow.simhash([]) == 0 and arrow.simhash(["a"]) == arrow.simhash(["a", "a"]) != arrow.simhash(["b"])
+    one = int.from_bytes(hashlib.blake2b(b"a", digest_size=8).digest(), "big", signed=True)
+    assert arrow.simhash(["a", "a", "b"]) == one
+    v = arrow.embedding(["some", "words"], 64)
+    assert abs(sum(x * x for x in v) - 1) < 1e-9 and arrow.embedding([], 8) == [0.0] * 8
+    r = spark.range(1).select(arrow.split_sentences(F.lit("A b. C d.")).alias("s"), arrow.normalize(F.lit(None).cast("string")).alias("n"), arrow.simhash64(F.array(F.lit("a"))).alias("h"), T.exact_terms(F.lit("AB-1234/X")).alias("t"), T.exact_terms(F.lit("SEC-4.2.1")).alias("u")).first()
+    assert (r.s, r.n, r.h) == (["A b.", "C d."], None, one) and r.t == ["ab-1234/x", "ab", "1234", "x", "ab1234x"] and r.u == ["sec-4.2.1", "sec", "4", "2", "1", "sec421"]
+
+
+def test_file_kinds(spark):
+    rows = spark.createDataFrame([(b"%PDF-1.7", "a.txt"), (b"hello", "dir/my_fine-file.MD"), (b"", "x"), (b"\xff\xd8\xff\x00", None), (None, "_.html")], "c binary, n string")
+    got = rows.select(lifecycle.mime(F.col("c"), F.col("n")).alias("m"), lifecycle.loader(lifecycle.mime(F.col("c"), F.col("n"))).alias("l"), lifecycle.title_of(F.col("n")).alias("t")).collect()
+    assert [tuple(r) for r in got] == [("application/pdf", "parser", "a"), ("text/markdown", "markdown", "my fine file"), ("application/octet-stream", None, "x"), ("image/jpeg", "parser", "Document"), ("text/html", "html", "Document")]
