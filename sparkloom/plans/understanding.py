@@ -64,11 +64,11 @@ def injection_flags(spark, sf_dir):
  try_cast(regexp_extract(t, '(?i)\bq([1-4])\s*((?:19|20)\d{{2}})\b', 1) AS INT) AS q, try_cast(regexp_extract(t, '(?i)\bq([1-4])\s*((?:19|20)\d{{2}})\b', 2) AS INT) AS qy, regexp_matches(t, '(?i)\blast quarter\b') AS lq,
  nullif(regexp_extract(t, '\b((?:19|20)\d{{2}})\b', 1), '') AS y, identifiers FROM p),
 e AS (SELECT conv_id, turn, iso, CASE WHEN mon > 0 THEN make_date(my, mon, 1) END AS m1, make_date(qy, q * 3 - 2, 1) AS q1, CASE WHEN lq THEN DATE '2024-01-01' END AS l1, CASE WHEN len(list_filter(identifiers, lambda i: contains(i, y))) = 0 THEN make_date(y::INT, 1, 1) END AS y1 FROM d)
-SELECT conv_id, turn, coalesce(iso, m1, q1, l1, y1) AS after, coalesce(iso, last_day(m1), last_day((q1 + INTERVAL 2 MONTH)::DATE), last_day((l1 + INTERVAL 2 MONTH)::DATE), (y1 + INTERVAL 1 YEAR - INTERVAL 1 DAY)::DATE) AS before FROM e""")
+SELECT conv_id, turn, strftime(coalesce(iso, m1, q1, l1, y1), '%Y-%m-%d') AS after, strftime(coalesce(iso, last_day(m1), last_day((q1 + INTERVAL 2 MONTH)::DATE), last_day((l1 + INTERVAL 2 MONTH)::DATE), (y1 + INTERVAL 1 YEAR - INTERVAL 1 DAY)::DATE), '%Y-%m-%d') AS before FROM e""")
 def question_dates(spark, sf_dir):
     """The days each question is about, as of a fixed day."""
     when = planner.published(F.col("t"), F.lit("2024-06-01").cast("date"))
-    return asked(spark, sf_dir).select("conv_id", "turn", when.after.alias("after"), when.before.alias("before"))
+    return asked(spark, sf_dir).select("conv_id", "turn", *[F.date_format(c, "yyyy-MM-dd").alias(n) for c, n in ((when.after, "after"), (when.before, "before"))])
 
 
 FIELDS = r"list_zip(regexp_extract_all(t, '(?i)\b(author|type|doc_type|source|system)\s*:\s*(\"[^\"]+\"|\S+)', 1), regexp_extract_all(t, '(?i)\b(author|type|doc_type|source|system)\s*:\s*(\"[^\"]+\"|\S+)', 2))".replace('\\"', '"')
