@@ -29,6 +29,8 @@ from .near_dedup import BROADCAST_ROWS, TILE, pieces, raw_texts
 BITS = 256
 #: Array entries that may be sent to every executor: 8 bytes each.
 BROADCAST_ENTRIES = 2_000_000
+#: Classes of line length between those of two similar lines.
+APART = 4
 #: Bytes of text that words are counted in, and how many of the most common are told apart; they only order word pairs.
 SAMPLE, COMMON = 16 << 20, 200_000
 _KINDS = bytes(
@@ -91,6 +93,28 @@ def prefix(n: np.ndarray, similarity: float) -> np.ndarray:
     return np.where(most > 0, most + 1, 0)
 
 
+def length_class(n: np.ndarray, similarity: float) -> np.ndarray:
+    """A number that grows with a line's words, from 0 to 254: those of similar lines are ``APART`` apart at most."""
+    step = max(-1.0001 * np.log(similarity), 1e-6) / APART
+    return np.minimum(np.log(np.maximum(n, 1)) / step, 254).astype(np.uint8)
+
+
+def segments(key: np.ndarray, kind: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The list that each entry belongs to: 0 if it is alone in it, else one more than the list's smallest class.
+
+    A key's entries are cut between neighbours of more than ``APART`` classes, since no similar lines lie on both sides.
+    """
+    o = np.lexsort((kind, key))
+    new = groups(key[o])
+    new[1:] |= np.diff(kind[o].astype(np.int64)) > APART
+    begin = np.flatnonzero(new)
+    size = np.diff(np.append(begin, len(o)))
+    total = np.add.reduceat(n[o], begin) if len(begin) else n
+    out = np.zeros(len(o), np.uint8)
+    out[o] = np.repeat(np.where(total > 1, kind[o][begin].astype(np.int64) + 1, 0), size)
+    return out
+
+
 def rare_pairs(coded: tuple[np.ndarray, np.ndarray, np.ndarray], common: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Keys of each line's rarest pairs of neighbouring words, one more than its edits can change, and their bounds.
 
@@ -171,22 +195,24 @@ def occurrences(docs: DataFrame, min_words: int, similarity: float) -> DataFrame
     return docs.select("doc", "mark", "text").mapInArrow(find, f"doc {kind}, mark long, line long, id long, n int, body string, sketch binary, pairs binary")
 
 
-def postings(lines: DataFrame, n_lines: int) -> DataFrame:
-    """``list, rep, n``: each line under those of its word pairs that another line has too.
+def postings(lines: DataFrame, n_lines: int, similarity: float) -> DataFrame:
+    """``list, rep, n``: each line under those of its word pairs that another line of like length has too.
 
     lines: ``rep, n, pairs``, where a line may come several times. How many have a pair is asked of the pair's bucket;
-    a block of lines asks once for each distinct pair, by 32 bits within the bucket: pairs taken for one another only
-    make a list longer than it need be.
+    a block of lines asks once for each distinct pair and class of length, by 32 bits within the bucket: pairs taken for
+    one another only make a list longer than it need be. A pair's lines are one list for each run of classes.
     """
     blocks = buckets = parts_for(n_lines * 16, 1 << 20)
     rows = lines.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int"))
 
-    def keys_of(group: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def keys_of(group: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         group = group.sort_by("rep")
         group = group.filter(pa.array(groups(group.column("rep").to_numpy())))
         raw = group.column("pairs").to_pylist()
-        distinct, where, times = np.unique(from_six(b"".join(raw)), return_inverse=True, return_counts=True)
-        return group, np.repeat(np.arange(len(raw)), [len(x) // 6 for x in raw]), distinct, where, times
+        row = np.repeat(np.arange(len(raw)), [len(x) // 6 for x in raw])
+        kind = length_class(group.column("n").to_numpy(), similarity).astype(U64)[row]
+        distinct, where, times = np.unique(from_six(b"".join(raw)) << U64(8) | kind, return_inverse=True, return_counts=True)
+        return group, row, distinct >> U64(8), (distinct & U64(255)).astype(np.uint8), where, times
 
     def by_bucket(distinct: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         bucket = bucket_of(mix(distinct), buckets)
@@ -197,29 +223,30 @@ def postings(lines: DataFrame, n_lines: int) -> DataFrame:
                 yield b, o[edges[b] : edges[b + 1]]
 
     def ask(group: pa.Table) -> pa.Table:
-        group, _, distinct, _, times = keys_of(group)
-        out = [(b, group.column("block")[0].as_py(), distinct[at].astype("<u4").tobytes(), np.packbits(times[at] > 1).tobytes()) for b, at in by_bucket(distinct)]
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "block", "keys", "more"])
+        group, _, distinct, kind, _, times = keys_of(group)
+        out = [(b, group.column("block")[0].as_py(), distinct[at].astype("<u4").tobytes(), kind[at].tobytes(), np.packbits(times[at] > 1).tobytes()) for b, at in by_bucket(distinct)]
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "block", "keys", "kinds", "more"])
 
     def answer(group: pa.Table) -> pa.Table:
         parts = [np.frombuffer(x, "<u4") for x in group.column("keys").to_pylist()]
+        kinds = np.frombuffer(b"".join(group.column("kinds").to_pylist()), np.uint8)
         more = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)) for x, p in zip(group.column("more").to_pylist(), parts, strict=True)])
-        _, where = np.unique(np.concatenate(parts), return_inverse=True)
-        shared = (np.bincount(where, 1 + more) > 1)[where]
+        shared = segments(np.concatenate(parts), kinds, 1 + more.astype(np.int64))
         said = [x.tobytes() for x in np.split(shared, np.cumsum([len(p) for p in parts])[:-1])]
         return pa.table([group.column("block"), group.column("bucket"), pa.array(said, pa.binary())], ["block", "bucket", "shared"])
 
     def post(group: pa.Table, replies: pa.Table) -> pa.Table:
-        group, row, distinct, where, _ = keys_of(group)
+        group, row, distinct, _, where, _ = keys_of(group)
         said = dict(zip(replies.column("bucket").to_pylist(), replies.column("shared").to_pylist(), strict=True))
-        shared = np.zeros(len(distinct), bool)
+        shared = np.zeros(len(distinct), np.uint8)
         for b, at in by_bucket(distinct):
-            shared[at] = np.frombuffer(said[b], bool)
+            shared[at] = np.frombuffer(said[b], np.uint8)
         at = np.flatnonzero(shared[where])
+        lists = (distinct << U64(8) | shared)[where[at]].astype(np.int64)
         row = pa.array(row[at])
-        return pa.table([pa.array(distinct[where[at]].astype(np.int64)), *(group.column(c).take(row) for c in ("rep", "n"))], ["list", "rep", "n"])
+        return pa.table([pa.array(lists), *(group.column(c).take(row) for c in ("rep", "n"))], ["list", "rep", "n"])
 
-    asked = rows.groupBy("block").applyInArrow(ask, "bucket int, block int, keys binary, more binary")
+    asked = rows.groupBy("block").applyInArrow(ask, "bucket int, block int, keys binary, kinds binary, more binary")
     replies = asked.groupBy("bucket").applyInArrow(answer, "block int, bucket int, shared binary")
     return rows.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(post, "list long, rep long, n int")
 
@@ -418,7 +445,7 @@ def other_links(posts: DataFrame, seen: DataFrame, similarity: float) -> DataFra
 
 def fuzzy_groups(seen: DataFrame, n_lines: int, similarity: float) -> DataFrame:
     """``node, component`` of the lines that have a link."""
-    posts = cut(compared_with_first(postings(seen.where("pairs IS NOT NULL").select(F.col("id").alias("rep"), "n", "pairs"), n_lines), similarity))
+    posts = cut(compared_with_first(postings(seen.where("pairs IS NOT NULL").select(F.col("id").alias("rep"), "n", "pairs"), n_lines, similarity), similarity))
     links = cut(similar(seen, posts.where("list IS NULL").select("a", "b").distinct(), similarity))
     near = cut(components(links))
     few = near.count() <= BROADCAST_ROWS

@@ -161,3 +161,20 @@ def test_edit_distance_by_bits():
         x, y = ([f"{i}" for i in rng.integers(0, 5, rng.integers(0, 12))] for _ in range(2))
         d = edit(x, y)
         assert [ld.within(x, y, k) for k in range(13)] == [ld.alike(x, y, k) for k in range(13)] == [d <= k for k in range(13)]
+
+
+def test_lists_are_cut_by_length():
+    """No two lines of similar length and a common key are in different lists, and nobody is alone in one."""
+    rng = np.random.default_rng(4)
+    for similarity in (0.6, 0.85, 0.97, 1.0):
+        n = rng.integers(1, 400, 600)
+        key = rng.integers(0, 60, 600).astype(np.uint64)
+        kind = ld.length_class(n, similarity)
+        got = ld.segments(key, kind, np.ones(600, np.int64))
+        near = np.abs(n[:, None] - n) <= ld.allowed(np.maximum(n[:, None], n), similarity)
+        near &= (key[:, None] == key) & ~np.eye(600, dtype=bool)
+        x, y = np.nonzero(near)
+        assert (got[x] == got[y]).all() and (got[x] > 0).all()
+        _, where, size = np.unique(np.stack([key, got.astype(np.uint64)])[:, got > 0], axis=1, return_inverse=True, return_counts=True)
+        assert not len(size) or size.min() > 1
+    assert ld.segments(np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.int64)).tolist() == []
