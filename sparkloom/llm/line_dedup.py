@@ -29,6 +29,8 @@ from .near_dedup import BROADCAST_ROWS, TILE, pieces, raw_texts
 BITS = 256
 #: Array entries that may be sent to every executor: 8 bytes each.
 BROADCAST_ENTRIES = 2_000_000
+#: Bits of a number that tells the words of a bitmap apart.
+BITMAP = 20
 #: Classes of line length between those of two similar lines.
 APART = 4
 #: Bytes of text that words are counted in, and how many of the most common are told apart; they only order word pairs.
@@ -326,18 +328,23 @@ def alike(x: list, y: list, most: int) -> bool:
     return len(set(x) ^ set(y)) <= 2 * most and within(x, y, most)
 
 
-def bodies_of(seen: DataFrame, ids: DataFrame) -> DataFrame:
-    """``id, body`` of the wanted lines (``id``), from the first row that has it."""
+def column_of(seen: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """``id`` and a column of the wanted lines (``id``), from a row that has it.
+
+    A bitmap of the wanted ids, of ``2 ** BITMAP`` numbers at most whatever the input, goes to every executor, so that
+    most lines that nobody wants stay out of the shuffle.
+    """
     wanted = cut(ids.distinct())
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    return seen.select("id", "body").where("body IS NOT NULL").join(wanted, "id", "left_semi").groupBy("id").agg(F.first("body").alias("body"))
+    word, bit = F.shiftright("id", 63 - BITMAP), F.col("id").bitwiseAND(F.lit(63)).cast("int")
+    bits = wanted.groupBy(word.alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(id & 63 AS int)))").alias("bits"))
+    some = seen.select("id", column).where(F.col(column).isNotNull()).join(F.broadcast(bits), word == F.col("word")).where(F.getbit("bits", bit) == 1)
+    return some.select("id", column).join(wanted, "id", "left_semi").groupBy("id").agg(F.first(column).alias(column))
 
 
 def similar(seen: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """Links among ``pairs``: edit distance in words at most ``1 - similarity`` of the longer normalised line."""
     pairs = cut(pairs)
-    bodies = cut(bodies_of(seen, pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id")))))
+    bodies = cut(column_of(seen, pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))), "body"))
     texts = pairs.join(bodies.select(F.col("id").alias("a"), F.col("body").alias("x")), "a").join(bodies.select(F.col("id").alias("b"), F.col("body").alias("y")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,8 +407,7 @@ def other_links(posts: DataFrame, seen: DataFrame, similarity: float) -> DataFra
     posts: ``list, size, rep, n, component``. Sketches leave few rows; these get their words, and are compared.
     """
     keys = ["list", "low", "high"]
-    described = seen.where("sketch IS NOT NULL").select(F.col("id").alias("rep"), "sketch")
-    described = posts.select("rep").distinct().join(described, "rep").groupBy("rep").agg(F.first("sketch").alias("sketch"))
+    described = column_of(seen, posts.select(F.col("rep").alias("id")), "sketch").withColumnRenamed("id", "rep")
     rows = in_tiles(posts.join(described, "rep")).select(*keys, "tile", "rep", "n", "component", "sketch")
 
     def active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -413,7 +419,7 @@ def other_links(posts: DataFrame, seen: DataFrame, similarity: float) -> DataFra
 
     kinds = "list long, low int, high int, tile int, rep long, n long, component long, sketch binary"
     left = cut(rows.repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(active, kinds))
-    texts = left.join(bodies_of(seen, left.select(F.col("rep").alias("id"))).withColumnRenamed("id", "rep"), "rep")
+    texts = left.join(column_of(seen, left.select(F.col("rep").alias("id")), "body").withColumnRenamed("id", "rep"), "rep")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_tiles(batches):
