@@ -256,7 +256,8 @@ def postings(lines: DataFrame, n_lines: int, similarity: float) -> DataFrame:
 def compared_with_first(posts: DataFrame, similarity: float) -> DataFrame:
     """``a, b``: the first line of each list and every other one of a similar length; ``list, rep, n``: lists of three and more.
 
-    Lists stream through their task, which holds two rows of a list at most. A pair has null ``list``.
+    Lists stream through their task, which holds two rows of a list at most. A pair has null ``list``, and in ``n`` how
+    many bits apart the sketches of similar lines of these lengths can be.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,9 +285,10 @@ def compared_with_first(posts: DataFrame, similarity: float) -> DataFrame:
             if old > 2:
                 long[:before] = False  # given out already
             x, y = a[near], reps[near]
-            out = [np.concatenate((v, np.zeros(long.sum(), np.int64))) for v in (x, y)] + [np.concatenate((np.zeros(len(x), np.int64), v[long])) for v in (lists, reps, n)]
+            bits = (2 * allowed(np.maximum(na, n), similarity) - np.abs(na - n))[near]
+            out = [np.concatenate((v, np.zeros(long.sum(), np.int64))) for v in (x, y)] + [np.concatenate((np.zeros(len(x), np.int64), v[long])) for v in (lists, reps)]
             post = np.arange(len(out[0])) >= len(x)
-            yield pa.RecordBatch.from_arrays([pa.array(v, mask=post) for v in out[:2]] + [pa.array(v, mask=~post) for v in out[2:]], names=["a", "b", "list", "rep", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(v, mask=post) for v in out[:2]] + [pa.array(v, mask=~post) for v in out[2:]] + [pa.array(np.concatenate((bits, n[long])))], names=["a", "b", "list", "rep", "n"])
             held, seen = rows[begin[-1] : begin[-1] + 2], int(total[-1])
 
     return posts.select("list", "rep", "n").repartition("list").sortWithinPartitions("list", "rep").mapInArrow(compare, "a long, b long, list long, rep long, n long")
@@ -342,10 +344,25 @@ def column_of(seen: DataFrame, ids: DataFrame, column: str) -> DataFrame:
 
 
 def similar(seen: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """Links among ``pairs``: edit distance in words at most ``1 - similarity`` of the longer normalised line."""
+    """Links among ``pairs`` (``a, b, n``): edit distance in words at most ``1 - similarity`` of the longer normalised line.
+
+    Sketches come first (``n`` bits at most apart), and the words of what they leave.
+    """
     pairs = cut(pairs)
-    bodies = cut(column_of(seen, pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))), "body"))
-    texts = pairs.join(bodies.select(F.col("id").alias("a"), F.col("body").alias("x")), "a").join(bodies.select(F.col("id").alias("b"), F.col("body").alias("y")), "b")
+
+    def both(left: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+        of = cut(column_of(seen, left.select(F.col("a").alias("id")).unionAll(left.select(F.col("b").alias("id"))), column))
+        return of, left.join(of.select(F.col("id").alias("a"), F.col(column).alias("x")), "a").join(of.select(F.col("id").alias("b"), F.col(column).alias("y")), "b")
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), U64).reshape(len(batch), -1) for i in (3, 4))
+            yield batch.select(["a", "b"]).filter(pa.array(distance(x, y) <= batch.column(2).to_numpy()))
+
+    described, rows = both(pairs, "sketch")
+    left = cut(rows.select("a", "b", "n", "x", "y").mapInArrow(close, "a long, b long"))
+    drop(pairs, described)
+    _, texts = both(left, "body")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -452,7 +469,7 @@ def other_links(posts: DataFrame, seen: DataFrame, similarity: float) -> DataFra
 def fuzzy_groups(seen: DataFrame, n_lines: int, similarity: float) -> DataFrame:
     """``node, component`` of the lines that have a link."""
     posts = cut(compared_with_first(postings(seen.where("pairs IS NOT NULL").select(F.col("id").alias("rep"), "n", "pairs"), n_lines, similarity), similarity))
-    links = cut(similar(seen, posts.where("list IS NULL").select("a", "b").distinct(), similarity))
+    links = cut(similar(seen, posts.where("list IS NULL").select("a", "b", "n").distinct(), similarity))
     near = cut(components(links))
     few = near.count() <= BROADCAST_ROWS
     placed = posts.where("list IS NOT NULL").join(F.broadcast(near) if few else near, F.col("rep") == F.col("node"), "left").select("list", "rep", "n", F.coalesce("component", "rep").alias("component"))
