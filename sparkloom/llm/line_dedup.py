@@ -421,7 +421,8 @@ def whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 def other_links(posts: DataFrame, seen: DataFrame, similarity: float) -> DataFrame:
     """``a, b``: links between lines of a list that are in different groups; a list of m lines gives less than m a tile.
 
-    posts: ``list, size, rep, n, component``. Sketches leave few rows; these get their words, and are compared.
+    posts: ``list, size, rep, n, component``. Sketches leave few rows; these get their words, and are compared. Lines
+    that meet in several lists are possible links in all of them, and are compared in the lowest alone.
     """
     keys = ["list", "low", "high"]
     described = column_of(seen, posts.select(F.col("rep").alias("id")), "sketch").withColumnRenamed("id", "rep")
@@ -436,12 +437,14 @@ def other_links(posts: DataFrame, seen: DataFrame, similarity: float) -> DataFra
 
     kinds = "list long, low int, high int, tile int, rep long, n long, component long, sketch binary"
     left = cut(rows.repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(active, kinds))
-    texts = left.join(column_of(seen, left.select(F.col("rep").alias("id")), "body").withColumnRenamed("id", "rep"), "rep")
+    lists = left.groupBy("rep").agg(F.collect_set("list").alias("lists"))  # no more than a line's rarest pairs
+    described = column_of(seen, left.select(F.col("rep").alias("id")), "body").withColumnRenamed("id", "rep").join(lists, "rep")
+    texts = left.join(described, "rep").withColumn("lower", F.filter("lists", lambda x: x < F.col("list")))
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_tiles(batches):
-            rep, words, root, out = t.column("rep").to_pylist(), {}, {}, []
-            bodies = t.column("body")
+            rep, words, before, root, out = t.column("rep").to_pylist(), {}, {}, {}, []
+            bodies, lower = t.column("body"), t.column("lower")
             # a group of lines is one node of its list; each row's list and tiles are in its node's name
             number = np.cumsum(groups(*(t.column(c).to_numpy() for c in keys)))
             node = list(zip(number.tolist(), t.column("component").to_pylist(), strict=True))
@@ -457,13 +460,13 @@ def other_links(posts: DataFrame, seen: DataFrame, similarity: float) -> DataFra
                         continue
                     for i in (x, y):
                         if i not in words:
-                            words[i] = bodies[i].as_py().split(" ")
-                    if alike(words[x], words[y], int((1 - similarity) * max(len(words[x]), len(words[y])))):
+                            words[i], before[i] = bodies[i].as_py().split(" "), frozenset(lower[i].as_py())
+                    if before[x].isdisjoint(before[y]) and alike(words[x], words[y], int((1 - similarity) * max(len(words[x]), len(words[y])))):
                         root[a] = b
                         out.append((rep[x], rep[y]))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
-    return texts.select(*keys, "tile", "rep", "n", "component", "sketch", "body").repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(link, "a long, b long").distinct()
+    return texts.select(*keys, "tile", "rep", "n", "component", "sketch", "body", "lower").repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(link, "a long, b long").distinct()
 
 
 def fuzzy_groups(seen: DataFrame, n_lines: int, similarity: float) -> DataFrame:
