@@ -47,7 +47,8 @@ def longest_repeats(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
     rank[order] = start[group]
     sizes = np.diff(np.append(start, n))
     tied = order[sizes[group] > 1]
-    ranks, h = [rank.copy()], 1
+    small = np.int32 if n < 1 << 31 else np.int64  # one array a doubling is kept
+    ranks, h = [rank.astype(small)], 1
     suffix = order
     end = np.searchsorted(doc, doc, side="right")  # where the document of a position ends
     while len(tied):
@@ -66,7 +67,7 @@ def longest_repeats(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
         rank[t] = slot[part]
         sizes = np.diff(np.append(np.flatnonzero(new_part), len(t)))
         tied = t[sizes[np.cumsum(new_part) - 1] > 1]
-        ranks.append(rank.copy())
+        ranks.append(rank.astype(small))
         h *= 2
     # neighbours in suffix order that share at least one word
     pair = np.flatnonzero(ranks[0][suffix[1:]] == ranks[0][suffix[:-1]])

@@ -171,6 +171,8 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     from each other. Texts shorter than ``length`` stay whole. An empty table gives an empty result; other columns are
     not read. Runs are compared by hashes of 96 bits and more, windows byte by byte.
     """
+    if not 1 <= length - seed + 1 <= 255:
+        raise ValueError("length must be from seed to seed + 254: a run's windows are counted in one byte")
     _, size = volume(docs, text)
     blocks = buckets = parts_for(size, block_bytes)
     rows = in_blocks(docs, key, text, blocks)

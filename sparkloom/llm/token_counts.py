@@ -9,6 +9,7 @@ map without any shuffle, and a task's trie is emptied when it reaches its bound.
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,8 @@ from .common import table
 MARK = "▁"
 #: Scores are whole numbers of this many parts, so that sums do not depend on their order.
 PARTS = 1 << 20
+#: Letters of a pre-token that get nodes in the trie; what follows is scored without, so its length costs no memory.
+DEPTH = 256
 
 
 def unigram_scores(model_file: str) -> tuple[dict[str, int], int]:
@@ -52,35 +55,41 @@ class Trie:
         self.best: list[tuple[int, int]] = [(0, 0)]  # score, minus the number of pieces
         self.terminal: dict[bytes, int] = {}
 
+    def score(self, token: str, end: int, before: deque[tuple[int, int]]) -> tuple[int, int]:
+        """The prefix of ``end`` letters; ``before`` ends with the shorter prefixes that a piece can follow."""
+        char, (s, k) = token[end - 1], before[-1]
+        single = self.scores.get(char)
+        if single is None:  # byte fallback
+            n = len(char.encode())
+            top = (s + self.unknown * n, k - n)
+        else:
+            top = (s + single, k - 1)
+        for start in range(max(0, end - self.longest), end - 1):
+            piece = self.scores.get(token[start:end])
+            if piece is not None:
+                s, k = before[start - end]
+                if (s + piece, k - 1) > top:
+                    top = (s + piece, k - 1)
+        return top
+
     def count(self, token: str) -> int:
         """Pieces of the best split; ties go to fewer pieces."""
         if len(self.best) > self.max_nodes:
             self.clear()
-        path, node = [0], 0
-        scores, best, children = self.scores, self.best, self.children
+        node, best, children = 0, self.best, self.children
+        recent = deque([best[0]], self.longest)
         for end in range(1, len(token) + 1):
-            char = token[end - 1]
-            down = children[node].get(char)
+            if end > DEPTH:  # no node, only the last scores are held
+                recent.append(self.score(token, end, recent))
+                continue
+            down = children[node].get(token[end - 1])
             if down is None:
-                s, k = best[node]
-                single = scores.get(char)
-                if single is None:  # byte fallback
-                    n = len(char.encode())
-                    top = (s + self.unknown * n, k - n)
-                else:
-                    top = (s + single, k - 1)
-                for start in range(max(0, end - self.longest), end - 1):
-                    piece = scores.get(token[start:end])
-                    if piece is not None:
-                        s, k = best[path[start]]
-                        if (s + piece, k - 1) > top:
-                            top = (s + piece, k - 1)
-                down = children[node][char] = len(best)
-                best.append(top)
+                down = children[node][token[end - 1]] = len(best)
+                best.append(self.score(token, end, recent))
                 children.append({})
             node = down
-            path.append(node)
-        return -best[node][1]
+            recent.append(best[node])
+        return -recent[-1][1]
 
 
 def token_counts(docs: DataFrame, model_file: str, key: str = "doc_id", text: str = "text", max_nodes: int = 400_000) -> DataFrame:
@@ -89,7 +98,7 @@ def token_counts(docs: DataFrame, model_file: str, key: str = "doc_id", text: st
     Pre-tokens are the words between ASCII blanks, each with the word mark in front. A character that no piece covers
     costs one token a byte. Null and empty texts have 0 of everything. Repeated rows stay, a null key stays null, an
     empty table gives an empty result, other columns are not read. ``max_nodes`` bounds the trie of a task: beyond it
-    the trie starts anew, which changes no count. The vocabulary file must be readable on every executor.
+    the trie starts anew, which changes no count; pre-tokens of any length are scored whole. The vocabulary file must be readable on every executor.
     """
 
     def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +114,8 @@ def token_counts(docs: DataFrame, model_file: str, key: str = "doc_id", text: st
                     if c is None:
                         c = trie.count(MARK + w.decode())
                         known = trie.terminal
-                        known[w] = c
+                        if len(w) <= DEPTH:
+                            known[w] = c
                     n += c
                 pretokens.append(len(words))
                 tokens.append(n)

@@ -99,6 +99,20 @@ def test_long_lists(spark, monkeypatch):
     assert check(spark.createDataFrame(rows, "doc_id long, text string")) > 30
 
 
+def test_lines_that_share_many_lists(spark, monkeypatch):
+    """Copies with many edits: they meet in many lists, some pairs are links and some are not."""
+    monkeypatch.setattr(ld, "TILE", 8)
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(40):
+        w = [f"w{k}" for k in range(61)]
+        for at in rng.choice(61, rng.integers(3, 9), replace=False):
+            w[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(w)))
+    links = check(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert 0 < links < 40 * 39 // 2
+
+
 def test_empty(no_docs):
     assert ld.line_dedup(no_docs).collect() == []
 
