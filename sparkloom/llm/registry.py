@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_dedup, lm_scoring, near_dedup, packing, quality_rules, revisits, suffix_dedup, token_counts, url_filters
+from . import decontamination, line_dedup, lm_scoring, near_dedup, packing, periodic_runs, quality_rules, revisits, spelling, suffix_dedup, token_counts, toxicity, url_filters
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_revisits": revisits.op8_revisits,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_toxicity": toxicity.op13_toxicity,
 }
 SQL = {
     "op4_decontamination": decontamination.SQL,
