@@ -1,6 +1,6 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features are words, word pairs and pairs with one or two words between them, hashed into a fixed number of coordinates;
+Features are words, word pairs and pairs with one word between them, hashed into a fixed number of coordinates;
 a text has a feature or has it not, however often. Every coordinate has its own learning rate, and the L1 term keeps
 all coordinates at zero that the labels say little about, so the weights are few and are broadcast. The learner sees a
 bounded sample of the labelled rows, one Spark job a pass over the features of the sample; its state is two numbers a
@@ -24,20 +24,28 @@ from .common import cut, table
 
 WORD = re.compile(r"\w+")
 #: Production parameters: coordinates as a power of two, labelled rows learnt from, passes, and the learner's rates.
-BITS, SAMPLE, PASSES = 20, 20_000, 3
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 1.5, 0.5
+BITS, SAMPLE, PASSES = 20, 20_000, 4
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.1
 #: Words between the two words of a pair.
-SKIPS = (0, 1, 2)
+SKIPS = (0, 1)
 #: Words of a text are hashed so many at a time, and distinct words are remembered up to a bound.
 STEP, KNOWN = 1 << 18, 1 << 19
 
 
+class Checksums(dict):
+    """Words to numbers, worked out once while they are remembered."""
+
+    def __missing__(self, word: str) -> int:
+        h = self[word] = zlib.crc32(word.encode()) | len(word) << 32
+        return h
+
+
 class Features:
     """Coordinates of texts. Words have the lower half of the coordinates for themselves, pairs the upper half."""
 
     def __init__(self, bits: int):
         self.half = bits - 1
-        self.known: dict[str, int] = {}
+        self.known = Checksums()
 
     def coordinates(self, text: str) -> Iterator[np.ndarray]:
         """All features of a text, some at a time, with repetitions."""
@@ -47,8 +55,6 @@ class Features:
         known, half, low = self.known, U64(64 - self.half), U64(1 << self.half)
         for begin in range(0, len(words), STEP):
             some = words[begin : begin + STEP + max(SKIPS) + 1]
-            for w in set(some) - known.keys():
-                known[w] = zlib.crc32(w.encode()) | len(w) << 32
             h = mix(np.fromiter(map(known.__getitem__, some), U64, len(some)))
             found = [h >> half]
             for k in SKIPS:
