@@ -136,7 +136,7 @@ def supersession_chains(spark, sf_dir):
 
 
 ACTIONS = ["claim", "claim", "claim", "heartbeat", "checkpoint", "complete", "fail", "fail", "reclaim", "claim"]
-LOG = f"""lg AS (SELECT user_id AS job_id, event_id AS seq, floor(epoch_us(ts) / 1000000)::BIGINT AS t, {ACTIONS}[event_id % 10 + 1] AS action, 'w' || (event_id // 10 % 2) AS worker,
+LOG = f"""lg AS (SELECT event_id // 8 AS job_id, event_id AS seq, floor(epoch_us(ts) / 1000000)::BIGINT AS t, {ACTIONS}[event_id % 10 + 1] AS action, 'w' || (event_id // 10 % 2) AS worker,
  CASE event_id % 10 WHEN 4 THEN {queue.STAGES}[event_id // 10 % 6 + 1] WHEN 6 THEN 'timeout' WHEN 7 THEN CASE WHEN event_id % 3 = 0 THEN 'corrupt_document' ELSE 'timeout' END END AS detail FROM events),
 lo AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY t, seq) AS i FROM lg), PLAY"""
 PLAY = f"""q AS (SELECT job_id, 0::BIGINT AS i, 'QUEUED' AS status, NULL::VARCHAR AS worker, NULL::BIGINT AS lease_until, NULL::BIGINT AS run_after, 0::BIGINT AS attempts, NULL::VARCHAR AS stage, NULL::VARCHAR AS code, 0::BIGINT AS n_claims, 0::BIGINT AS n_refused, 0::BIGINT AS n_lost
@@ -152,12 +152,12 @@ PLAY = PLAY.replace("UNION ALL SELECT job_id, i, CASE x", "UNION ALL SELECT job_
 
 
 def job_log(spark, sf_dir) -> DataFrame:
-    """Events as calls on one job a user, by two workers."""
+    """Events as calls on jobs, eight on each, by two workers."""
     e = table(spark, sf_dir, "events")
     k, ten = F.pmod("event_id", F.lit(10)), F.floor(F.col("event_id") / 10)
     pick = lambda xs, i: F.get(F.array(*[F.lit(x) for x in xs]), i.cast("int"))
     detail = F.when(k == 4, pick(queue.STAGES[:6], F.pmod(ten, F.lit(6)))).when(k == 6, "timeout").when(k == 7, F.when(F.pmod("event_id", F.lit(3)) == 0, "corrupt_document").otherwise("timeout"))
-    return e.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("t"), pick(ACTIONS, k).alias("action"), F.concat(F.lit("w"), F.pmod(ten, F.lit(2))).alias("worker"), detail.alias("detail"))
+    return e.select(F.floor(F.col("event_id") / 8).alias("job_id"), F.col("event_id").alias("seq"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("t"), pick(ACTIONS, k).alias("action"), F.concat(F.lit("w"), F.pmod(ten, F.lit(2))).alias("worker"), detail.alias("detail"))
 
 
 @query(f"WITH RECURSIVE {LOG.replace('PLAY', PLAY)} SELECT * EXCLUDE (i) FROM (SELECT *, max(i) OVER (PARTITION BY job_id) AS last FROM q) WHERE i = last".replace("SELECT * EXCLUDE (i)", "SELECT * EXCLUDE (i, last)"))

@@ -38,20 +38,29 @@ def exact_code_positions(spark, sf_dir):
     return coded.join(digits, ["doc_id", "position"], "left_semi")
 
 
+def coded(spark, sf_dir) -> DataFrame:
+    """Documents, every third with a ticket number at its end."""
+    ticket = F.concat(F.lit(" Ref TKT-"), F.pmod("doc_id", F.lit(11)), F.lit("-"), F.pmod("doc_id", F.lit(5)), F.lit("."))
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.pmod("doc_id", F.lit(3)) == 0, F.concat(F.coalesce("text", F.lit("")), ticket)).otherwise(F.col("text")).alias("text"))
+
+
 def named(spark, sf_dir) -> DataFrame:
     """The identifiers that every fiftieth document names, as questions."""
-    return table(spark, sf_dir, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), planner.identifiers(F.coalesce("text", F.lit(""))).alias("identifiers"))
+    return coded(spark, sf_dir).where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), planner.identifiers(F.coalesce("text", F.lit(""))).alias("identifiers"))
+
+
+CODED = "c0 AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN coalesce(text, '') || ' Ref TKT-' || (doc_id % 11) || '-' || (doc_id % 5) || '.' ELSE text END AS text FROM documents)"
 
 
-@query(f"""WITH a AS (SELECT doc_id AS query_id, coalesce(text, '') AS t FROM documents WHERE doc_id % 50 = 0), i AS (SELECT DISTINCT query_id, unnest({IDS}) AS identifier FROM a),
+@query(f"""WITH {CODED}, a AS (SELECT doc_id AS query_id, coalesce(text, '') AS t FROM c0 WHERE doc_id % 50 = 0), i AS (SELECT DISTINCT query_id, unnest({IDS}) AS identifier FROM a),
 w AS (SELECT *, {RUNS.format(t=analysis.fold_sql('identifier'))} AS want FROM i), k AS (SELECT DISTINCT want FROM w WHERE len(want) > 0),
-d AS (SELECT doc_id, {RUNS.format(t=analysis.fold_sql("coalesce(text, '')"))} AS ts FROM documents), spots AS (SELECT doc_id, ts, unnest(range(1, len(ts) + 1)) AS i FROM d),
+d AS (SELECT doc_id, {RUNS.format(t=analysis.fold_sql("coalesce(text, '')"))} AS ts FROM c0), spots AS (SELECT doc_id, ts, unnest(range(1, len(ts) + 1)) AS i FROM d),
 c AS (SELECT doc_id, want, count(*) AS n FROM spots JOIN k ON ts[i] = want[1] AND ts[i : i + len(want) - 1] = want GROUP BY ALL),
 b AS (SELECT query_id, doc_id, count(DISTINCT identifier) AS n_identifiers, sum(n)::BIGINT AS n_places FROM w JOIN c USING (want) GROUP BY ALL)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n_identifiers DESC, n_places DESC, doc_id) AS rank FROM b) WHERE rank <= 50""")
 def exact_identifiers(spark, sf_dir):
     """Documents that name any of a question's identifiers."""
-    return retrieval.identifiers_in(table(spark, sf_dir, "documents"), named(spark, sf_dir), analysis.code_runs)
+    return retrieval.identifiers_in(coded(spark, sf_dir), named(spark, sf_dir), analysis.code_runs)
 
 
 def fields(spark, sf_dir) -> DataFrame:
