@@ -9,24 +9,20 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Where a sentence may end, and short forms that end in a full stop without ending one.
-END = re.compile(r'([.!?])\s+(?=["“(\[]?[A-Z0-9])')
-SHORT = frozenset("mr mrs ms dr prof sr jr st inc ltd llc plc co corp gmbh ag bv nv sa etc vs eg ie cf al approx est no nr art sec fig ref para ch pp vol ed jan feb mar apr jun jul aug sep sept oct nov dec mon tue wed thu fri sat sun".split())
+# Short forms that end in a full stop without ending a sentence.
+SHORT = "mr mrs ms dr prof sr jr st inc ltd llc plc co corp gmbh ag bv nv sa etc vs eg ie cf al approx est no nr art sec fig ref para ch pp vol ed jan feb mar apr jun jul aug sep sept oct nov dec mon tue wed thu fri sat sun".split()
+#: Blanks between two sentences: behind a mark, before a capital or a digit, but not behind the full stop of a short
+#: form or of a single capital. The JVM and the pattern library read it alike.
+BETWEEN = rf"""(?<=[.!?])(?<!(?:^|[^A-Za-z])(?:(?i:{'|'.join(SHORT)})|[A-Z])\.)\s+(?=["“(\[]?[A-Z0-9])"""
 
 
 def sentences_of(text: str) -> list[str]:
-    """Sentences; a full stop after a short form or a single capital does not end one."""
-    out, begin = [], 0
-    for end in END.finditer(text):
-        word = re.search(r"([A-Za-z]+)$", text[begin : end.start(1)])
-        if end.group(1) == "." and word and (word.group(1).lower() in SHORT or (len(word.group(1)) == 1 and word.group(1).isupper())):
-            continue
-        out.append(text[begin : end.end(1)])
-        begin = end.end()
-    return [s for s in (x.strip() for x in [*out, text[begin:]]) if s]
+    """Sentences of a text, for code that runs inside a task anyway."""
+    return [s for s in map(str.strip, regex.split(BETWEEN, text)) if s]
 
 
 def normal(text: str) -> str:
@@ -72,7 +68,8 @@ def _each(f, kind: str, arrow: pa.DataType):
 
 
 def split_sentences(text: Column) -> Column:
-    return _each(lambda t: None if t is None else sentences_of(t), "array<string>", pa.list_(pa.string()))(text)
+    """Sentences of a column, in the JVM."""
+    return F.filter(F.transform(F.split(text, "(?U)" + BETWEEN), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s != "")
 
 
 def normalize(text: Column) -> Column:
