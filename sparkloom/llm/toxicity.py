@@ -107,8 +107,11 @@ def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str,
     with the smallest hash is learnt from. The ids are bounded by ``rows``, so they are broadcast.
     """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("__op_key")).agg(F.max(F.col(label).cast("int")).alias("__op_label"))
-    known = known.orderBy(F.xxhash64(F.lit("turn"), "__op_key"), "__op_key").limit(rows)
-    texts = docs.select(F.col(key).alias("__op_key"), F.col(text).alias("__op_text")).join(F.broadcast(known), "__op_key")
+    known = known.withColumn("__op_turn", F.xxhash64(F.lit("turn"), "__op_key"))
+    # the smallest hashes are among those below a bound that lets about twice as many through
+    share = min(1.0, 2 * rows / max(1, known.count()))
+    known = known.where(F.col("__op_turn").cast("double") <= (2 * share - 1) * 2.0**63).orderBy("__op_turn", "__op_key").limit(rows)
+    texts = docs.select(F.col(key).alias("__op_key"), F.col(text).alias("__op_text")).join(F.broadcast(known.drop("__op_turn")), "__op_key")
     one = texts.groupBy("__op_key", "__op_label").agg(F.min(F.struct(F.xxhash64("__op_text").alias("h"), F.col("__op_text").alias("t"))).alias("m"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,26 +127,33 @@ def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str,
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE, passes: int = PASSES, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, float]:
     """Learn ``label``: the coordinates with a weight, their weights, and the bias. ``labels`` has the rows to learn from."""
-    spark = docs.sparkSession
-    known = cut(sample(docs, labels, key, text, label, rows, bits).repartition(1).sortWithinPartitions("turn", "label"))
+    known = cut(sample(docs, labels, key, text, label, rows, bits).select("turn", "label", "at", F.lit(None).cast("binary").alias("state")).repartition(1).sortWithinPartitions("turn", "label"))
     state = None
-    for _ in range(passes):
-        held = spark.sparkContext.broadcast(state)
 
-        def one_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            learner = Learner(bits, held.value)  # noqa: B023
-            for batch in batches:
-                for marked, at in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+    def one_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learner = Learner(bits)
+        for batch in batches:
+            for marked, at, before in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                if before is not None:
+                    learner = Learner(bits, before)
+                else:
                     learner.learn(at.values.to_numpy(), int(marked > 0))
-            yield pa.RecordBatch.from_arrays([pa.array([learner.state()], pa.binary())], names=["state"])
-
-        ordered = known.coalesce(1).sortWithinPartitions("turn", "label").select("label", "at")
-        state = bytes(ordered.mapInArrow(one_pass, "state binary").first()[0])
-        held.unpersist()
-    learner = Learner(bits, state)
-    w = learner.weights(slice(0, 1 << bits))
-    at = np.flatnonzero(w)
-    return at, w[at], learner.bias()
+        yield pa.RecordBatch.from_arrays([pa.array([learner.state()], pa.binary())], names=["state"])
+
+    def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for held in batch.column(0).to_pylist():
+                learner = Learner(bits, held)
+                w = learner.weights(slice(0, 1 << bits))
+                at = np.flatnonzero(w)
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.list_(pa.int64())), pa.array([w[at]], pa.list_(pa.float64())), pa.array([learner.bias()])], names=["at", "w", "bias"])
+
+    for _ in range(passes):  # the state goes on as a row of a table; the driver never holds it
+        rows_of = known if state is None else known.unionByName(state.select(F.lit(None).cast("long").alias("turn"), F.lit(None).cast("int").alias("label"), F.lit(None).cast("array<int>").alias("at"), "state"))
+        ordered = rows_of.coalesce(1).sortWithinPartitions(F.asc_nulls_first("turn"), "label").select("label", "at", "state")
+        state = cut(ordered.mapInArrow(one_pass, "state binary"))
+    found = state.mapInArrow(weights, "at array<bigint>, w array<double>, bias double").first()
+    return np.array(found.at, np.int64), np.array(found.w), found.bias
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], key: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:
