@@ -84,3 +84,20 @@ def hashed_embedding(tokens: Column, width: int = 384) -> Column:
     if width < 8:
         raise ValueError("an embedding has 8 numbers at least")
     return _each(lambda t: embedding(t or [], width), "array<double>", pa.list_(pa.float64()))(tokens)
+
+
+def half_bytes(vector: Column) -> Column:
+    """A vector as little-endian half floats; a number beyond their range is an error, null stays null."""
+
+    def pack(v: list[float] | None) -> bytes | None:
+        if v is None:
+            return None
+        with np.errstate(over="raise"):
+            return np.array(v, np.float64).astype("<f2").tobytes()
+
+    return _each(pack, "binary", pa.binary())(vector)
+
+
+def half_vector(raw: Column) -> Column:
+    """The inverse of ``half_bytes``; null and no bytes are null, half a number at the end is left out."""
+    return _each(lambda b: np.frombuffer(b[: len(b) // 2 * 2], "<f2").astype(np.float64).tolist() if b else None, "array<double>", pa.list_(pa.float64()))(raw)

@@ -8,10 +8,10 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from sparkloom.plans import answers, evidence, feeds, lexical, platform, search, understanding, upkeep
+from sparkloom.plans import answers, comparison, evidence, feeds, lexical, platform, search, understanding, upkeep
 
 DATA = "/root/testdata/sf0.001"
-PLANS = (search, lexical, platform, upkeep, understanding, evidence, answers, feeds)
+PLANS = (search, lexical, platform, upkeep, understanding, evidence, answers, feeds, comparison)
 QUERIES, SQL = {n: q for p in PLANS for n, q in p.QUERIES.items()}, {n: q for p in PLANS for n, q in p.SQL.items()}
 
 
