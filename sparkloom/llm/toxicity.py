@@ -1,7 +1,7 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features are words, word pairs and pairs with one word between them, hashed into a fixed number of coordinates;
-a text has a feature or has it not, however often. Every coordinate has its own learning rate, and the L1 term keeps
+Features are words and their beginnings, word pairs and pairs with one word between them, hashed into a fixed number of
+coordinates; a text has a feature or has it not, however often. Every coordinate has its own learning rate, and the L1 term keeps
 all coordinates at zero that the labels say little about, so the weights are few and are broadcast. The learner sees a
 bounded sample of the labelled rows, one Spark job a pass over the features of the sample; its state is two numbers a
 coordinate, whatever the input. Scoring is one map over whole texts.
@@ -25,7 +25,9 @@ from .common import cut, table
 WORD = re.compile(r"\w+")
 #: Production parameters: coordinates as a power of two, labelled rows learnt from, passes, and the learner's rates.
 BITS, SAMPLE, PASSES = 20, 20_000, 4
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.1
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 12.0, 0.1
+#: Letters of the beginnings of longer words, which stand for the word in its other forms.
+STEMS = (4, 6)
 #: Words between the two words of a pair.
 SKIPS = (0, 1)
 #: Words of a text are hashed so many at a time, and distinct words are remembered up to a bound.
@@ -40,23 +42,36 @@ class Checksums(dict):
         return h
 
 
+class Beginnings(dict):
+    """Words to the checksums of their two beginnings, 0 where the word is not longer."""
+
+    def __missing__(self, word: str) -> int:
+        a, b = (zlib.crc32(word[:k].encode()) | 1 if len(word) > k else 0 for k in STEMS)
+        h = self[word] = a << 32 | b
+        return h
+
+
 class Features:
     """Coordinates of texts. Words have the lower half of the coordinates for themselves, pairs the upper half."""
 
     def __init__(self, bits: int):
         self.half = bits - 1
-        self.known = Checksums()
+        self.known, self.stems = Checksums(), Beginnings()
 
     def coordinates(self, text: str) -> Iterator[np.ndarray]:
         """All features of a text, some at a time, with repetitions."""
         words = WORD.findall(text.lower())
         if len(self.known) > KNOWN:
             self.known.clear()
+            self.stems.clear()
         known, half, low = self.known, U64(64 - self.half), U64(1 << self.half)
         for begin in range(0, len(words), STEP):
             some = words[begin : begin + STEP + max(SKIPS) + 1]
             h = mix(np.fromiter(map(known.__getitem__, some), U64, len(some)))
             found = [h >> half]
+            begun = np.fromiter(map(self.stems.__getitem__, some), U64, len(some))
+            for i, stem in enumerate((begun >> U64(32), begun & U64(0xFFFFFFFF))):
+                found.append(mix(stem[stem > 0] | U64(i + 1) << U64(40)) >> half)
             for k in SKIPS:
                 if len(h) > k + 1:
                     found.append((mix(h[: -k - 1] + mix(h[k + 1 :] + U64(k + 1))) >> half) + low)
