@@ -226,9 +226,12 @@ def _nearest(questions: pa.Table, k: int):
 
 
 def children(parent_hits: DataFrame, chunks: DataFrame, per_parent: int = 3) -> DataFrame:
-    """At most ``per_parent`` children of each parent hit, ranked by (parent rank, ordinal)."""
-    rows = chunks.join(parent_hits.select("query_id", "parent_id", F.col("rank").alias("parent_rank")), "parent_id")
-    rows = rows.withColumn("n", F.row_number().over(W.partitionBy("query_id", "parent_id").orderBy("doc_id"))).where(F.col("n") <= per_parent)
+    """At most ``per_parent`` children of each parent hit, ranked by (parent rank, ordinal).
+
+    Children are cut inside their parent first, in each task before the shuffle, so no question meets a whole parent.
+    """
+    first = chunks.withColumn("n", F.row_number().over(W.partitionBy("parent_id").orderBy("doc_id"))).where(F.col("n") <= per_parent)
+    rows = first.join(parent_hits.select("query_id", "parent_id", F.col("rank").alias("parent_rank")), "parent_id")
     return rows.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("parent_rank", "n"))).select("query_id", "parent_id", "doc_id", "rank")
 
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import assembly, chains, citations, evidence, limits, queue
+from ..operators import assembly, chains, citations, gate, limits, queue, retrieval
 from ..sources.tables import table
 from .evidence import FLAT, HITS, SAID, _comparable, _steps, best, said
 from .registry import registry
-from .search import TOKENS
+from .search import FUSED, LEGS, TOKENS, docs
 
 QUERIES, SQL, query = registry()
 
@@ -173,3 +173,56 @@ def queue_expired(spark, sf_dir):
     log = job_log(spark, sf_dir)
     states = queue.replay(log, lease=4_000).crossJoin(F.broadcast(log.agg(F.max("t").alias("now"))))
     return queue.expired(states, F.col("now")).select("job_id", "worker", "lease_until", F.array_join(queue.remaining(F.col("stage")), "|").alias("todo"))
+
+
+ODD = """bq AS (SELECT item_id, CASE item_id % 6 WHEN 1 THEN text || ' for TKT-9981-2' WHEN 2 THEN 'what is zzqx' WHEN 3 THEN substr(text, 1, 60) || ' qqa qqb qqc qqd qqe qqf qqg qqh qqi qqj qqk qql' ELSE text END AS text FROM benchmark)"""
+
+
+def odd_questions(spark, sf_dir) -> DataFrame:
+    """Benchmark passages as questions, some with an identifier, with words, or only with words that nothing has."""
+    i, t = F.pmod("item_id", F.lit(6)), F.col("text")
+    odd = F.when(i == 1, F.concat(t, F.lit(" for TKT-9981-2"))).when(i == 2, "what is zzqx").when(i == 3, F.concat(F.substring(t, 1, 60), F.lit(" qqa qqb qqc qqd qqe qqf qqg qqh qqi qqj qqk qql"))).otherwise(t)
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), odd.alias("text"))
+
+
+def _asked(x: str) -> str:
+    ts = TOKENS.replace("coalesce(text, '')", f"coalesce({x}, '')")
+    return f"list_filter({ts}, lambda t: NOT list_contains({gate.ASKING}, t))"
+
+
+GATE = f"""{ODD}, {LEGS.replace('FROM benchmark', 'FROM bq')}, {FUSED.format(w='1.0')}, h AS (SELECT f.query_id, f.doc_id, f.score, d.text, f.doc_id % 3 > 0 AS old FROM fused f JOIN documents d USING (doc_id) WHERE rank <= 10),
+a AS (SELECT item_id AS query_id, list_distinct({_asked('text')}) AS terms, list_distinct(regexp_extract_all(text, '{gate.IDENTIFIER[1:-1]}')) AS ids FROM bq),
+s AS (SELECT query_id, count(*) AS n, count(*) FILTER (score >= 0.0164) AS n_supporting, count(*) FILTER (score >= 0.0164 AND NOT old) AS n_current, list_distinct(flatten(list({TOKENS}) FILTER (score >= 0.0164))) AS has,
+ string_agg(lower(text), ' ') FILTER (score >= 0.0164) AS said FROM h GROUP BY query_id),
+j AS (SELECT *, len(list_filter(ids, lambda i: NOT contains(coalesce(said, ''), lower(i)))) AS lost, len(list_filter(terms, lambda t: NOT list_contains(coalesce(has, []), t))) AS gone FROM a LEFT JOIN s USING (query_id)),
+k AS (SELECT *, CASE WHEN n IS NULL THEN 1 WHEN n_supporting < 1 THEN 2 WHEN n_current = 0 THEN 3 WHEN lost > 0 THEN 4 WHEN len(terms) > 0 AND (len(terms) - gone) / len(terms) < 0.6 THEN 5 ELSE 0 END AS step FROM j),
+near AS (SELECT query_id, list(doc_id ORDER BY score DESC, doc_id) AS ds FROM (SELECT DISTINCT h.query_id, h.doc_id, h.score FROM h JOIN k USING (query_id) WHERE step = 2 OR (step > 2 AND score >= 0.0164)) GROUP BY query_id)"""
+_REASONS = "[NULL, 'no_results', 'weak_evidence', 'only_superseded', 'incomplete_evidence', 'incomplete_evidence'][step + 1]"
+
+
+def gated(spark, sf_dir) -> DataFrame:
+    d, q = docs(spark, sf_dir), odd_questions(spark, sf_dir)
+    lexical = retrieval.bm25(d, q, 20).select("query_id", F.lit("bm25").alias("leg"), "doc_id", "rank")
+    exact = retrieval.top(retrieval.phrase(d, q, 8), 20, "n").select("query_id", F.lit("exact").alias("leg"), "doc_id", "rank")
+    hits = retrieval.rrf(lexical.unionByName(exact)).where("rank <= 10").join(d.select("doc_id", "text"), "doc_id").withColumn("is_superseded", F.pmod("doc_id", F.lit(3)) > 0)
+    return gate.assess(q, hits, score=0.0164)
+
+
+@query(f"""WITH {GATE} SELECT query_id, step = 0 AS sufficient, {_REASONS} AS reason, CASE WHEN step = 0 THEN n_supporting ELSE 0 END AS n_supporting,
+ CASE WHEN step IN (0, 5) THEN round(CASE WHEN len(terms) = 0 THEN 1 ELSE (len(terms) - gone) / len(terms) END, 6) ELSE 0 END AS coverage, CASE step WHEN 1 THEN len(terms) WHEN 2 THEN len(terms) WHEN 3 THEN 0 WHEN 4 THEN lost ELSE gone END::INT AS n_missing FROM k""")
+def evidence_verdicts(spark, sf_dir):
+    """Whether the fused hits of each question can carry an answer, and why not."""
+    return gated(spark, sf_dir).select("query_id", "sufficient", "reason", "n_supporting", "coverage", F.size("missing").alias("n_missing"))
+
+
+_SAID = "CASE reason " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in gate.MESSAGES.items()) + " END"
+_HELP = "CASE reason " + " ".join(f"WHEN '{k}' THEN 'What might help:' || " + " || ".join(f"chr(10) || '  - {x}'" for x in v) for k, v in gate.SUGGESTIONS.items() if v) + " END"
+
+
+@query(f"""WITH {GATE}, r AS (SELECT query_id, {_REASONS} AS reason, ds FROM k LEFT JOIN near USING (query_id) WHERE step > 0)
+SELECT query_id, reason, concat_ws(chr(10) || chr(10), {_SAID}, CASE WHEN len(ds) > 0 THEN 'The closest things I found were:' || chr(10) || array_to_string(list_transform(ds[1:3], lambda d: '  - document ' || d), chr(10)) END, {_HELP}) AS message FROM r""")
+def abstention_messages(spark, sf_dir):
+    """What is said to every question that is refused."""
+    rows = gated(spark, sf_dir).where("NOT sufficient")
+    titles = F.transform("near", lambda d: F.concat(F.lit("document "), d.cast("string")))
+    return rows.select("query_id", "reason", gate.message(F.col("reason"), titles).alias("message"))
