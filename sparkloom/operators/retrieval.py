@@ -267,17 +267,20 @@ def identifiers_in(docs: DataFrame, asked: DataFrame, runs: Callable[[Column], C
     """``query_id, doc_id, n_identifiers, n_places, rank``: the best ``k`` documents that name any identifier of a question.
 
     asked: ``query_id, identifiers``. ``runs`` cuts a text into its runs of letters and of digits; a document names an
-    identifier where the runs of it stand one after another. A place is found by its first two runs, then compared
-    whole. More identifiers count before more places, then the smaller ``doc_id``. An identifier without any letter or
+    identifier where the runs of it stand one after another. A document is found by the first two runs of an
+    identifier, then searched for the whole. More identifiers count before more places, then the smaller ``doc_id``. An identifier without any letter or
     digit, a question without identifiers and a null text name nothing.
     """
     ids = asked.select("query_id", F.explode(F.array_distinct("identifiers")).alias("identifier")).withColumn("want", runs(F.col("identifier"))).where("size(want) > 0")
-    first = lambda ts, i: F.concat_ws(" ", F.get(ts, i), F.get(ts, i + 1))
-    wanted = sized(ids.select("want").distinct().select("want", F.when(F.size("want") > 1, first(F.col("want"), F.lit(0))).otherwise(F.col("want")[0]).alias("key")))
-    rows = docs.select("doc_id", runs(F.col("text")).alias("ts")).select("doc_id", "ts", F.posexplode("ts").alias("at", "run"))
-    pair = F.when(F.col("at") + 1 < F.size("ts"), first(F.col("ts"), F.col("at")))
-    places = rows.select("doc_id", "ts", "at", F.explode(F.array_compact(F.array("run", pair))).alias("key")).join(wanted, "key").where("slice(ts, at + 1, size(want)) = want")
-    counted = places.groupBy("doc_id", "want").agg(F.count(F.lit(1)).alias("n"))
+    pairs = lambda ts: F.transform(F.slice(ts, 1, F.size(ts) - 1), lambda t, i: F.concat_ws(" ", t, F.get(ts, i + 1)))
+    wanted = sized(ids.select("want").distinct().select("want", F.coalesce(F.get(pairs(F.col("want")), F.lit(0)), F.col("want")[0]).alias("key")))
+    # a document is cut once; of its runs and pairs, only those that begin an identifier get a row with its text
+    known = wanted.agg(F.collect_set("key").alias("known"))
+    rows = docs.select("doc_id", runs(F.col("text")).alias("ts")).where("size(ts) > 0").crossJoin(F.broadcast(known))
+    rows = rows.select("doc_id", F.concat(F.lit(" "), F.array_join("ts", " "), F.lit(" ")).alias("flat"), F.explode(F.array_intersect(F.concat("ts", pairs(F.col("ts"))), "known")).alias("key"))
+    times = F.regexp_count("flat", F.concat(F.lit("(?= "), F.array_join("want", " "), F.lit(" )")))
+    places = rows.join(wanted, "key").select("doc_id", "want", times.alias("n")).where("n > 0")
+    counted = places.groupBy("doc_id", "want").agg(F.sum("n").alias("n"))
     by = ids.join(counted, "want").groupBy("query_id", "doc_id").agg(F.count_distinct("identifier").alias("n_identifiers"), F.sum("n").alias("n_places"))
     order = W.partitionBy("query_id").orderBy(F.desc("n_identifiers"), F.desc("n_places"), "doc_id")
     return by.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
