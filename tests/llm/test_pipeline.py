@@ -74,3 +74,20 @@ def test_packing(stages):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100
+
+
+def test_edges(spark, odd_docs, no_docs):
+    """Nulls, repeated rows and ids, long texts, clashing and missing columns; an empty table at every stage."""
+    clash = odd_docs.withColumns({"n_lines": F.lit("a"), "kept": F.lit("b"), "n_removed": F.lit(1.5), "contaminated": F.lit("c"), "doc": F.lit("d")})
+    for docs in (clash, no_docs):
+        for name, stage in corpus_pipeline.STAGES:
+            after = stage(spark, docs, SF)
+            rows = after.collect()
+            if name == "packing":
+                assert {r.doc_id for r in rows} == {r.doc_id for r in docs.collect()}
+            else:
+                assert after.columns == docs.columns and len(rows) <= docs.count()
+                ids = [r.doc_id for r in docs.collect()]
+                assert {r.doc_id for r in rows} <= set(ids)
+                if name in ("near_dedup", "decontamination"):
+                    assert sum(r.doc_id is None for r in rows) == ids.count(None)
