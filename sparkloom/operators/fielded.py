@@ -41,7 +41,7 @@ class Asked:
         self.askers, self.begin = owner[order], np.searchsorted(flat[order], np.arange(self.width + 1))
 
 
-def _hits(asked: Asked):
+def _hits(asked: Asked, places: bool):
     """Rows ``doc, keep, field arrays of terms`` to numbers: lengths of the fields, coordinates, counts, and places of what is asked for."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,7 +62,7 @@ def _hits(asked: Asked):
                 hit = np.flatnonzero(term[at] >= 0)
                 found.append((doc[hit], f * width + term[at[hit]], place[hit]))
             doc, c, place = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.lexsort((place, c, doc))
+            order = np.argsort(doc * (width * asked.fields) + c, kind="stable")  # places already rise
             doc, c, place = doc[order], c[order], place[order]
             new = np.ones(len(c), bool)
             new[1:] = (doc[1:] != doc[:-1]) | (c[1:] != c[:-1])
@@ -70,7 +70,7 @@ def _hits(asked: Asked):
             tf = np.diff(np.append(first, len(c)))
             cut = lambda owner, x: pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)), pa.array(x.astype(np.int32)))
             flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * asked.fields), pa.array(lengths.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), flat, cut(doc[first], c[first]), cut(doc[first], tf), cut(doc, place)], names=["doc_id", "keep", "dl", "c", "tf", "place"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), flat, cut(doc[first], c[first]), cut(doc[first], tf), cut(doc, place) if places else cut(doc[:0], place[:0])], names=["doc_id", "keep", "dl", "c", "tf", "place"])
 
     return look
 
@@ -152,14 +152,15 @@ def _scores(asked: Asked, weights: list[float], k: int, k1: float, min_match: bo
 
 def bm25_fields(
     docs: DataFrame, queries: DataFrame, weights: dict[str, float] | None = None, k: int = 200, scope: Column | None = None, k1: float = 0.9, b: float = 0.4,
-    min_match: bool = True, phrase_weight: float = PHRASE_WEIGHT, slop: int = SLOP, terms: Callable[[Column], Column] = english_positions,
+    min_match: bool = True, phrase_weight: float = PHRASE_WEIGHT, slop: int = SLOP, terms: Callable[[Column], Column] = english_positions, empty: bool = False,
 ) -> DataFrame:
     """``query_id, doc_id, score, matched, n_terms, rank``: the best ``k`` of each question.
 
     A document scores its best field (``weights``: column to weight), and ``phrase_weight`` times the best field in
     which all words of the question stand in order, at most ``slop`` places off. ``min_match``: a field counts where
     up to two terms all occur, of more 70 % (rounded down). ``scope`` decides which documents may be hits at all; it is
-    part of the scan, before any ranking, and doesn't change the statistics, which are those of all documents. A null
+    part of the scan, before any ranking, and doesn't change the statistics, which are those of all documents that have
+    the field, or with ``empty`` of all documents. A null
     field is empty, a null scope is no hit; ties go to the smaller ``doc_id``; no questions give no rows. Questions of
     more than ``QUESTION_BYTES`` in all are answered in blocks of that size.
     """
@@ -168,22 +169,22 @@ def bm25_fields(
     blocks, parts = -(-max(1, size) // QUESTION_BYTES), []
     for i in range(blocks):
         some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        parts.append(_block(docs, some, weights, k, scope, k1, b, min_match, phrase_weight, slop, terms))
+        parts.append(_block(docs, some, weights, k, scope, k1, b, min_match, phrase_weight, slop, terms, empty))
     found = parts[0]
     for part in parts[1:]:
         found = found.unionAll(part)
     return top(found, k)
 
 
-def _block(docs, queries, weights, k, scope, k1, b, min_match, phrase_weight, slop, terms) -> DataFrame:
+def _block(docs, queries, weights, k, scope, k1, b, min_match, phrase_weight, slop, terms, empty) -> DataFrame:
     kind = lambda t, c: t.schema[c].dataType.simpleString()
     asked = Asked(queries.select("query_id", terms(F.col("text")).alias("ts")).toArrow(), len(weights))
     keep = F.lit(True) if scope is None else F.coalesce(scope, F.lit(False))
     rows = docs.select("doc_id", keep.alias("keep"), *(terms(F.col(f)).alias(f"__f{i}") for i, f in enumerate(weights)))
-    hits = rows.mapInArrow(_hits(asked), f"doc_id {kind(docs, 'doc_id')}, keep boolean, dl array<int>, c array<int>, tf array<int>, place array<int>").repartition("doc_id")
+    hits = rows.mapInArrow(_hits(asked, phrase_weight > 0), f"doc_id {kind(docs, 'doc_id')}, keep boolean, dl array<int>, c array<int>, tf array<int>, place array<int>").repartition("doc_id")
     # one row: the weight of every coordinate by its document frequency, and the fields' mean lengths
     length = [F.get("dl", F.lit(i)) for i in range(len(weights))]
-    means = hits.agg(F.array(*(F.count_if(x > 0) for x in length)).alias("n"), F.array(*(F.coalesce(F.sum(x), F.lit(0)) for x in length)).alias("all"))
+    means = hits.agg(F.array(*(F.count_if(x >= 0 if empty else x > 0) for x in length)).alias("n"), F.array(*(F.coalesce(F.sum(x), F.lit(0)) for x in length)).alias("all"))
     means = means.select("n", F.transform("all", lambda x, i: x / F.greatest(F.get("n", i), F.lit(1))).alias("mean"))
     df = hits.select(F.explode("c").alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("df"))
     every = docs.sparkSession.range(asked.width * len(weights)).select(F.col("id").cast("int").alias("c")).join(df, "c", "left").crossJoin(F.broadcast(means))

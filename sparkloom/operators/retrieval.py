@@ -44,79 +44,16 @@ def top(df: DataFrame, k: int, score: str = "score", key: str = "doc_id", by: st
     return df.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(F.desc(score), key))).where(F.col("rank") <= k)
 
 
-class Questions:
-    """A stated set of questions as arrays, for scoring inside a document's row."""
-
-    def __init__(self, queries: DataFrame):
-        rows = queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("ts")).toArrow()
-        self.ids, lists = rows.column("query_id").combine_chunks(), rows.column("ts").to_pylist()
-        self.n_terms = np.array([len(x) for x in lists], np.int64)
-        self.terms = sorted({t for x in lists for t in x})
-        number = {t: i for i, t in enumerate(self.terms)}
-        asked: list[list[int]] = [[] for _ in self.terms]
-        for q, x in enumerate(lists):
-            for t in x:
-                asked[number[t]].append(q)
-        self.number, self.asked = number, [np.array(x) for x in asked]
-
-
-def fits(queries: DataFrame) -> bool:
-    """Whether a question table is small enough to be sent to every executor as it is."""
-    n, size = queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    return n <= BROADCAST_ROWS // 10 and size <= QUESTION_BYTES
-
-
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 0.9, b: float = 0.4, min_match: bool = False) -> DataFrame:
     """``query_id, doc_id, score, matched, n_terms, rank``: the best ``k``. ``matched``: the question's terms that occur.
 
-    ``min_match``: up to two terms all must occur, of more 70 % (rounded down). One scan counts document frequencies of
-    the questions' terms; another scores every document in its own row against all questions and keeps the best ``k``
-    of a batch, so no posting is shuffled. A question table beyond ``QUESTION_BYTES`` is joined instead.
+    ``min_match``: up to two terms all must occur, of more 70 % (rounded down). This is the search over fields with one
+    field and without its phrase clause: documents are cut once, only numbers of what is asked for are dealt, scores are
+    held in blocks of bounded size, and no document is read before an action.
     """
-    if not fits(queries):
-        return bm25_joined(docs, queries, k, k1, b, min_match)
-    q = Questions(queries)
-    ts = tokens(F.col("text"))
-    rows = docs.select("doc_id", F.size(ts).alias("dl"), F.filter(ts, lambda t: t.isin(q.terms)).alias("hits"))
-    # the empty term stands for the document itself
-    counted = rows.select("dl", F.explode(F.array_union(F.array_distinct("hits"), F.array(F.lit("")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("dl")).toArrow().to_pydict()
-    df = dict(zip(counted["term"], counted["n"], strict=True))
-    n_docs, all_tokens = (dict(zip(counted["term"], counted[c], strict=True)).get("", 0) for c in ("n", "dl"))
-    idf = np.array([np.log1p((n_docs - df.get(t, 0) + 0.5) / (df.get(t, 0) + 0.5)) for t in q.terms])
-    mean = all_tokens / max(1, n_docs)
-    need = np.where(q.n_terms <= 2, q.n_terms, np.floor(q.n_terms * 0.7)) if min_match else np.ones(len(q.n_terms))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, dl = batch.column(0), batch.column(1).to_numpy().astype(np.float64)
-            hits = batch.column(2)
-            at = np.repeat(np.arange(len(batch)), np.diff(hits.offsets.to_numpy()))
-            code = hits.flatten().dictionary_encode()
-            known = np.array([q.number[t] for t in code.dictionary.to_pylist()], np.int64)
-            pair, tf = np.unique(known[code.indices.to_numpy()] * len(batch) + at, return_counts=True)
-            term, doc = np.divmod(pair, max(1, len(batch)))
-            part = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[doc] / mean))
-            total, met = np.zeros((len(q.ids), len(batch))), np.zeros((len(q.ids), len(batch)), np.int32)
-            begin = np.flatnonzero(np.diff(term, prepend=-1))
-            for lo, hi in zip(begin, np.append(begin[1:], len(term)), strict=True):
-                cell = np.ix_(q.asked[term[lo]], doc[lo:hi])
-                total[cell] += part[lo:hi]
-                met[cell] += 1
-            order = np.argsort(np.argsort(names.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
-            out: list[tuple[int, np.ndarray]] = []
-            rounded = np.round(total, 6)
-            for i in range(len(q.ids)):
-                found = np.flatnonzero((met[i] > 0) & (met[i] >= need[i]))
-                if len(found) > k:
-                    found = found[np.lexsort((order[found], -rounded[i, found]))[:k]]
-                out.append((i, found))
-            which = np.concatenate([np.full(len(x), i) for i, x in out] or [np.zeros(0, np.int64)]).astype(np.int64)
-            there = np.concatenate([x for _, x in out] or [np.zeros(0, np.int64)]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([q.ids.take(pa.array(which)), names.take(pa.array(there)), pa.array(total[which, there]), pa.array(met[which, there].astype(np.int64)), pa.array(q.n_terms[which])], names=["query_id", "doc_id", "score", "matched", "n_terms"])
+    from .fielded import bm25_fields  # which ranks with ``top``
 
-    kind = lambda t, c: t.schema[c].dataType.simpleString()
-    scored = rows.where(F.size("hits") > 0).mapInArrow(score, f"query_id {kind(queries, 'query_id')}, doc_id {kind(docs, 'doc_id')}, score double, matched long, n_terms long")
-    return top(scored.withColumn("score", F.round("score", 6)), k)
+    return bm25_fields(docs, queries, {"text": 1.0}, k, k1=k1, b=b, min_match=min_match, phrase_weight=0, terms=tokens, empty=True)
 
 
 def bm25_joined(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 0.9, b: float = 0.4, min_match: bool = False) -> DataFrame:
