@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, squeeze, tokens
 
-# What counts as a value, longest forms first, and the numbers that are words.
+# What counts as a value, longest forms first, what is quoted, and the numbers that are words.
 VALUES = [
     r"\b\d{1,2}\s+[A-Z][a-z]+\s+\d{4}\b", r"\b\d{4}-\d{2}-\d{2}\b", r"\b[A-Z]{2,6}[-_]\d{2,}(?:[-_]\d+)*\b", r"\b\d+\.\d+(?:\.\d+)*\b", r"\b\d+(?:\.\d+)?\s*%",
     r"(?i)\b\d[\d,]*(?:\.\d+)?\s*(?:EUR|USD|GBP|€|\$|£)\b", r"(?i)\b\d+\s*(?:seconds?|minutes?|hours?|days?|weeks?|months?|years?)\b", r"\b\d{1,2}:\d{2}\b", r"\b\d[\d,]*(?:\.\d+)?\b",
 ]
+QUOTED = '["“]([^"”]{4,})["”]'
 NUMBERS = {
     "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "ten": "10", "eleven": "11", "twelve": "12",
     "fourteen": "14", "fifteen": "15", "twenty": "20", "thirty": "30", "sixty": "60", "ninety": "90", "hundred": "100",
@@ -22,13 +23,14 @@ NUMBERS = {
 
 
 def values(text: Column) -> Column:
-    """Values that an answer must not change; a longer form hides the shorter ones inside it. Words of numbers count."""
+    """Values that an answer must not change; a longer form hides the shorter ones inside it. Quoted phrases and words of numbers count."""
     found, rest = [], text
     for pattern in VALUES:
         # a group of its own around the whole form, behind any flag
         whole = f"(?i)({pattern[4:]})" if pattern.startswith("(?i)") else f"({pattern})"
         found.append(F.transform(F.regexp_extract_all(rest, F.lit(whole), F.lit(1)), lambda v: F.trim(v)))
         rest = F.regexp_replace(rest, pattern, " ")
+    found.append(F.transform(F.regexp_extract_all(text, F.lit(QUOTED), F.lit(1)), lambda v: F.trim(v)))
     named = [F.when(text.rlike(rf"(?i)\b{w}\b"), F.array(F.lit(w), F.lit(n))).otherwise(F.array().cast("array<string>")) for w, n in NUMBERS.items()]
     return F.array_distinct(F.concat(*found, *named))
 

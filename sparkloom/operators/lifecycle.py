@@ -65,12 +65,15 @@ def activate(versions: DataFrame, key: str, order: str) -> DataFrame:
     return versions.withColumns({"version_no": F.row_number().over(w), "is_active": last, "superseded_by": F.lead(order).over(w)})
 
 
-def reconcile(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
-    """``key, expected, actual, ok``: counts of two tables that must agree; a side that lacks a key has none."""
+def reconcile(expected: DataFrame, actual: DataFrame, key: str, tolerance: float = 0.001) -> DataFrame:
+    """``key, expected, actual, ok``: whether no key lacks more than the tolerated share of what is expected of it.
+
+    A side that lacks a key has none; more than expected is no fault.
+    """
     n = F.count(F.lit(1))
     both = expected.groupBy(key).agg(n.alias("expected")).join(actual.groupBy(key).agg(n.alias("actual")), key, "full")
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return both.select(key, zero("expected").alias("expected"), zero("actual").alias("actual"), (zero("expected") == zero("actual")).alias("ok"))
+    return both.select(key, zero("expected").alias("expected"), zero("actual").alias("actual"), (zero("expected") - zero("actual") <= tolerance * zero("expected")).alias("ok"))
 
 
 def carried_over(new: DataFrame, old: DataFrame, by: str, position: str) -> DataFrame:

@@ -184,6 +184,21 @@ def rrf(hits: DataFrame, k: int = 60, weights: dict[str, float] | None = None) -
     return fused.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "best_rank", "doc_id")))
 
 
+def rrf_parts(hits: DataFrame, k: int = 60, weights: dict[str, float] | None = None) -> DataFrame:
+    """Fusion of ``query_id, part, leg, doc_id, rank``: each leg of each part of a question is a list of its own.
+
+    A document that several parts find gets a share from each of them, so it comes before one that a single part finds
+    as well. ``n_parts`` counts the parts that found it. Weights are those of the legs.
+    """
+    lists = hits.withColumn("list", F.concat_ws("\u001f", "leg", F.col("part").cast("string")))
+    w = F.lit(1.0)
+    for leg, x in (weights or {}).items():
+        w = F.when(F.col("leg") == leg, F.lit(float(x))).otherwise(w)
+    best = lists.groupBy("query_id", "list", "leg", "part", "doc_id").agg(F.min("rank").alias("r")).withColumn("w", w).where("w > 0")
+    fused = best.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") / (k + F.col("r"))), 9).alias("score"), F.min("r").alias("best_rank"), F.count_distinct("part").alias("n_parts"))
+    return fused.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "best_rank", "doc_id")))
+
+
 def contribution(hits: DataFrame) -> DataFrame:
     """Documents that one leg alone finds, by leg."""
     alone = hits.groupBy("query_id", "doc_id").agg(F.count_distinct("leg").alias("n"), F.min("leg").alias("leg")).where("n = 1")

@@ -9,7 +9,7 @@ from ..operators import ablation, retrieval
 from ..operators.ablation import Configuration
 from ..sources.tables import table
 from .registry import registry
-from .search import FUSED, LEGS, docs, legs, questions
+from .search import BM25, FUSED, LEGS, TOKENS, docs, legs, questions
 
 QUERIES, SQL, query = registry()
 
@@ -86,3 +86,18 @@ def half_vectors(spark, sf_dir):
     back = v.withColumn("back", arrow.half_vector(F.col("raw")))
     near = F.forall(F.arrays_zip("embedding", "back"), lambda x: F.abs(x["embedding"] - x["back"]) <= F.abs(x["embedding"]) / 2048 + F.lit(3e-8))
     return back.select("vec_id", F.length("raw").cast("long").alias("n_bytes"), F.size("back").cast("long").alias("n"), near.alias("close"))
+
+
+PARTS = f"""pa AS (SELECT item_id, unnest(range(0, len(ps))) AS part, unnest(ps) AS text FROM (SELECT item_id, string_split(text, '. ') AS ps FROM benchmark))"""
+_BY_PART = BM25.replace(f"q AS (SELECT item_id AS query_id, list_distinct({TOKENS}) AS ts FROM benchmark)", f"q AS (SELECT item_id || ':' || part AS query_id, list_distinct({TOKENS}) AS ts FROM pa)")
+
+
+@query(f"""WITH {PARTS}, {_BY_PART}, l AS (SELECT split_part(query_id, ':', 1)::BIGINT AS query_id, split_part(query_id, ':', 2) AS part, doc_id, rank FROM bm25 WHERE rank <= 20),
+f AS (SELECT query_id, doc_id, round(sum(1 / (60 + rank)), 9) AS score, min(rank) AS best_rank, count(DISTINCT part) AS n_parts FROM l GROUP BY ALL)
+SELECT query_id, doc_id, score, n_parts, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best_rank, doc_id) AS rank FROM f) WHERE rank <= 20""")
+def subquery_fusion(spark, sf_dir):
+    """Questions in parts, each part searched for itself, all lists fused."""
+    parts = questions(spark, sf_dir).select("query_id", F.posexplode(F.split("text", r"\. ")).alias("part", "text"))
+    asked = parts.select(F.concat_ws(":", "query_id", "part").alias("query_id"), "text")
+    found = retrieval.bm25(docs(spark, sf_dir), asked, 20).withColumns({"part": F.substring_index("query_id", ":", -1), "query_id": F.substring_index("query_id", ":", 1).cast("long"), "leg": F.lit("bm25")})
+    return retrieval.rrf_parts(found).where("rank <= 20").select("query_id", "doc_id", "score", "n_parts", "rank")

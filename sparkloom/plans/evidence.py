@@ -57,11 +57,11 @@ def extractive_answers(spark, sf_dir):
     return evidence.extract(best(spark, sf_dir), questions(spark, sf_dir)).select("query_id", "pos", "sentence", "score")
 
 
-SAID = """said AS (SELECT conv_id, turn, role, CASE WHEN (conv_id + turn) % 4 = 0 THEN text || ' On 12 March 2024 and 2024-03-01, AB-123 in 4.2.1 asks 15 % of 1,200 EUR in 3 days at 10:30 from two.' ELSE text END AS t FROM conversations)"""
+SAID = """said AS (SELECT conv_id, turn, role, CASE WHEN (conv_id + turn) % 4 = 0 THEN text || ' On 12 March 2024 and 2024-03-01, AB-123 in 4.2.1 asks 15 % of 1,200 EUR in 3 days at 10:30 from two. It is "gross misconduct" or “fair use”.' ELSE text END AS t FROM conversations)"""
 
 
 def said(spark, sf_dir) -> DataFrame:
-    more = F.lit(" On 12 March 2024 and 2024-03-01, AB-123 in 4.2.1 asks 15 % of 1,200 EUR in 3 days at 10:30 from two.")
+    more = F.lit(' On 12 March 2024 and 2024-03-01, AB-123 in 4.2.1 asks 15 % of 1,200 EUR in 3 days at 10:30 from two. It is "gross misconduct" or “fair use”.')
     t = F.when(F.pmod(F.col("conv_id") + F.col("turn"), F.lit(4)) == 0, F.concat("text", more)).otherwise(F.col("text"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", t.alias("t"))
 
@@ -74,8 +74,9 @@ def _steps() -> str:
         so_far = found if i == 0 else f"list_concat(vs, {found})"
         out.append(f"v{i} AS (SELECT conv_id, turn, role, t, {so_far} AS vs, regexp_replace({t}, '{p}', ' ', 'g') AS rest FROM {rest})")
         rest = f"v{i}"
+    quoted = f"list_transform(regexp_extract_all(t, '{evidence.QUOTED}', 1), lambda v: trim(v))"
     named = ", ".join(f"CASE WHEN regexp_matches(t, '(?i)\\b{w}\\b') THEN ['{w}', '{n}'] ELSE [] END" for w, n in evidence.NUMBERS.items())
-    out.append(f"vn AS (SELECT conv_id, turn, role, t, list_concat(vs, flatten([{named}])) AS vs FROM {rest})")
+    out.append(f"vn AS (SELECT conv_id, turn, role, t, list_concat(list_concat(vs, {quoted}), flatten([{named}])) AS vs FROM {rest})")
     out.append("vals AS (SELECT conv_id, turn, role, t, list_filter(vs, lambda v, i: list_position(vs, v) = i) AS vs FROM vn)")
     return ", ".join(out)
 
@@ -165,7 +166,7 @@ def version_activation(spark, sf_dir):
 
 
 @query("""WITH e AS (SELECT source, count(*) AS expected FROM documents GROUP BY source), a AS (SELECT source, count(*) AS actual FROM documents JOIN labels USING (doc_id) GROUP BY source)
-SELECT coalesce(e.source, a.source) AS source, coalesce(expected, 0) AS expected, coalesce(actual, 0) AS actual, coalesce(expected, 0) = coalesce(actual, 0) AS ok FROM e FULL JOIN a ON e.source = a.source""")
+SELECT coalesce(e.source, a.source) AS source, coalesce(expected, 0) AS expected, coalesce(actual, 0) AS actual, coalesce(expected, 0) = 0 OR (coalesce(expected, 0) - coalesce(actual, 0)) / coalesce(expected, 0) <= 0.001 AS ok FROM e FULL JOIN a ON e.source = a.source""")
 def count_reconciliation(spark, sf_dir):
     d = docs(spark, sf_dir)
     return lifecycle.reconcile(d, d.join(table(spark, sf_dir, "labels"), "doc_id"), "source")
@@ -284,8 +285,11 @@ def exact_code_terms(spark, sf_dir):
 SELECT doc_id, round(CASE WHEN len(ts) + len(o) = 0 THEN 1 ELSE len(list_intersect(ts, o)) / (len(ts) + len(o) - len(list_intersect(ts, o))) END, 6) AS jaccard FROM l WHERE o IS NOT NULL""")
 def neighbour_jaccard(spark, sf_dir):
     """Overlap of each document's words with those of the one before it in its source."""
-    d = docs(spark, sf_dir).select("doc_id", "source", F.array_distinct(T.tokens(F.col("text"))).alias("ts"))
-    rows = d.withColumn("o", F.lag("ts").over(W.partitionBy("source").orderBy("doc_id"))).where("o IS NOT NULL")
+    # only ids go through the window, which holds a source in one task; the words meet by id
+    d = docs(spark, sf_dir)
+    pairs = d.select("doc_id", F.lag("doc_id").over(W.partitionBy("source").orderBy("doc_id")).alias("before")).where("before IS NOT NULL")
+    words = d.select("doc_id", F.array_distinct(T.tokens(F.col("text"))).alias("ts"))
+    rows = pairs.join(words, "doc_id").join(words.select(F.col("doc_id").alias("before"), F.col("ts").alias("o")), "before")
     return rows.select("doc_id", F.round(T.jaccard(F.col("ts"), F.col("o")), 6).alias("jaccard"))
 
 

@@ -115,6 +115,19 @@ def test_stream_joins_like_tables(spark, tmp_path):
         assert sorted(map(tuple, spark.table(f"joined_{name}").collect()), key=repr) == sorted(map(tuple, want[name].collect()), key=repr)
 
 
+def test_rows_behind_the_watermark_are_dropped(spark, tmp_path):
+    """A stream closes windows that the watermark has passed: a later row for them changes nothing."""
+    rows = lambda *xs: spark.createDataFrame(xs, "event_id long, event_type string, t string, value double").selectExpr("event_id", "event_type", "cast(t AS timestamp) AS ts", "value")
+    steps = [rows((1, "a", "2024-01-01 00:10:00", 1.0), (2, "a", "2024-01-01 05:00:00", 1.0)), rows((3, "a", "2024-01-01 00:20:00", 9.0), (4, "a", "2024-01-01 04:55:00", 2.0)), rows((5, "a", "2024-01-01 09:00:00", 1.0))]
+    for i, step in enumerate(steps):
+        step.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(step.schema).parquet(str(tmp_path / "in"))
+        q = windows.tumbling(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
+        assert q.awaitTermination(60), i
+    got = {(r.start.hour, r.n, r.total) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(0, 1, 1.0), (4, 1, 2.0), (5, 1, 1.0)}
+
+
 def test_text(spark):
     r = spark.range(1).select(T.heading_tree(F.lit("A > B>C")).alias("h"), T.jaccard(F.array().cast("array<string>"), F.array().cast("array<string>")).alias("j"), T.hamming(F.lit(5), F.lit(-1)).alias("d"), T.tokens(F.lit("Ab c_d É1")).alias("t")).first()
     assert (r.h, r.j, r.d, r.t) == (["a", "a > b", "a > b > c"], 1.0, 62, ["ab", "é1"])
