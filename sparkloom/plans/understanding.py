@@ -83,3 +83,29 @@ def question_filters(spark, sf_dir):
     t = F.col("t")
     join = lambda *names: F.array_join(planner.field_values(t, *names), ",")
     return asked(spark, sf_dir).select("conv_id", "turn", planner.is_historical(t).alias("historical"), join("type", "doc_type").alias("doc_types"), join("author").alias("authors"), join("source", "system").alias("sources"))
+
+
+_TIMED = " OR ".join(f"contains(lower(t), '{w}')" for w in planner.TIME)
+MERGED = rf"""{RULES}, a AS (SELECT *, route <> 'fast_exact' AND (follow_up OR route = 'decomposed' OR (({_TIMED}) AND NOT (regexp_matches(t, '\b\d{{4}}-\d{{2}}-\d{{2}}\b') OR regexp_matches(t, '(?i)\b({'|'.join(planner.MONTHS)})\s+(?:19|20)\d{{2}}\b')
+ OR regexp_matches(t, '(?i)\bq[1-4]\s*(?:19|20)\d{{2}}\b') OR regexp_matches(t, '(?i)\blast quarter\b') OR (regexp_matches(t, '\b(?:19|20)\d{{2}}\b') AND len(list_filter(identifiers, lambda i: contains(i, regexp_extract(t, '\b((?:19|20)\d{{2}})\b', 1)))) = 0)))) AS asks,
+ (conv_id + 2 * turn) % 4 AS k, list_has_any(ls, {_list(planner.HISTORICAL)}) AS historical FROM p),
+m AS (SELECT conv_id, turn, asks, CASE WHEN NOT asks OR k = 0 THEN route WHEN k = 1 THEN 'decomposed' WHEN k = 2 AND route = 'decomposed' THEN 'standard' ELSE route END AS route,
+ CASE WHEN asks AND k = 1 THEN list_concat(identifiers, list_filter(['TE-2025-01', 'X-1'], lambda x: NOT list_contains(identifiers, x))) ELSE identifiers END AS ids, historical OR (asks AND k = 3) AS historical,
+ CASE WHEN NOT asks THEN '' WHEN k = 1 THEN 'first part|second' WHEN k = 3 THEN 'only one' ELSE '' END AS sub_queries FROM a)"""
+
+
+@query(f"WITH {MERGED} SELECT conv_id, turn, asks, route, array_to_string(ids, '|') AS identifiers, historical, sub_queries FROM m")
+def plan_merged(spark, sf_dir):
+    """Which questions a model is asked about, and their plans with what it proposes (here by their number)."""
+    t, k = F.col("t"), F.pmod(F.col("conv_id") + 2 * F.col("turn"), F.lit(4))
+    words = lambda *xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
+    rows = asked(spark, sf_dir).withColumn("follow_up", planner.is_follow_up(t, F.col("later")))
+    rows = rows.withColumns({"route": planner.route(t, F.col("follow_up")), "dated": planner.published(t, F.lit("2024-06-01").cast("date")).after.isNotNull()})
+    rows = rows.withColumn("asks", planner.asks_model(t, F.col("route"), F.col("follow_up"), F.col("dated")))
+    idea = F.struct(
+        F.when(k == 1, words("TE-2025-01", " ", "X-1")).alias("exact_tokens"), F.when(k == 1, words("First part ", "", "SECOND")).when(k == 3, words("only one")).otherwise(words()).alias("sub_queries"), (k == 3).alias("historical"),
+        *(F.when(k == 3, words("Ann")).alias(n) for n in ("authors", "doc_types", "sources")),
+    )
+    own = {"route": F.col("route"), "identifiers": planner.identifiers(t), "historical": planner.is_historical(t), "authors": planner.field_values(t, "author"), "doc_types": planner.field_values(t, "type", "doc_type"), "sources": planner.field_values(t, "source", "system")}
+    new = planner.merged(own, F.when(F.col("asks") & (k > 0), idea))
+    return rows.select("conv_id", "turn", "asks", new["route"].alias("route"), F.array_join(new["identifiers"], "|").alias("identifiers"), new["historical"].alias("historical"), F.array_join(new["sub_queries"], "|").alias("sub_queries"))
