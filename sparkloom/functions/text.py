@@ -6,8 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]+"
-#: Typographic marks and what they are read as: fixed values.
-SMART, PLAIN = "’‘“”–— ", "''\"\"-- "
 
 
 def tokens(text: Column) -> Column:
@@ -26,10 +24,6 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
-def keyword(text: Column) -> Column:
-    return F.lower(F.translate(text, SMART, PLAIN))
-
-
 def jaccard(a: Column, b: Column) -> Column:
     """Overlap of two token sets; both empty are equal."""
     both = F.size(F.array_union(a, b))
