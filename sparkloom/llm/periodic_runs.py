@@ -14,7 +14,6 @@ n log n comparisons for n words, memory is linear in one document; documents are
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Callable, Iterator
 
