@@ -71,3 +71,14 @@ def parts_for(total_bytes: int, each: int, least: int = 1) -> int:
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
+
+
+def crc32_sql(codes: str) -> str:
+    """The unsigned crc32 in DuckDB of a list of UTF-8 bytes, bit by bit."""
+    bits = f"flatten(list_transform({codes}, lambda b: [{', '.join(f'(b >> {i}) & 1' for i in range(8))}]))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bits}::BIGINT[]), lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)"
+
+
+def utf8_sql(text: str) -> str:
+    """The UTF-8 bytes in DuckDB of a text whose letters lie below U+0100."""
+    return f"flatten(list_transform(list_filter(string_split({text}, ''), lambda x: x <> ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [192 + unicode(x) // 64, 128 + unicode(x) % 64] END))"

@@ -24,4 +24,6 @@ SQL = {
     "op6_url_filters": url_filters.SQL,
     "op8_revisits": revisits.SQL,
     "op9_quality_rules": quality_rules.SQL,
+    "op11_spelling_variants": spelling.SQL,
+    "op12_periodic_runs": periodic_runs.SQL,
 }

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import U64, mix
-from .common import cut, drop, table
+from .common import LOWER, UPPER, crc32_sql, cut, drop, table, utf8_sql
 
 RUN = re.compile("[a-zÀ-ÿ]+")
 #: Production parameters: code points and occurrences that make a word, and how many times more its form has.
@@ -207,3 +207,19 @@ def spelling_variants(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"), damage=DAMAGE)
+
+
+SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+u AS (SELECT doc_id, run, count(*) AS n FROM d GROUP BY doc_id, run),
+h AS (SELECT run, n, {crc32_sql(utf8_sql("doc_id || ':' || run"))} AS h FROM u),
+l AS (SELECT CASE WHEN h % {DAMAGE} = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM l WHERE length(word) >= {LENGTH} GROUP BY word HAVING sum(n) >= {OCCURRENCES}),
+x AS (SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS (SELECT a.word, b.word AS other FROM x a JOIN x b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word UNION SELECT x.word, v.word FROM x JOIN v ON x.rest = v.word UNION SELECT v.word, x.word FROM x JOIN v ON x.rest = v.word),
+k AS (SELECT near.word, other, o.n AS other_n, count(*) OVER (PARTITION BY near.word) AS n_near, row_number() OVER (PARTITION BY near.word ORDER BY o.n DESC, other) AS place FROM near JOIN v o ON o.word = other),
+j AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= {RATIO} * v.n THEN other END AS form, CASE WHEN other_n >= {RATIO} * v.n THEN other_n END AS form_n FROM v LEFT JOIN k ON k.word = v.word AND place = 1),
+r AS (SELECT word, word AS spot, 0 AS steps FROM j UNION ALL SELECT r.word, j.form, steps + 1 FROM r JOIN j ON j.word = r.spot WHERE j.form IS NOT NULL),
+z AS (SELECT word, max_by(spot, steps) AS root FROM r GROUP BY word)
+SELECT word, form, root, n, n_near::BIGINT AS n_near, form_n FROM j JOIN z USING (word)
+"""

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import pytest
 
 from sparkloom.llm import periodic_runs
@@ -99,3 +100,12 @@ def test_edges(spark, odd_docs, no_docs):
     assert periodic_runs.periodic_runs(no_docs).collect() == []
     with pytest.raises(ValueError):
         periodic_runs.periodic_runs(docs, times=1)
+
+
+def test_query_like_sql(spark):
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    want = con.execute(periodic_runs.SQL)
+    names = [x[0] for x in want.description]
+    got = periodic_runs.op12_periodic_runs(spark, "/root/testdata/sf0.001").select(names).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want.fetchall(), key=repr)

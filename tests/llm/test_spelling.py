@@ -5,6 +5,8 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
+
 from sparkloom.llm import spelling
 
 
@@ -87,3 +89,12 @@ def test_counts_are_passed_on(spark, docs, monkeypatch):
     monkeypatch.setattr(spelling, "HELD", 5)
     monkeypatch.setattr(spelling, "LETTERS", 40)
     assert rows_of(spelling.spelling_variants(docs)) == want
+
+
+def test_query_like_sql(spark):
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    want = con.execute(spelling.SQL)
+    names = [x[0] for x in want.description]
+    got = spelling.op11_spelling_variants(spark, "/root/testdata/sf0.001").select(names).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want.fetchall(), key=repr)
