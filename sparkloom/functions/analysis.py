@@ -78,10 +78,14 @@ def code_runs(text: Column) -> Column:
     return F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit(r"(\p{L}+|\p{N}+)"), F.lit(1))
 
 
+def exact_tokens(text: Column) -> Column:
+    """The tokens of a text between blanks, in order."""
+    return F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit(r"(\S+)"), F.lit(1))
+
+
 def exact_positions(text: Column) -> Column:
     """``position, term`` of a whole text: its tokens between blanks, each with all parts at its position."""
-    tokens = F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit(r"(\S+)"), F.lit(1))
-    return F.flatten(F.transform(tokens, lambda t, i: F.transform(code_parts(t), lambda p: F.struct(i.alias("position"), p.alias("term")))))
+    return F.flatten(F.transform(exact_tokens(text), lambda t, i: F.transform(code_parts(t), lambda p: F.struct(i.alias("position"), p.alias("term")))))
 
 
 def keyword(text: Column) -> Column:

@@ -33,9 +33,10 @@ p AS (SELECT doc_id, position, unnest({PARTS}) AS term FROM t WHERE regexp_match
 SELECT doc_id, position::INT AS position, term FROM p WHERE term <> ''""")
 def exact_code_positions(spark, sf_dir):
     """Every token with a digit and its parts, at its position in the whole text."""
-    coded = table(spark, sf_dir, "documents").select("doc_id", F.explode(analysis.exact_positions(F.col("text"))).alias("p")).select("doc_id", "p.position", "p.term")
-    digits = coded.where(F.col("term").rlike("[0-9]")).select("doc_id", "position").distinct()
-    return coded.join(digits, ["doc_id", "position"], "left_semi")
+    d = table(spark, sf_dir, "documents")
+    # a token has a digit where one of its parts has; the others get no parts, and nothing is shuffled
+    tokens = d.where(F.col("text").rlike("[0-9]")).select("doc_id", F.posexplode(analysis.exact_tokens(F.col("text"))).alias("position", "t")).where(F.col("t").rlike("[0-9]"))
+    return tokens.select("doc_id", "position", F.explode(analysis.code_parts(F.col("t"))).alias("term"))
 
 
 def coded(spark, sf_dir) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import analysis
 from sparkloom.operators import fielded, retrieval
+from sparkloom.plans import lexical
 
 # singular and plural of the stemming bench, and words that must stay whole
 PAIRS = "cost costs report reports contract contracts payment payments document documents rule rules claim claims limit limits benefit benefits supplier suppliers agreement agreements term terms invoice invoices policy policies status statuses address addresses process processes employee employees company companies expense expenses".split()
@@ -46,6 +47,14 @@ def test_codes_keep_their_places(spark):
     assert analyzed(spark, "a - b", analysis.exact_positions)[1].term == "-"
 
 
+def test_code_positions_need_no_other_row(spark, tmp_path):
+    rows = [(1, "see B-2 here"), (1, "plain words only"), (2, None), (3, "no digit")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = lexical.exact_code_positions(spark, str(tmp_path))
+    assert sorted(tuple(x) for x in got.collect()) == [(1, 1, "2"), (1, 1, "b"), (1, 1, "b-2"), (1, 1, "b2")]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_identifiers_named_by_any_of_them(spark):
     docs = spark.createDataFrame([(1, "see SEC-4.2.1 and TKT-99812"), (2, "SEC 4.2.1, again sec-4.2.1"), (3, "SEC-4.2"), (4, "section 14.2.1"), (5, None), (1, "TKT-99812")], "doc_id long, text string")
     asked = spark.createDataFrame([(9, ["SEC-4.2.1", "TKT-99812", "SEC-4.2.1"]), (8, ["2"]), (7, []), (6, ["--"])], "query_id long, identifiers array<string>")
