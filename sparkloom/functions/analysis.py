@@ -55,9 +55,28 @@ def stem(word: Column) -> Column:
     )
 
 
+def english_words(text: Column) -> Column:
+    """The words of a text in order, folded."""
+    return F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit(f"({WORD})"), F.lit(1))
+
+
+def english_stem(word: str) -> str:
+    """What ``english_positions`` makes of a folded word, for code that runs inside a task anyway."""
+    word = word.removesuffix("'s")
+    if word in STOP:
+        return ""
+    if len(word) < 4 or not word.endswith("s") or word.endswith(("ss", "us", "is")) or word in KEEP:
+        return word
+    if word.endswith("ies") and len(word) > 4:
+        return word[:-3] + "y"
+    n = len(word)
+    two = word.endswith(("sses", "shes", "ches", "xes")) or (word.endswith(("tuses", "nuses", "ruses", "puses")) and n > 6) or (word.endswith("oes") and n > 5)
+    return word[: -2 if two else -1]
+
+
 def english_positions(text: Column) -> Column:
     """Stems of a text's words in order, an empty one where a stop word stands."""
-    words = F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit(f"({WORD})"), F.lit(1))
+    words = english_words(text)
     plain = F.transform(words, lambda w: F.when(F.endswith(w, F.lit("'s")), F.substring(w, F.lit(1), F.length(w) - 2)).otherwise(w))
     return F.transform(plain, lambda w: F.when(w.isin(STOP), F.lit("")).otherwise(stem(w)))
 

@@ -6,6 +6,7 @@ import hashlib
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,24 @@ SHORT = "mr mrs ms dr prof sr jr st inc ltd llc plc co corp gmbh ag bv nv sa etc
 BETWEEN = rf"""(?<=[.!?])(?<!(?:^|[^A-Za-z])(?:(?i:{'|'.join(SHORT)})|[A-Z])\.)\s+(?=["“(\[]?[A-Z0-9])"""
 
 
+#: List entries that a task works on at once; a row with more is a piece of its own.
+PIECE = 1 << 18
+
+
+def pieces(batches: Iterable[pa.RecordBatch], lists: Iterable[int]) -> Iterator[pa.RecordBatch]:
+    """Batches cut in pieces of bounded size, by the entries of these list columns; no batch without rows."""
+    for batch in batches:
+        size = np.zeros(batch.num_rows + 1, np.int64)
+        for i in lists:
+            offsets = batch.column(i).offsets.to_numpy().astype(np.int64)
+            size += offsets - offsets[0]
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(size, size[lo] + PIECE, "right")) - 1)
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def sentences_of(text: str) -> list[str]:
     """Sentences of a text, for code that runs inside a task anyway."""
     return [s for s in map(str.strip, regex.split(BETWEEN, text)) if s]

@@ -2,7 +2,9 @@
 
 One scan cuts the fields into terms and keeps what the questions ask for, in a row of numbers a document. Those rows are
 dealt once and read twice: document frequencies and mean lengths are counted from them into one small row, which is
-broadcast, and every document is then scored in its own row. Nothing but the stated questions is read before an action.
+broadcast, and every document is then scored in its own row. Both readers take all columns of the rows, or Spark would
+cut the texts once for each. Nothing but the stated questions is read before an action. Tasks hold pieces of bounded
+size, however many rows a batch has.
 """
 
 from __future__ import annotations
@@ -14,11 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.analysis import english_positions
+from ..functions.analysis import english_stem, english_words
+from ..functions.arrow import pieces
 from .retrieval import top
 
-#: Cells (question, document, field) that a task holds at once, and bytes of questions that are sent to every task.
-CELLS, QUESTION_BYTES = 1 << 21, 16 << 20
+#: Cells (question, document, field), or terms met, that a task holds at once, and bytes of questions that are sent to every task.
+CELLS, QUESTION_BYTES = 1 << 19, 16 << 20
 #: The weights of the fields, of the phrase, and how far its words may be out of place in all.
 WEIGHTS = {"content": 1.0, "context_line": 0.7, "heading_path": 1.6, "title": 2.0}
 PHRASE_WEIGHT, SLOP = 2.0, 2
@@ -27,8 +30,9 @@ PHRASE_WEIGHT, SLOP = 2.0, 2
 class Asked:
     """A stated set of questions as numbers: a coordinate for each field and term."""
 
-    def __init__(self, rows: pa.Table, fields: int):
-        self.ids, lists = rows.column("query_id").combine_chunks(), rows.column("ts").to_pylist()
+    def __init__(self, rows: pa.Table, fields: int, term: Callable[[str], str] | None):
+        self.ids, self.term = rows.column("query_id").combine_chunks(), term
+        lists = [x if term is None else list(map(term, x)) for x in rows.column("ts").to_pylist()]
         self.number = {t: i for i, t in enumerate(sorted({t for x in lists for t in x if t}))}
         self.width, self.fields = max(1, len(self.number)), fields
         places = [[(self.number[t], p) for p, t in enumerate(x) if t] for x in lists]
@@ -46,13 +50,14 @@ def _hits(asked: Asked, places: bool):
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = asked.width
-        for batch in batches:
+        for batch in pieces(batches, range(2, 2 + asked.fields)):
             n, found = batch.num_rows, []
             lengths = np.zeros((n, asked.fields), np.int32)
             for f in range(asked.fields):
                 column = batch.column(2 + f)
                 offsets, code = column.offsets.to_numpy().astype(np.int64), column.flatten().dictionary_encode()
                 words = code.dictionary.to_pylist()
+                words = words if asked.term is None else list(map(asked.term, words))
                 term = np.array([asked.number.get(w, -1) for w in words] or [-1], np.int64)
                 real = np.array([w != "" for w in words] or [False])
                 at = code.indices.to_numpy()
@@ -75,6 +80,24 @@ def _hits(asked: Asked, places: bool):
     return look
 
 
+def _counts(asked: Asked, empty: bool):
+    """Rows of ``_hits`` to ``c, n, length``: documents that have a coordinate; below 0, those that have a field, and its words."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(asked.width * asked.fields, np.int64)
+        n, length = np.zeros(asked.fields, np.int64), np.zeros(asked.fields, np.int64)
+        for batch in batches:
+            df += np.bincount(batch.column(3).flatten().to_numpy(), minlength=len(df))
+            dl = batch.column(2).flatten().to_numpy().reshape(-1, asked.fields)
+            n += len(dl) if empty else (dl > 0).sum(0)
+            length += dl.sum(0, dtype=np.int64)
+        c, field = np.flatnonzero(df), np.arange(asked.fields)
+        rows = (np.append(c, -1 - field), np.append(df[c], n), np.append(0 * c, length))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["c", "n", "length"])
+
+    return count
+
+
 def phrase_frequency(words: np.ndarray, places: list[np.ndarray], slop: int) -> float:
     """How often words stand as asked: 1 for each place where all do, less where they are up to ``slop`` places off.
 
@@ -122,8 +145,16 @@ def _scores(asked: Asked, weights: list[float], k: int, k1: float, min_match: bo
         q, d = np.nonzero(ok.any(2))
         return q, d, best[q, d], np.where(ok, met, 0).max(2)[q, d]
 
+    def best(q: np.ndarray, d: np.ndarray, s: np.ndarray, m: np.ndarray, order: np.ndarray) -> list[np.ndarray]:
+        """The best ``k`` of each question; ties by ``order``."""
+        o = np.lexsort((order[d], -s, q))
+        q = q[o]
+        keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+        return [q[keep], *(x[o][keep] for x in (d, s, m))]
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, range(1, 6)):
+            batch = batch.filter(batch.column(6))
             names = batch.column(0)
             order = np.argsort(np.argsort(names.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
             lists = [batch.column(i) for i in range(1, 6)]  # c, tf, idf, norm, place
@@ -131,20 +162,17 @@ def _scores(asked: Asked, weights: list[float], k: int, k1: float, min_match: bo
             at, spots = lists[0].offsets.to_numpy().astype(np.int64) - lists[0].offsets[0].as_py(), lists[4].offsets.to_numpy().astype(np.int64) - lists[4].offsets[0].as_py()
             norm = norm.reshape(len(names), fields)
             step = max(1, CELLS // max(1, len(n_terms) * fields))
-            out = []
-            for lo in range(0, len(names), step):
-                hi = min(len(names), lo + step)
+            met = np.concatenate(([0], np.cumsum(np.diff(asked.begin)[c % width])))[at]  # terms of questions met before each document
+            q, d, s, m = (np.zeros(0, t) for t in (np.int64, np.int64, np.float64, np.int64))
+            lo = 0
+            while lo < len(names):
+                hi = min(len(names), lo + step, max(lo + 1, int(np.searchsorted(met, met[lo] + CELLS, "right")) - 1))
                 part = slice(at[lo], at[hi])
                 doc = np.repeat(np.arange(hi - lo), np.diff(at[lo : hi + 1]))
                 begin = np.cumsum(tf[part]) - tf[part]
-                q, d, s, m = block(doc, hi - lo, c[part].astype(np.int64), tf[part], idf[part], norm[lo:hi], place[spots[lo] : spots[hi]], begin)
-                out.append((q, d + lo, np.round(s, 6), m))
-            q, d, s, m = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
-            best = np.lexsort((order[d], -s, q))
-            q, d, s, m = q[best], d[best], s[best], m[best]
-            first = np.searchsorted(q, q)
-            keep = np.arange(len(q)) - first < k
-            q, d, s, m = q[keep], d[keep], s[keep], m[keep]
+                more = block(doc, hi - lo, c[part].astype(np.int64), tf[part], idf[part], norm[lo:hi], place[spots[lo] : spots[hi]], begin)
+                q, d, s, m = best(*(np.concatenate(x) for x in zip((q, d, s, m), (more[0], more[1] + lo, np.round(more[2], 6), more[3]), strict=True)), order)
+                lo = hi
             yield pa.RecordBatch.from_arrays([asked.ids.take(pa.array(q)), names.take(pa.array(d)), pa.array(s.astype(np.float64)), pa.array(m.astype(np.int64)), pa.array(n_terms[q])], names=["query_id", "doc_id", "score", "matched", "n_terms"])
 
     return score
@@ -152,7 +180,8 @@ def _scores(asked: Asked, weights: list[float], k: int, k1: float, min_match: bo
 
 def bm25_fields(
     docs: DataFrame, queries: DataFrame, weights: dict[str, float] | None = None, k: int = 200, scope: Column | None = None, k1: float = 0.9, b: float = 0.4,
-    min_match: bool = True, phrase_weight: float = PHRASE_WEIGHT, slop: int = SLOP, terms: Callable[[Column], Column] = english_positions, empty: bool = False,
+    min_match: bool = True, phrase_weight: float = PHRASE_WEIGHT, slop: int = SLOP, terms: Callable[[Column], Column] = english_words,
+    term: Callable[[str], str] | None = english_stem, empty: bool = False,
 ) -> DataFrame:
     """``query_id, doc_id, score, matched, n_terms, rank``: the best ``k`` of each question.
 
@@ -162,37 +191,39 @@ def bm25_fields(
     part of the scan, before any ranking, and doesn't change the statistics, which are those of all documents that have
     the field, or with ``empty`` of all documents. A null
     field is empty, a null scope is no hit; ties go to the smaller ``doc_id``; no questions give no rows. Questions of
-    more than ``QUESTION_BYTES`` in all are answered in blocks of that size.
+    more than ``QUESTION_BYTES`` in all are answered in blocks of that size. ``terms`` cuts a text into words, and
+    ``term`` says which term a word is, once for each distinct word of a piece; an empty term only holds its place.
     """
     weights = WEIGHTS if weights is None else weights
     size = queries.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks, parts = -(-max(1, size) // QUESTION_BYTES), []
     for i in range(blocks):
         some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        parts.append(_block(docs, some, weights, k, scope, k1, b, min_match, phrase_weight, slop, terms, empty))
+        parts.append(_block(docs, some, weights, k, scope, k1, b, min_match, phrase_weight, slop, terms, term, empty))
     found = parts[0]
     for part in parts[1:]:
         found = found.unionAll(part)
     return top(found, k)
 
 
-def _block(docs, queries, weights, k, scope, k1, b, min_match, phrase_weight, slop, terms, empty) -> DataFrame:
+def _block(docs, queries, weights, k, scope, k1, b, min_match, phrase_weight, slop, terms, term, empty) -> DataFrame:
     kind = lambda t, c: t.schema[c].dataType.simpleString()
-    asked = Asked(queries.select("query_id", terms(F.col("text")).alias("ts")).toArrow(), len(weights))
+    asked = Asked(queries.select("query_id", terms(F.col("text")).alias("ts")).toArrow(), len(weights), term)
     keep = F.lit(True) if scope is None else F.coalesce(scope, F.lit(False))
     rows = docs.select("doc_id", keep.alias("keep"), *(terms(F.col(f)).alias(f"__f{i}") for i, f in enumerate(weights)))
     hits = rows.mapInArrow(_hits(asked, phrase_weight > 0), f"doc_id {kind(docs, 'doc_id')}, keep boolean, dl array<int>, c array<int>, tf array<int>, place array<int>").repartition("doc_id")
     # one row: the weight of every coordinate by its document frequency, and the fields' mean lengths
-    length = [F.get("dl", F.lit(i)) for i in range(len(weights))]
-    means = hits.agg(F.array(*(F.count_if(x >= 0 if empty else x > 0) for x in length)).alias("n"), F.array(*(F.coalesce(F.sum(x), F.lit(0)) for x in length)).alias("all"))
-    means = means.select("n", F.transform("all", lambda x, i: x / F.greatest(F.get("n", i), F.lit(1))).alias("mean"))
-    df = hits.select(F.explode("c").alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("df"))
-    every = docs.sparkSession.range(asked.width * len(weights)).select(F.col("id").cast("int").alias("c")).join(df, "c", "left").crossJoin(F.broadcast(means))
-    n, seen = F.get("n", F.floor(F.col("c") / asked.width).cast("int")), F.coalesce("df", F.lit(0))
-    idf = every.select("c", F.log1p((n - seen + 0.5) / (seen + 0.5)).alias("w"), "mean").agg(F.sort_array(F.collect_list(F.struct("c", "w"))).alias("w"), F.first("mean").alias("mean"))
-    stats = idf.select(F.transform("w", lambda x: x["w"]).alias("idf"), "mean")
-    weighed = hits.where("keep AND size(c) > 0").crossJoin(F.broadcast(stats)).select(
-        "doc_id", "c", "tf", F.transform("c", lambda c: F.get("idf", c)).alias("w"), F.transform("dl", lambda d, i: k1 * (1 - b + b * d / F.greatest(F.get("mean", i), F.lit(1e-9)))).alias("norm"), "place",
+    counts = hits.mapInArrow(_counts(asked, empty), "c long, n long, length long").groupBy("c").agg(F.sum("n").alias("n"), F.sum("length").alias("length"))
+    every = docs.sparkSession.range(-len(weights), asked.width * len(weights)).select(F.col("id").alias("c")).join(counts, "c", "left")
+    row = every.agg(F.sort_array(F.collect_list(F.struct("c", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("length", F.lit(0)).alias("length")))).alias("all"))
+    # the fields, of which the last comes first, then the coordinates
+    row = row.select(F.reverse(F.slice("all", 1, len(weights))).alias("field"), F.slice("all", len(weights) + 1, asked.width * len(weights)).alias("term"))
+    n = lambda x: F.get(F.col("field"), F.floor(x["c"] / asked.width).cast("int"))["n"]
+    stats = row.select(
+        F.transform("term", lambda x: F.log1p((n(x) - x["n"] + 0.5) / (x["n"] + 0.5))).alias("idf"), F.transform("field", lambda x: x["length"] / F.greatest(x["n"], F.lit(1))).alias("mean"),
+    )
+    weighed = hits.crossJoin(F.broadcast(stats)).select(
+        "doc_id", "c", "tf", F.transform("c", lambda c: F.get("idf", c)).alias("w"), F.transform("dl", lambda d, i: k1 * (1 - b + b * d / F.greatest(F.get("mean", i), F.lit(1e-9)))).alias("norm"), "place", "keep",
     )
     names = "query_id {}, doc_id {}, score double, matched long, n_terms long".format(kind(queries, "query_id"), kind(docs, "doc_id"))
     return weighed.mapInArrow(_scores(asked, list(weights.values()), k, k1, min_match, phrase_weight, slop), names)

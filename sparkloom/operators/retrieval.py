@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.arrow import pieces
 from ..functions.text import tokens
 
 #: Rows of a query table that may be sent to every executor.
@@ -53,7 +54,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 0.9, b: f
     """
     from .fielded import bm25_fields  # which ranks with ``top``
 
-    return bm25_fields(docs, queries, {"text": 1.0}, k, k1=k1, b=b, min_match=min_match, phrase_weight=0, terms=tokens, empty=True)
+    return bm25_fields(docs, queries, {"text": 1.0}, k, k1=k1, b=b, min_match=min_match, phrase_weight=0, terms=tokens, term=None, empty=True)
 
 
 def bm25_joined(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 0.9, b: float = 0.4, min_match: bool = False) -> DataFrame:
@@ -99,7 +100,7 @@ def _runs(questions: pa.Table, length: int):
     hashes = np.unique((np.array(list(wanted), np.uint64).reshape(-1, length) * powers).sum(1, dtype=np.uint64))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, [1]):
             offsets, code = batch.column(1).offsets.to_numpy(), batch.column(1).flatten().dictionary_encode()
             known = np.array([number.get(t, -1) for t in code.dictionary.to_pylist()], np.int64)
             c = known[code.indices.to_numpy()] if len(code) else np.zeros(0, np.int64)

@@ -4,10 +4,11 @@ import math
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.functions import analysis
+from sparkloom.functions import analysis, arrow
 from sparkloom.operators import fielded, retrieval
 from sparkloom.plans import lexical
 
@@ -134,3 +135,23 @@ def test_many_questions_in_bounded_memory(spark):
     asked = spark.range(20_000).selectExpr("id AS query_id", "concat('w', id % 300, ' w', id % 300 + 1) AS text")
     got = fielded.bm25_fields(docs, asked, {"content": 1.0}, k=1).selectExpr("count(*) AS n", "count_if(doc_id = greatest(query_id % 300 - 1, 0)) AS right").first()
     assert got.n == got.right == 20_000
+
+
+def test_words_of_tasks_are_the_analyzer_s(spark):
+    text = " ".join([*PAIRS, *WHOLE, "the of café’s viruses bonuses houses causes boxes ties shoes heroes news foes ties's his gas a_b v1.2.3 uses tuses species"])
+    words = analyzed(spark, text, analysis.english_words)
+    assert [analysis.english_stem(w) for w in words] == analyzed(spark, text, analysis.english_positions)
+
+
+def test_texts_are_cut_once_and_batches_in_pieces(spark, monkeypatch):
+    rows = [(i, f"alpha beta w{i}") for i in range(50)]
+    docs, asked = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, "alpha w7"), (2, "beta")], "query_id long, text string")
+    want = [tuple(x) for x in retrieval.bm25(docs, asked, 3).orderBy("query_id", "rank").collect()]
+    monkeypatch.setattr(arrow, "PIECE", 7)
+    monkeypatch.setattr(fielded, "CELLS", 5)
+    batch = pa.RecordBatch.from_pydict({"a": [[1] * n for n in (3, 9, 0, 2, 4, 2)]})
+    assert [x.num_rows for x in arrow.pieces([batch.slice(0, 6), batch.slice(2, 1)], [0])] == [1, 1, 3, 1, 1]
+    found = retrieval.bm25(docs, asked, 3).orderBy("query_id", "rank")
+    assert [tuple(x) for x in found.collect()] == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan[plan.index("Final Plan") : plan.index("Initial Plan")]
