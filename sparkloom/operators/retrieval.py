@@ -19,6 +19,8 @@ BROADCAST_ROWS = 200_000
 
 #: Text of a question table that is sent to every executor, and vectors of a block of them.
 QUESTION_BYTES, QUERY_BLOCK = 16 << 20, 4096
+#: Cells (question, vector) that a task scores at once, and questions of such a tile.
+CELLS, TILE = 1 << 19, 512
 
 
 def sized(df: DataFrame) -> DataFrame:
@@ -125,11 +127,11 @@ def _runs(questions: pa.Table, length: int):
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, keep: Column | None = None) -> DataFrame:
     """Exact inner-product search: ``query_id, vec_id, score, rank``; a vector doesn't find itself.
 
-    ``keep`` filters before the ranking. Batches of rows meet blocks of the stated query set in matrix products, and only
-    the best ``k`` of a batch leave its task. A null vector, and one of another length than the question's, is no hit.
+    ``keep`` filters before the ranking. Rows meet blocks of the stated query set in matrix products of bounded size, and
+    only the best ``k`` of each question leave a task. A null vector, and one of another length than the question's, is no hit.
     """
-    rows = (vectors if keep is None else vectors.where(keep)).where("embedding IS NOT NULL").select("vec_id", "embedding")
-    asked = queries.where("embedding IS NOT NULL").select("vec_id", "embedding")
+    rows = (vectors if keep is None else vectors.where(keep)).where("embedding IS NOT NULL AND vec_id IS NOT NULL").select("vec_id", "embedding")
+    asked = queries.where("embedding IS NOT NULL AND vec_id IS NOT NULL").select("vec_id", "embedding")
     kind = vectors.schema["vec_id"].dataType.simpleString()
     found = None
     blocks = -(-max(1, asked.count()) // QUERY_BLOCK)
@@ -142,23 +144,41 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, keep: Column | No
 
 def _nearest(questions: pa.Table, k: int):
     ids = questions.column("vec_id").combine_chunks()
-    lists = questions.column("embedding").to_pylist()
+    lists = questions.column("embedding").combine_chunks()
+    level = lambda s: np.where(np.isnan(s), np.inf, np.round(s, 5))  # noqa: E731  Spark and SQL put NaN above all numbers
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = ids.to_numpy(zero_copy_only=False)
+        widths = np.diff(lists.offsets.to_numpy())
+        best: dict[tuple[int, int], list[np.ndarray]] = {}  # of a tile of questions: question, vector, score
         for batch in batches:
-            names, vectors = batch.column(0), batch.column(1)
-            size = np.diff(vectors.offsets.to_numpy())
-            for width in {len(x) for x in lists}:
-                these, here = [i for i, x in enumerate(lists) if len(x) == width], np.flatnonzero(size == width)
-                v = vectors.take(pa.array(here)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(here), width)
-                score = np.array([lists[i] for i in these], np.float64).reshape(len(these), width) @ v.T
-                name = names.take(pa.array(here)).to_numpy(zero_copy_only=False)
-                order = np.argsort(np.argsort(name, kind="stable"), kind="stable")
-                mine = ids.take(pa.array(these)).to_numpy(zero_copy_only=False)
-                best = [np.flatnonzero(name != x) for x in mine]
-                best = [x[np.lexsort((order[x], -np.round(score[i, x], 5)))[:k]] for i, x in enumerate(best)]
-                which, there = np.repeat(np.arange(len(these)), [len(x) for x in best]), np.concatenate(best).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.array(these)[which])), names.take(pa.array(here[there])), pa.array(score[which, there])], names=["query_id", "vec_id", "score"])
+            size = np.diff(batch.column(1).offsets.to_numpy())
+            for width in np.unique(widths):
+                these = np.flatnonzero(widths == width)
+                if not len(here := np.flatnonzero(size == width)):
+                    continue
+                for lo in range(0, len(these), TILE):
+                    asked = these[lo : lo + TILE]
+                    q = lists.take(pa.array(asked)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(asked), width)
+                    for at in range(0, len(here), CELLS // TILE):
+                        rows = pa.array(here[at : at + CELLS // TILE])
+                        name = batch.column(0).take(rows).to_numpy(zero_copy_only=False)
+                        v = batch.column(1).take(rows).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(name), width)
+                        score = q @ v.T
+                        own = mine[asked][:, None] == name[None, :]
+                        rank = np.where(own, -np.inf, level(score))
+                        # the k-th best of each question; those level with it are weighed by their names
+                        edge = np.partition(rank, len(name) - k, 1)[:, len(name) - k] if len(name) > k else np.full(len(asked), -np.inf)
+                        i, j = np.nonzero((rank >= edge[:, None]) & ~own)
+                        new = [asked[i], name[j], score[i, j]]
+                        old = best.get((int(width), lo))
+                        i, names, s = new if old is None else [np.concatenate(x) for x in zip(old, new, strict=True)]
+                        o = np.lexsort((names, -level(s), i))
+                        i, names, s = i[o], names[o], s[o]
+                        keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+                        best[int(width), lo] = [i[keep], names[keep], s[keep]]
+        for i, names, s in best.values():
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), pa.array(names, ids.type), pa.array(s)], names=["query_id", "vec_id", "score"])
 
     return search
 

@@ -2,6 +2,8 @@
 
 import hashlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,3 +194,17 @@ def test_file_kinds(spark):
     rows = spark.createDataFrame([(b"%PDF-1.7", "a.txt"), (b"hello", "dir/my_fine-file.MD"), (b"", "x"), (b"\xff\xd8\xff\x00", None), (None, "_.html")], "c binary, n string")
     got = rows.select(lifecycle.mime(F.col("c"), F.col("n")).alias("m"), lifecycle.loader(lifecycle.mime(F.col("c"), F.col("n"))).alias("l"), lifecycle.title_of(F.col("n")).alias("t")).collect()
     assert [tuple(r) for r in got] == [("application/pdf", "parser", "a"), ("text/markdown", "markdown", "my fine file"), ("application/octet-stream", None, "x"), ("image/jpeg", "parser", "Document"), ("text/html", "html", "Document")]
+
+
+def test_dense_search_holds_tiles_and_gives_the_best_of_a_task_once(monkeypatch):
+    monkeypatch.setattr(retrieval, "CELLS", 12)
+    monkeypatch.setattr(retrieval, "TILE", 4)
+    rng = np.random.default_rng(3)
+    x = {int(i): rng.integers(-2, 3, 3 if i % 4 else 2).astype(float) for i in rng.permutation(60)}
+    table = lambda ids: pa.record_batch([pa.array(ids, pa.int64()), pa.array([x[i].tolist() for i in ids], pa.list_(pa.float64()))], names=["vec_id", "embedding"])
+    asked = [i for i in x if i % 3 == 0]
+    names = list(x)
+    found = [r for b in retrieval._nearest(pa.Table.from_batches([table(asked)]), 5)(iter([table(names[:25]), table(names[25:25]), table(names[25:])])) for r in b.to_pylist()]
+    for q in asked:
+        best = sorted((-float(x[q] @ v), i) for i, v in x.items() if i != q and len(v) == len(x[q]))[:5]
+        assert [(-r["score"], r["vec_id"]) for r in found if r["query_id"] == q] == best
