@@ -241,8 +241,9 @@ def identifiers_in(docs: DataFrame, asked: DataFrame, runs: Callable[[Column], C
 
     asked: ``query_id, identifiers``. ``runs`` cuts a text into its runs of letters and of digits; a document names an
     identifier where the runs of it stand one after another. A document is found by the first two runs of an
-    identifier, then searched for the whole. More identifiers count before more places, then the smaller ``doc_id``. An identifier without any letter or
-    digit, a question without identifiers and a null text name nothing.
+    identifier, then searched for the whole. More identifiers count before more places, then the smaller ``doc_id``. Questions of the
+    same identifiers are ranked once, and of an identifier's documents those that name no other one of a question meet it
+    only if they are among the identifier's best ``k``, which loses no hit. An identifier without any letter or digit, a question without identifiers and a null text name nothing.
     """
     ids = asked.select("query_id", F.explode(F.array_distinct("identifiers")).alias("identifier")).withColumn("want", runs(F.col("identifier"))).where("size(want) > 0")
     pairs = lambda ts: F.transform(F.slice(ts, 1, F.size(ts) - 1), lambda t, i: F.concat_ws(" ", t, F.get(ts, i + 1)))
@@ -252,8 +253,23 @@ def identifiers_in(docs: DataFrame, asked: DataFrame, runs: Callable[[Column], C
     rows = docs.select("doc_id", runs(F.col("text")).alias("ts")).where("size(ts) > 0").crossJoin(F.broadcast(known))
     rows = rows.select("doc_id", F.concat(F.lit(" "), F.array_join("ts", " "), F.lit(" ")).alias("flat"), F.explode(F.array_intersect(F.concat("ts", pairs(F.col("ts"))), "known")).alias("key"))
     times = F.regexp_count("flat", F.concat(F.lit("(?= "), F.array_join("want", " "), F.lit(" )")))
-    places = rows.join(wanted, "key").select("doc_id", "want", times.alias("n")).where("n > 0")
+    # both readers of the counts take all their columns and rows, or Spark would cut the documents once for each
+    places = rows.join(wanted, "key").select("doc_id", "want", times.alias("n")).where("n > 0 AND want IS NOT NULL")
     counted = places.groupBy("doc_id", "want").agg(F.sum("n").alias("n"))
-    by = ids.join(counted, "want").groupBy("query_id", "doc_id").agg(F.count_distinct("identifier").alias("n_identifiers"), F.sum("n").alias("n_places"))
-    order = W.partitionBy("query_id").orderBy(F.desc("n_identifiers"), F.desc("n_places"), "doc_id")
-    return by.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    # questions that want the same are answered once, in the name of the smallest
+    mine = ids.groupBy("query_id", "want").agg(F.count(F.lit(1)).alias("times"))
+    asked_for = mine.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("want", "times"))).alias("all"))
+    leads = asked_for.groupBy("all").agg(F.min("query_id").alias("lead"))
+    wants = leads.select("lead", F.size("all").alias("size"), F.explode("all").alias("x")).select("lead", "size", "x.want", "x.times")
+    # documents that name one want of a question: none behind the best k of that want can be among the question's best
+    best = counted.withColumn("place", F.row_number().over(W.partitionBy("want").orderBy(F.desc("n"), "doc_id"))).where(F.col("place") <= k)
+    single = wants.join(best, "want").select("lead", "doc_id", F.col("times").alias("n_identifiers"), (F.col("times") * F.col("n")).alias("n_places"))
+    # documents that name several wants, for questions that have several
+    several = wants.where("size > 1")
+    many = counted.withColumn("named", F.count(F.lit(1)).over(W.partitionBy("doc_id"))).where("named > 1")
+    both = several.join(many, "want").groupBy("lead", "doc_id").agg(F.sum("times").alias("n_identifiers"), F.sum(F.col("times") * F.col("n")).alias("n_places"), F.count(F.lit(1)).alias("wants"))
+    both = both.where("wants > 1").drop("wants")
+    by = single.unionByName(both).groupBy("lead", "doc_id").agg(F.max("n_identifiers").alias("n_identifiers"), F.max("n_places").alias("n_places"))
+    order = W.partitionBy("lead").orderBy(F.desc("n_identifiers"), F.desc("n_places"), "doc_id")
+    found = by.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return asked_for.join(leads, "all").select("query_id", "lead").join(found, "lead").select("query_id", "doc_id", "n_identifiers", "n_places", "rank")

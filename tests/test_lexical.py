@@ -63,6 +63,23 @@ def test_identifiers_named_by_any_of_them(spark):
     assert got == {(9, 1): (2, 3, 1), (9, 2): (1, 2, 2), (8, 2): (1, 2, 1), (8, 1): (1, 1, 2), (8, 3): (1, 1, 3), (8, 4): (1, 1, 4)}
 
 
+def test_identifiers_of_many_questions_are_ranked_once(spark):
+    rng = random.Random(5)
+    codes = [f"TKT-{i}" for i in range(6)]
+    texts = {d: " ".join(rng.choices(codes, k=rng.choice([1, 1, 1, 2, 3, 5]))) for d in range(120)}
+    asks = {q: rng.sample(codes + ["tkt 1"], rng.randint(1, 4)) for q in range(60)}
+    docs, asked = spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(list(asks.items()), "query_id long, identifiers array<string>")
+    want = {}
+    for q, ids in asks.items():
+        places = {d: [t.split().count(c.upper().replace(" ", "-")) for c in ids] for d, t in texts.items()}
+        hits = sorted((-sum(map(bool, n)), -sum(n), d) for d, n in places.items() if any(n))[:4]
+        want |= {(q, d): (-a, -b, r) for r, (a, b, d) in enumerate(hits, 1)}
+    found = retrieval.identifiers_in(docs, asked, analysis.code_runs, 4)
+    assert {(r.query_id, r.doc_id): (r.n_identifiers, r.n_places, r["rank"]) for r in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "lead" in plan and plan[plan.index("Final Plan") : plan.index("Initial Plan")].count("ReusedExchange") >= 1
+
+
 def brute(docs, questions, weights, slop=2):
     """Scores by definition; texts are words without stop words or plurals."""
     tokens = {(d, f): (t or "").split() for d, fields in docs.items() for f, t in zip(weights, fields)}
