@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import operator
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import U64, bucket_of, from_six, groups, mix, six_bytes
-from .common import cut, drop, parts_for, table, volume
+from .common import cut, drop, parts_for, table
 from .components import components
 from .near_dedup import BROADCAST_ROWS, TILE, pieces, raw_texts
 
@@ -33,8 +34,8 @@ BROADCAST_ENTRIES = 2_000_000
 BITMAP = 20
 #: Classes of line length between those of two similar lines.
 APART = 4
-#: Bytes of text that words are counted in, and how many of the most common are told apart; they only order word pairs.
-SAMPLE, COMMON = 16 << 20, 200_000
+#: How many of the most common words are told apart, which only orders word pairs, and distinct words that a task counts at once.
+COMMON, WORDS = 200_000, 1 << 17
 _KINDS = bytes(
     ord(chr(b).lower()) if chr(b).isascii() and chr(b).isupper() else b if b >= 128 or chr(b).isalnum() or b == 10 else 32
     for b in range(256)
@@ -45,12 +46,20 @@ _KINDS = bytes(
 _BLANKLESS = re.compile(rb"\xe0[\xb8\xb9][\x80-\xbf]|[\xe3-\xed][\x80-\xbf]{2}")
 
 
-def normal_lines(text: bytes) -> list[list[bytes]]:
-    """The words of each line: A-Z lower-cased, digits kept, other ASCII marks as blanks."""
+def normal(text: bytes) -> bytes:
+    """A-Z lower-cased, digits and ends of lines kept, other ASCII marks as blanks."""
     text = text.translate(_KINDS)
-    if not text.isascii():
-        text = _BLANKLESS.sub(rb" \g<0> ", text)
-    return [line.split() for line in text.split(b"\n")]
+    return text if text.isascii() else _BLANKLESS.sub(rb" \g<0> ", text)
+
+
+def normal_lines(text: bytes) -> list[list[bytes]]:
+    """The words of each line."""
+    return [line.split() for line in normal(text).split(b"\n")]
+
+
+def normal_words(text: bytes) -> list[bytes]:
+    """The words of all lines."""
+    return normal(text).split()
 
 
 def numbered(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,17 +152,23 @@ def rare_pairs(coded: tuple[np.ndarray, np.ndarray, np.ndarray], common: tuple[n
 
 
 def common_words(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, and counts of the words that are common in a sample. Which ones these are changes no result."""
-    size = volume(docs, "text")[1]
-    docs = docs.select("text")
+    """Hashes, sorted, and counts in all documents of the most common words. Which ones these are changes no result."""
+
+    def rows(count: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(w) for w in count], pa.uint64()).view(pa.int64()), pa.array(list(count.values()), pa.int64())], names=["word", "n"])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count: Counter = Counter()
         for batch in batches:
             for part in pieces(raw := raw_texts(batch.column(0))):
-                flat, h, _ = numbered([w for x in raw[part] for w in normal_lines(x)])
-                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(np.bincount(flat, minlength=len(h)))], names=["word", "n"])
-
-    found = (docs.sample(SAMPLE / size, 1) if size > SAMPLE else docs).mapInArrow(find, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+                for text in raw[part]:
+                    count.update(normal_words(text))
+                if len(count) > WORDS:
+                    yield rows(count)
+                    count.clear()
+        yield rows(count)
+
+    found = docs.select("text").mapInArrow(find, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     t = found.where("n > 2").orderBy(F.desc("n"), "word").limit(COMMON).toArrow()
     word, n = t.column("word").to_numpy().astype(U64), t.column("n").to_numpy()
     o = np.argsort(word)

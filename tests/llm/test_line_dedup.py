@@ -192,3 +192,13 @@ def test_lists_are_cut_by_length():
         _, where, size = np.unique(np.stack([key, got.astype(np.uint64)])[:, got > 0], axis=1, return_inverse=True, return_counts=True)
         assert not len(size) or size.min() > 1
     assert ld.segments(np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.int64)).tolist() == []
+
+
+def test_common_words_are_counted_in_all_documents(spark, monkeypatch):
+    n, filler = 60, " ".join(f"Filler{i % 997}" for i in range(40_000))  # 22 MB
+    docs = spark.range(0, n, 1, 4).select(F.concat(F.lit(filler), F.lit("\n"), F.expr("'word' || (id div 3)"), F.lit(", a-b")).alias("text"))
+    monkeypatch.setattr(ld, "WORDS", 500, raising=False)
+    got = dict(zip(*(x.tolist() for x in ld.common_words(docs)), strict=True))
+    want = Counter({w: n * c for w, c in Counter(filler.lower().encode().split()).items()}) + Counter({b"a": n, b"b": n})
+    want += Counter(f"word{i // 3}".encode() for i in range(n))
+    assert got == {xxhash.xxh3_64_intdigest(w): c for w, c in want.items() if c > 2}
