@@ -129,7 +129,8 @@ def segments(key: np.ndarray, kind: np.ndarray, n: np.ndarray) -> np.ndarray:
 def rare_pairs(coded: tuple[np.ndarray, np.ndarray, np.ndarray], common: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Keys of each line's rarest pairs of neighbouring words, one more than its edits can change, and their bounds.
 
-    A pair that occurs again in its line is another key. ``common`` has hashes, sorted, and counts of common words.
+    A pair that occurs again in its line is another key. ``common`` has hashes, sorted, and counts of common words. The
+    rarer word of a pair weighs more, since words of one phrase are common together; of like ones the other word decides.
     """
     flat, h, sizes = coded
     need = prefix(sizes, similarity)
@@ -140,7 +141,8 @@ def rare_pairs(coded: tuple[np.ndarray, np.ndarray, np.ndarray], common: tuple[n
     line = np.repeat(np.arange(len(sizes)), sizes)
     left = np.flatnonzero((line[1:] == line[:-1]) & (need[line[:-1]] > 0)) if len(line) else np.zeros(0, np.int64)
     a, b, line = flat[left], flat[left + 1], line[left]
-    key, rarity = mix(h[a] + mix(h[b])), np.minimum(weight[a], weight[b])
+    low, high = (np.maximum(f(weight[a], weight[b]), 1).astype(np.float64) for f in (np.minimum, np.maximum))
+    key, rarity = mix(h[a] + mix(h[b])), low * low * high
     o = np.lexsort((key, rarity, line))
     key, line = key[o], line[o]
     new = np.flatnonzero(groups(line, key))

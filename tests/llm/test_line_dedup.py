@@ -202,3 +202,17 @@ def test_common_words_are_counted_in_all_documents(spark, monkeypatch):
     want = Counter({w: n * c for w, c in Counter(filler.lower().encode().split()).items()}) + Counter({b"a": n, b"b": n})
     want += Counter(f"word{i // 3}".encode() for i in range(n))
     assert got == {xxhash.xxh3_64_intdigest(w): c for w, c in want.items() if c > 2}
+
+
+def test_pairs_of_a_very_common_word_come_last():
+    """Of pairs with equally rare words, those whose other word is rarer are posted."""
+    counts = {b"mid": 50, b"the": 1_000_000}
+    h = np.array([xxhash.xxh3_64_intdigest(w) for w in counts], np.uint64)
+    o = np.argsort(h)
+    common = h[o], np.array(list(counts.values()))[o]
+    for i in range(20):
+        coded = ld.numbered([[f"r{i}x{j}".encode() if w == b"r" else w for j, w in enumerate([b"r", b"mid", b"r", b"the", b"r", b"the", b"r"])]])
+        keys, bounds = ld.rare_pairs(coded, common, 0.85)
+        of = lambda a, b: ld.mix(ld.mix(a + ld.mix(b)))
+        word = coded[1][coded[0]]
+        assert bounds.tolist() == [0, 3] and set(of(word[:2], word[1:3]).tolist()) <= set(keys.tolist())
