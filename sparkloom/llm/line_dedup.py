@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import operator
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +33,13 @@ BROADCAST_ENTRIES = 2_000_000
 BITMAP = 20
 #: Classes of line length between those of two similar lines.
 APART = 4
-#: How many of the most common words are told apart, which only orders word pairs, and distinct words that a task counts at once.
-COMMON, WORDS = 200_000, 1 << 17
+#: How many of the most common words are told apart, which only orders word pairs, and distinct words that a task holds.
+COMMON, WORDS = 200_000, 1 << 20
+#: Bytes of text whose words are told apart at once, and the longest word that is not hashed by itself.
+HASHED, LONG = 1 << 18, 64
+#: A fixed random number for each byte, and powers of an odd number and of its inverse modulo 2 ** 64.
+_LETTER = np.random.default_rng(7).integers(0, 1 << 63, 256, np.int64).astype(np.uint64) << np.uint64(1) | np.uint64(1)
+_POWER, _BACK = (np.cumprod(np.full(HASHED + LONG, x, np.uint64)) for x in (0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)))
 _KINDS = bytes(
     ord(chr(b).lower()) if chr(b).isascii() and chr(b).isupper() else b if b >= 128 or chr(b).isalnum() or b == 10 else 32
     for b in range(256)
@@ -44,12 +48,14 @@ _KINDS = bytes(
 
 #: Letters of scripts without blanks (Thai, kana, ideographs, Hangul): each counts as a word. Fixed values of UTF-8.
 _BLANKLESS = re.compile(rb"\xe0[\xb8\xb9][\x80-\xbf]|[\xe3-\xed][\x80-\xbf]{2}")
+#: All bytes but those that such a letter begins with.
+_OTHER = bytes(b for b in range(256) if b != 0xE0 and not 0xE3 <= b <= 0xED)
 
 
 def normal(text: bytes) -> bytes:
     """A-Z lower-cased, digits and ends of lines kept, other ASCII marks as blanks."""
     text = text.translate(_KINDS)
-    return text if text.isascii() else _BLANKLESS.sub(rb" \g<0> ", text)
+    return _BLANKLESS.sub(rb" \g<0> ", text) if not text.isascii() and text.translate(None, _OTHER) else text
 
 
 def normal_lines(text: bytes) -> list[list[bytes]]:
@@ -57,9 +63,36 @@ def normal_lines(text: bytes) -> list[list[bytes]]:
     return [line.split() for line in normal(text).split(b"\n")]
 
 
-def normal_words(text: bytes) -> list[bytes]:
-    """The words of all lines."""
-    return normal(text).split()
+def word_hashes(letters: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each word, for whole arrays: sums of its bytes' numbers times powers, cut from running sums."""
+    out, lo = np.empty(len(begin), U64), 0
+    while lo < len(begin):
+        hi = max(lo + 1, int(np.searchsorted(end, begin[lo] + HASHED, "right")))
+        at, size = begin[lo], min(int(end[hi - 1] - begin[lo]), HASHED)
+        total = np.zeros(size + 1, U64)
+        np.cumsum(_LETTER[letters[at : at + size]] * _POWER[:size], out=total[1:])
+        first = begin[lo:hi] - at
+        out[lo:hi] = (total[np.minimum(end[lo:hi] - at, size)] - total[first]) * _BACK[first]
+        lo = hi
+    for i in np.flatnonzero(end - begin > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(letters[begin[i] : end[i]].tobytes())
+    return out
+
+
+def words_of(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of a normalised text, and where each of its words begins and ends."""
+    letters = np.frombuffer(raw, np.uint8)
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], letters > 32, [False]))))  # blanks and ends of lines are below
+    return letters, edges[::2], edges[1::2]
+
+
+def told_apart(raw: bytes, letters: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each of these words, and each number's hash."""
+    code = pa.array(word_hashes(letters, begin, end)).dictionary_encode()
+    number = code.indices.to_numpy()
+    first = np.empty(len(code.dictionary), np.int64)
+    first[number[::-1]] = np.arange(len(number))[::-1]
+    return number, np.array([xxhash.xxh3_64_intdigest(raw[x:y]) for x, y in zip(begin[first].tolist(), end[first].tolist(), strict=True)], U64)
 
 
 def numbered(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,7 +133,8 @@ def prefix(n: np.ndarray, similarity: float) -> np.ndarray:
         raise ValueError("similarity must be above 0.5")
     most = np.zeros(len(n), np.int64)
     for d in range(int(1 / (1 - similarity)) + 2 if similarity < 1 else 0):
-        most = np.maximum(most, 2 * allowed(n + d, similarity) - d)
+        edits = allowed(n + d, similarity)
+        most = np.maximum(most, np.where(edits >= d, 2 * edits - d, 0))
     return np.where(most > 0, most + 1, 0)
 
 
@@ -134,16 +168,21 @@ def rare_pairs(coded: tuple[np.ndarray, np.ndarray, np.ndarray], common: tuple[n
     """
     flat, h, sizes = coded
     need = prefix(sizes, similarity)
-    weight = np.zeros(len(h), np.int64)
+    weight = np.zeros(len(h), np.float64)
     if len(common[0]) and len(h):
         at = np.minimum(np.searchsorted(common[0], h), len(common[0]) - 1)
-        weight = np.where(common[0][at] == h, common[1][at], 0)
+        weight = np.log2(np.where(common[0][at] == h, np.maximum(common[1][at], 1), 1))
     line = np.repeat(np.arange(len(sizes)), sizes)
     left = np.flatnonzero((line[1:] == line[:-1]) & (need[line[:-1]] > 0)) if len(line) else np.zeros(0, np.int64)
     a, b, line = flat[left], flat[left + 1], line[left]
-    low, high = (np.maximum(f(weight[a], weight[b]), 1).astype(np.float64) for f in (np.minimum, np.maximum))
-    key, rarity = mix(h[a] + mix(h[b])), low * low * high
-    o = np.lexsort((key, rarity, line))
+    key, rarity = mix(h[a] + mix(h)[b]), weight[a] + weight[b] + np.minimum(weight[a], weight[b])
+    # one number orders the pairs of a line: how common, in 16 bits, then the low bits of the key
+    code = np.minimum(np.rint(rarity * 400), 65535).astype(U64) << U64(48) | key & U64((1 << 48) - 1)
+    o = np.argsort(code)
+    o = o[np.argsort(line[o].astype(np.uint16) if len(sizes) <= 1 << 16 else line[o], kind="stable")]
+    same = (line[o][1:] == line[o][:-1]) & (code[o][1:] == code[o][:-1])
+    if (same & (key[o][1:] != key[o][:-1])).any():
+        o = np.lexsort((key, code, line))
     key, line = key[o], line[o]
     new = np.flatnonzero(groups(line, key))
     key = mix(key + (np.arange(len(key)) - np.repeat(new, np.diff(np.append(new, len(key))))).astype(U64))
@@ -156,19 +195,22 @@ def rare_pairs(coded: tuple[np.ndarray, np.ndarray, np.ndarray], common: tuple[n
 def common_words(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, sorted, and counts in all documents of the most common words. Which ones these are changes no result."""
 
-    def rows(count: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(w) for w in count], pa.uint64()).view(pa.int64()), pa.array(list(count.values()), pa.int64())], names=["word", "n"])
+    def rows(found: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        t = pa.concat_tables(found).group_by("word").aggregate([("n", "sum")])
+        yield from t.select(["word", "n_sum"]).rename_columns(["word", "n"]).to_batches()
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: Counter = Counter()
+        found: list[pa.Table] = []
         for batch in batches:
             for part in pieces(raw := raw_texts(batch.column(0))):
-                for text in raw[part]:
-                    count.update(normal_words(text))
-                if len(count) > WORDS:
-                    yield rows(count)
-                    count.clear()
-        yield rows(count)
+                text = b"\n".join(map(normal, raw[part]))
+                number, h = told_apart(text, *words_of(text))
+                found.append(pa.table([pa.array(h).view(pa.int64()), pa.array(np.bincount(number, minlength=len(h)))], ["word", "n"]))
+                if sum(map(len, found)) > WORDS:
+                    yield from rows(found)
+                    found = []
+        if found:
+            yield from rows(found)
 
     found = docs.select("text").mapInArrow(find, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     t = found.where("n > 2").orderBy(F.desc("n"), "word").limit(COMMON).toArrow()
@@ -185,30 +227,37 @@ def occurrences(docs: DataFrame, min_words: int, similarity: float) -> DataFrame
         for batch in batches:
             raw = raw_texts(batch.column(2))
             for part in pieces(raw):
-                at, number, ids, new = [], [], [], {}
-                for i in range(part.start, part.stop):
-                    for n, words in enumerate(normal_lines(raw[i])):
-                        if len(words) >= min_words:
-                            h = xxhash.xxh3_64_intdigest(b" ".join(words)) >> 1
-                            at.append(i)
-                            number.append(n)
-                            ids.append(h)
-                            if h not in new:
-                                new[h] = (len(ids) - 1, words)
-                if ids:
-                    size: list[int | None] = [None] * len(ids)
-                    body: list[bytes | None] = [None] * len(ids)
-                    sketch: list[bytes | None] = [None] * len(ids)
-                    pairs: list[bytes | None] = [None] * len(ids)
-                    coded = numbered([w for _, w in new.values()])
-                    keys, bounds = rare_pairs(coded, common, similarity)
-                    raw_keys, bounds = six_bytes(keys), (6 * bounds).tolist()
-                    for j, ((k, w), s) in enumerate(zip(new.values(), sketches(coded), strict=True)):
-                        size[k] = len(w)
-                        if bounds[j] < bounds[j + 1]:  # no other line can be similar to the rest
-                            body[k], sketch[k], pairs[k] = b" ".join(w), s.tobytes(), raw_keys[bounds[j] : bounds[j + 1]]
-                    rows = pa.array(at)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number, pa.int64()), pa.array(ids, pa.int64()), pa.array(size, pa.int32()), pa.array(body, pa.binary()).cast(pa.string()), pa.array(sketch, pa.binary()), pa.array(pairs, pa.binary())], names=["doc", "mark", "line", "id", "n", "body", "sketch", "pairs"])
+                texts = list(map(normal, raw[part]))
+                letters, begin, end = words_of(text := b"\n".join(texts))
+                starts = np.concatenate(([0], np.flatnonzero(letters == 10) + 1))
+                words = np.searchsorted(begin, np.append(starts, len(letters) + 1))
+                of = np.cumsum([0] + [x.count(b"\n") + 1 for x in texts])  # a text's first line
+                line = np.flatnonzero(np.diff(words) >= max(1, min_words))
+                if not len(line):
+                    continue
+                # words joined by single blanks: each with one byte behind it
+                keep = letters > 32
+                keep[1:] |= keep[:-1] & ~keep[1:]
+                joined, ends = np.where(letters[keep] > 32, letters[keep], 32).astype(np.uint8).tobytes(), np.concatenate(([0], np.cumsum(end - begin + 1)))
+                bodies = [joined[x : y - 1] for x, y in zip(ends[words[line]].tolist(), ends[words[line + 1]].tolist(), strict=True)]
+                ids = np.array([xxhash.xxh3_64_intdigest(x) >> 1 for x in bodies], np.int64)
+                new = np.sort(np.unique(ids, return_index=True)[1])
+                sizes = np.diff(words)[line[new]]
+                at = np.repeat(words[line[new]] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+                coded = (*told_apart(text, letters, begin[at], end[at]), sizes)
+                keys, bounds = rare_pairs(coded, common, similarity)
+                raw_keys, bounds = six_bytes(keys), (6 * bounds).tolist()
+                size: list[int | None] = [None] * len(ids)
+                body: list[bytes | None] = [None] * len(ids)
+                sketch: list[bytes | None] = [None] * len(ids)
+                pairs: list[bytes | None] = [None] * len(ids)
+                for j, (k, n, s) in enumerate(zip(new.tolist(), sizes.tolist(), sketches(coded), strict=True)):
+                    size[k] = n
+                    if bounds[j] < bounds[j + 1]:  # no other line can be similar to the rest
+                        body[k], sketch[k], pairs[k] = bodies[k], s.tobytes(), raw_keys[bounds[j] : bounds[j + 1]]
+                owner = np.searchsorted(of, line, "right") - 1
+                rows, number = pa.array(part.start + owner), pa.array(line - of[owner])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), number, pa.array(ids), pa.array(size, pa.int32()), pa.array(body, pa.binary()).cast(pa.string()), pa.array(sketch, pa.binary()), pa.array(pairs, pa.binary())], names=["doc", "mark", "line", "id", "n", "body", "sketch", "pairs"])
 
     kind = docs.schema["doc"].dataType.simpleString()
     return docs.select("doc", "mark", "text").mapInArrow(find, f"doc {kind}, mark long, line long, id long, n int, body string, sketch binary, pairs binary")
@@ -347,17 +396,22 @@ def alike(x: list, y: list, most: int) -> bool:
     return len(set(x) ^ set(y)) <= 2 * most and within(x, y, most)
 
 
-def column_of(seen: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """``id`` and a column of the wanted lines (``id``), from a row that has it.
+def with_ids(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose ``id`` may be among the wanted ones, and all of those.
 
     A bitmap of the wanted ids, of ``2 ** BITMAP`` numbers at most whatever the input, goes to every executor, so that
     most lines that nobody wants stay out of the shuffle.
     """
-    wanted = cut(ids.distinct())
     word, bit = F.shiftright("id", 63 - BITMAP), F.col("id").bitwiseAND(F.lit(63)).cast("int")
     bits = wanted.groupBy(word.alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(id & 63 AS int)))").alias("bits"))
-    some = seen.select("id", column).where(F.col(column).isNotNull()).join(F.broadcast(bits), word == F.col("word")).where(F.getbit("bits", bit) == 1)
-    return some.select("id", column).join(wanted, "id", "left_semi").groupBy("id").agg(F.first(column).alias(column))
+    return rows.join(F.broadcast(bits), word == F.col("word")).where(F.getbit("bits", bit) == 1).select(*rows.columns)
+
+
+def column_of(seen: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """``id`` and a column of the wanted lines (``id``), from a row that has it."""
+    wanted = cut(ids.distinct())
+    some = with_ids(seen.select("id", column).where(F.col(column).isNotNull()), wanted)
+    return some.join(wanted, "id", "left_semi").groupBy("id").agg(F.first(column).alias(column))
 
 
 def similar(seen: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
@@ -517,15 +571,19 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wor
     place = F.struct(F.col("doc").isNotNull().alias("known"), "doc", "mark", "line")
     lines = cut(seen.groupBy("id").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")))
     near = fuzzy_groups(seen, lines.count(), similarity)
-    placed = cut(lines.join(near, F.col("id") == F.col("node"), "left").select("id", "first", "times", F.coalesce("component", "id").alias("group")))
+    # lines without an equal or a similar one are not looked at again
+    linked = cut(near.select(F.col("node").alias("id"), "component"))
+    placed = with_ids(lines, linked).join(linked, "id").select("id", "first", "times", F.col("component").alias("group"))
+    equal = lines.where("times > 1").join(linked, "id", "left_anti").select("id", "first", "times", F.col("id").alias("group"))
+    placed = cut(placed.unionByName(equal))
     firsts = placed.groupBy(F.col("group").alias("g")).agg(F.min("first").alias("stays"), F.sum("times").alias("all")).where("all > 1")
-    groups_ = cut(placed.join(firsts, F.col("group") == F.col("g")).select(F.col("id").alias("i"), "stays"))
-    gone = seen.select("id", "doc", "mark", "line").join(groups_, F.col("id") == F.col("i")).where(
+    groups_ = cut(placed.join(firsts, F.col("group") == F.col("g")).select("id", "stays"))
+    gone = with_ids(seen.select("id", "doc", "mark", "line"), groups_).join(groups_, "id").where(
         ~(F.col("doc").eqNullSafe(F.col("stays.doc")) & (F.col("mark") == F.col("stays.mark")) & (F.col("line") == F.col("stays.line")))
     )
     gone = cut(gone.groupBy("doc", "mark").agg(F.array_sort(F.collect_set("line")).alias("gone")).select(F.col("doc").alias("__op_doc"), F.col("mark").alias("__op_mark"), F.col("gone").alias("__op_gone")))
     size = gone.agg(F.coalesce(F.sum(F.size("__op_gone") + 4), F.lit(0))).first()[0]
-    drop(seen, lines, placed, groups_)
+    drop(seen, lines, linked, placed, groups_)
     out = docs.join(F.broadcast(gone) if size <= BROADCAST_ENTRIES else gone, F.col(key).eqNullSafe(F.col("__op_doc")) & (F.xxhash64(text) == F.col("__op_mark")), "left")
     split = F.split(F.col(text), "\n")
     kept = F.transform(
@@ -533,7 +591,7 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wor
         lambda x: x["l"],
     )
     return out.withColumns({
-        "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(split)).cast("long"),
+        "n_lines": F.coalesce(F.octet_length(text) - F.octet_length(F.replace(F.col(text), F.lit("\n"))) + 1, F.lit(0)).cast("long"),
         "n_removed": F.coalesce(F.size("__op_gone"), F.lit(0)).cast("long"),
         text: F.when(F.col("__op_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")),
     }).drop("__op_doc", "__op_mark", "__op_gone")

@@ -216,3 +216,28 @@ def test_pairs_of_a_very_common_word_come_last():
         of = lambda a, b: ld.mix(ld.mix(a + ld.mix(b)))
         word = coded[1][coded[0]]
         assert bounds.tolist() == [0, 3] and set(of(word[:2], word[1:3]).tolist()) <= set(keys.tolist())
+
+
+def test_lines_of_whole_pieces_are_those_of_plain_code(spark):
+    """Words, lines and their numbers are cut from whole pieces at once; plain code cuts them line by line."""
+    han = "今日は天気 がとても良い\n\n ไทย abc"
+    texts = ["", " \n\t x", "One, two -- three\n\nfour\r\n" * 3, "é" * 300 + " tail " + "z" * 70_000, han, "a" * 400_000 + "b\n" + "a" * 400_000 + "c", "\n", "last word", "a.b.c.d.e.f.g h"]
+    docs = spark.createDataFrame([(i, 7, t) for i, t in enumerate(texts)], "doc long, mark long, text string").coalesce(1)
+    got = ld.occurrences(docs, 1, 0.85).collect()
+    want = [(i, n, xxhash.xxh3_64_intdigest(b" ".join(w)) >> 1) for i, t in enumerate(texts) for n, w in enumerate(ld.normal_lines(t.encode())) if w]
+    assert [(r.doc, r.line, r.id) for r in got] == want
+    bodies = {xxhash.xxh3_64_intdigest(b" ".join(w)) >> 1: w for t in texts for w in ld.normal_lines(t.encode())}
+    assert all(r.n is None or r.n == len(bodies[r.id]) for r in got) and len({r.id for r in got if r.n is not None}) == len({r.id for r in got})
+    assert {r.body for r in got if r.body} == {b" ".join(w).decode() for w in bodies.values() if len(w) > 5}
+    for t in texts:
+        raw = ld.normal(t.encode())
+        number, h = ld.told_apart(raw, *ld.words_of(raw))
+        assert h[number].tolist() == [xxhash.xxh3_64_intdigest(w) for w in raw.split()] and len(set(h.tolist())) == len(h)
+
+
+def test_only_wanted_lines_are_joined(spark):
+    """A bitmap keeps every wanted line and leaves nearly all others out of a shuffle."""
+    ids = [xxhash.xxh3_64_intdigest(str(i)) >> 1 for i in range(20_000)]
+    rows = spark.createDataFrame([(x, i) for i, x in enumerate(ids)], "id long, line long")
+    got = {r.line for r in ld.with_ids(rows, spark.createDataFrame([(x,) for x in ids[:500]], "id long")).collect()}
+    assert set(range(500)) <= got and len(got) < 520
